@@ -146,6 +146,7 @@ def breaker_states(fetch_log: DataFrame, now, failure_threshold: int = 5, timeou
                             state, opened, times = "open", t, times + 1
                 elif state == "half_open":
                     if good:
+                        fails = 0
                         succ += 1
                         if succ >= half_open_successes:
                             state, fails, succ = "closed", 0, 0
