@@ -160,7 +160,9 @@ def match_keywords_large(docs: DataFrame, rules: DataFrame, text_col: str = "con
                 for rid in sorted(seen):
                     out_id.append(i)
                     out_rule.append(rid)
-            yield pd.DataFrame({id_col: out_id, "rule_id": out_rule})
+            if out_id:
+                yield pd.DataFrame({id_col: pd.Series(out_id, dtype=pdf[id_col].dtype),
+                                    "rule_id": pd.Series(out_rule, dtype="object")})
 
     schema = T.StructType([docs.schema[id_col], T.StructField("rule_id", T.StringType())])
     return docs.select(id_col, text_col).mapInPandas(scan, schema)
