@@ -66,17 +66,31 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+WORD = r"[\p{L}\p{N}_]+"
+# A whole word made of at least 4 ASCII letters (no word character around).
+ASCII_WORD4 = r"(?<![\p{L}\p{N}_])[a-z]{4,}(?![\p{L}\p{N}_])"
+
+
 def words(text: Column) -> Column:
-    """Lower-cased word tokens of a text, empty tokens removed."""
-    return F.filter(F.split(F.lower(text), NON_WORD), lambda t: t != "")
+    """Lower-cased word tokens of a text (maximal runs of letters, digits,
+    underscore). One regex pass, no lambda (lambdas run interpreted)."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
 def simple_keywords(text: Column, n: int = 10) -> Column:
     """P-7: words of at least 4 ASCII letters, stop words out, distinct in
-    order of first appearance, first ``n``."""
+    order of first appearance, first ``n``. ``array_except`` keeps first
+    occurrences in order and drops the stop words in one step."""
     stop = F.array(*[F.lit(w) for w in SIMPLE_STOP_WORDS])
-    kws = F.filter(words(text), lambda t: t.rlike("^[a-z]{4,}$") & ~F.array_contains(stop, t))
-    return F.slice(F.array_distinct(kws), 1, n)
+    return F.slice(F.array_except(F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORD4), 0), stop), 1, n)
+
+
+def explode_values(c: Column) -> Column:
+    """``explode`` for computed arrays. A plain explode makes Catalyst infer
+    ``size(arr) > 0`` and push a copy of the whole array expression below the
+    projection (evaluating it up to three times); ``explode_outer`` has no
+    inferred filter. Callers drop the NULL row of empty arrays."""
+    return F.explode_outer(c)
 
 
 def word_count(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import severity as SEV
-from ..functions.text import strip_ws
+from ..functions.text import explode_values, strip_ws
 from ..functions.timecols import hour_start, in_quiet_hours
 from .folds import greedy_fold
 
@@ -116,8 +116,9 @@ def match_rules(docs: DataFrame, rules: DataFrame, text_col: str = "content", so
     # The lower-cased text is projected once; lambdas then only reference it.
     with_rules = docs.select("*", F.lower(text).alias("_low"), arr.alias("_rules"))
     low = F.col("_low")
-    hits = with_rules.select("*", F.explode(F.filter(
+    hits = with_rules.select("*", explode_values(F.filter(
         F.col("_rules"), lambda r: _rule_hits(r, low, text, F.col(source_col)))).alias("_r")).drop("_rules")
+    hits = hits.where(F.col("_r").isNotNull())
     return hits.select(
         "*",
         F.col("_r.rule_id").alias("rule_id"),
@@ -244,7 +245,7 @@ def channel_fanout(alerts: DataFrame, channels: DataFrame, only: list[str] | Non
     a = alerts.select("*", arr.alias("_ch"))
     chosen = F.filter(F.col("_ch"), lambda c: F.coalesce(c["enabled"], F.lit(False))
                       & (F.lit(True) if not only else c["channel"].isin(*only)))
-    x = a.select("*", F.explode(chosen).alias("_c")).drop("_ch")
+    x = a.select("*", explode_values(chosen).alias("_c")).drop("_ch").where(F.col("_c").isNotNull())
     filtered = ~F.coalesce(SEV.rank(F.col("severity")) >= SEV.rank(F.col("_c.min_severity")), F.lit(True))
     quiet = in_quiet_hours(F.col("ts"), F.col("_c.quiet_hours_start"), F.col("_c.quiet_hours_end"))
     x = x.withColumn("channel", F.col("_c.channel")).withColumn("kind", F.col("_c.kind")).withColumn(

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import html as H
 from ..functions.ids import content_hash, doc_id
+from ..functions.text import explode_values
 
 EXTRACTED = T.StructType([
     T.StructField("id", T.LongType()),
@@ -54,8 +55,8 @@ def extract_pages(pages: DataFrame, html_col: str = "raw_html") -> DataFrame:
 def page_links(pages: DataFrame, html_col: str = "raw_html") -> DataFrame:
     """P-14: distinct (src_url, dst_url) edges."""
     e = pages.select(F.col("url").alias("src_url"),
-                     F.explode(H.links(F.col(html_col), F.col("url"))).alias("dst_url"))
-    return e.dropDuplicates(["src_url", "dst_url"])
+                     explode_values(H.links(F.col(html_col), F.col("url"))).alias("dst_url"))
+    return e.where(F.col("dst_url").isNotNull()).dropDuplicates(["src_url", "dst_url"])
 
 
 def extract_with(pages: DataFrame, fn: Callable, html_col: str = "raw_html") -> DataFrame:

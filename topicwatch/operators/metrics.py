@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
-from ..functions.text import sentiment_label
+from ..functions.text import explode_values, sentiment_label
 from ..functions.timecols import as_ntz, hour_start, minus
 
 
@@ -188,7 +188,8 @@ def sentiment_trend(sent: DataFrame, now, days: int = 7, digits: int = 6) -> Dat
 def keyword_frequency(doc_keywords: DataFrame, top_n: int = 20, keywords_col: str = "keywords") -> DataFrame:
     """A-5: keyword counts per situation, top N (ties: keyword asc); a
     keyword repeated in one document's list counts each time."""
-    ex = doc_keywords.select("situation_id", F.explode(keywords_col).alias("keyword"))
+    ex = doc_keywords.select("situation_id", explode_values(F.col(keywords_col)).alias("keyword")).where(
+        F.col("keyword").isNotNull())
     counts = ex.groupBy("situation_id", "keyword").agg(F.count(F.lit(1)).alias("kw_count"))
     w = Window.partitionBy("situation_id").orderBy(F.col("kw_count").desc(), F.col("keyword"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
@@ -198,7 +199,8 @@ def entity_timeline(doc_entities: DataFrame, now, days: int = 7, entities_col: s
     """A-6: entity mentions per situation and day; struct entities use
     name, then text, then 'Unknown'."""
     d = doc_entities.where((F.col("ts") >= minus(as_ntz(now), days=days)) & F.col(entities_col).isNotNull())
-    ex = d.select("situation_id", F.to_date("ts").alias("day"), F.explode(entities_col).alias("e"))
+    ex = d.select("situation_id", F.to_date("ts").alias("day"), explode_values(F.col(entities_col)).alias("e")).where(
+        F.col("e").isNotNull())
     etype = dict(ex.dtypes)["e"]
     if etype.startswith("struct"):
         fields = [f.name for f in ex.schema["e"].dataType.fields]

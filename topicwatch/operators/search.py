@@ -19,8 +19,8 @@ from .joins import broadcast_if_small
 
 def inverted_index(docs: DataFrame, text_col: str = "content") -> DataFrame:
     """SR-1: postings (term, id, tf) and document lengths (id, dl)."""
-    return (docs.select("id", F.explode(TX.words(F.col(text_col))).alias("term"))
-            .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")))
+    return (docs.select("id", TX.explode_values(TX.words(F.col(text_col))).alias("term"))
+            .where(F.col("term").isNotNull()).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def doc_lengths(docs: DataFrame, text_col: str = "content") -> DataFrame:
@@ -29,7 +29,8 @@ def doc_lengths(docs: DataFrame, text_col: str = "content") -> DataFrame:
 
 def query_terms(queries: DataFrame, qid: str = "qid", text_col: str = "text") -> DataFrame:
     return queries.select(F.col(qid).alias("qid"),
-                          F.explode(F.array_distinct(TX.words(F.col(text_col)))).alias("term"))
+                          TX.explode_values(F.array_distinct(TX.words(F.col(text_col)))).alias("term")).where(
+        F.col("term").isNotNull())
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75,
@@ -110,8 +111,9 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "
         # The scalar subquery is projected first: Spark evaluates it once and
         # does not allow subqueries inside lambda functions.
         withq = vectors.select("vec_id", vec, arr.alias("_qs"))
-        m = withq.select("vec_id", F.explode(F.transform(
+        m = withq.select("vec_id", TX.explode_values(F.transform(
             F.col("_qs"), lambda x: F.struct(x["q"].alias("qid"), cosine(v, x["v"]).alias("sim")))).alias("m"))
+        m = m.where(F.col("m").isNotNull())
         parts.append(m.select(F.col("m.qid").alias("qid"), "vec_id",
                               F.round(F.col("m.sim"), digits).alias("similarity")))
     scored = parts[0]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import explode_values
 from ..functions.timecols import as_ntz, hour_start, minus
 
 
@@ -117,7 +118,8 @@ def trend_direction(daily: DataFrame, keys: list[str], value: str = "n", day: st
 def entity_mentions(docs: DataFrame, entities: Column) -> DataFrame:
     """(situation_id, id, ts, entity) rows, one per distinct entity of a
     document."""
-    return docs.select("situation_id", "id", "ts", F.explode(F.array_distinct(entities)).alias("entity"))
+    return docs.select("situation_id", "id", "ts", explode_values(F.array_distinct(entities)).alias("entity")).where(
+        F.col("entity").isNotNull())
 
 
 def new_entities(mentions: DataFrame, now, days: float = 7) -> DataFrame:
@@ -144,7 +146,8 @@ def keyword_spikes(doc_keywords: DataFrame, now, days: float = 7, factor: float
     (or >= min_new when the keyword is new)."""
     cur, prev = _periods(F.col("ts"), now, days * 24)
     k = doc_keywords.where(cur | prev).select("situation_id", cur.alias("_cur"),
-                                             F.explode(keywords_col).alias("keyword"))
+                                             explode_values(F.col(keywords_col)).alias("keyword")).where(
+        F.col("keyword").isNotNull())
     g = k.groupBy("situation_id", "keyword").agg(F.count_if(F.col("_cur")).alias("current"),
                                                  F.count_if(~F.col("_cur")).alias("previous"))
     spike = (((F.col("previous") > 0) & (F.col("current") >= F.col("previous") * factor))
