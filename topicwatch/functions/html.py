@@ -47,16 +47,20 @@ def first_class_text(html: Column, cls: str, tag: str = r"[a-z0-9]+") -> Column:
     return F.when(v != "", v)
 
 
-def title(html: Column) -> Column:
+def _clean(html: Column, cleaned: bool) -> Column:
+    return html if cleaned else without_noise(html)
+
+
+def title(html: Column, cleaned: bool = False) -> Column:
     """S-7: og:title -> twitter:title -> <title> -> h1 -> 'Untitled'."""
-    h = without_noise(html)
+    h = _clean(html, cleaned)
     return F.coalesce(meta_content(h, "property", "og:title"), meta_content(h, "name", "twitter:title"),
                       first_tag_text(h, "title"), first_tag_text(h, "h1"), F.lit("Untitled"))
 
 
-def author(html: Column) -> Column:
-    """S-8: meta author -> byline/author class -> rel=author link."""
-    h = without_noise(html)
+def author(html: Column, cleaned: bool = False) -> Column:
+    """S-8: meta author -> byline/author class."""
+    h = _clean(html, cleaned)
     return F.coalesce(meta_content(h, "name", "author"), first_class_text(h, "byline"),
                       first_class_text(h, "author"))
 
@@ -71,9 +75,9 @@ def parse_date(s: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
 
 
-def publish_date(html: Column) -> Column:
+def publish_date(html: Column, cleaned: bool = False) -> Column:
     """S-9: article:published_time -> <time datetime> -> <time> text."""
-    h = without_noise(html)
+    h = _clean(html, cleaned)
     meta = meta_content(h, "property", "article:published_time")
     dt_attr = F.regexp_extract(h, r'(?is)<time\b[^>]*\bdatetime\s*=\s*["\']([^"\']*)["\']', 1)
     ttext = first_tag_text(h, "time")
@@ -98,39 +102,39 @@ def block_text(fragment: Column) -> Column:
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
-def paragraphs(html: Column) -> Column:
+def paragraphs(html: Column, cleaned: bool = False) -> Column:
     """Texts of all <p> elements (a <p> ends at the next <p> or </p>)."""
-    h = without_noise(html)
+    h = _clean(html, cleaned)
     raw = F.regexp_extract_all(h, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=</p>|<p\b|</article>|</main>|</body>|$)"), 1)
     return F.transform(raw, tag_text)
 
 
-def article_text(html: Column) -> Column:
+def article_text(html: Column, cleaned: bool = False) -> Column:
     """S-10: <article> / class content / <main> text; else paragraphs longer
     than 50 chars joined by a blank line."""
-    h = without_noise(html)
+    h = _clean(html, cleaned)
     art = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
     cont = F.regexp_extract(h, r'(?is)<div\b[^>]*\bclass\s*=\s*["\'][^"\']*\b(?:article-content|post-content|entry-content|content)\b[^"\']*["\'][^>]*>(.*?)</div>', 1)
     main = F.regexp_extract(h, r"(?is)<main\b[^>]*>(.*?)</main>", 1)
-    fallback = F.array_join(F.filter(paragraphs(html), lambda p: F.length(p) > 50), "\n\n")
+    fallback = F.array_join(F.filter(paragraphs(h, cleaned=True), lambda p: F.length(p) > 50), "\n\n")
     chosen = (F.when(art != "", block_text(art)).when(cont != "", block_text(cont))
               .when(main != "", block_text(main)).otherwise(fallback))
     return clean_text(chosen)
 
 
-def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(without_noise(html),
+def hrefs(html: Column, cleaned: bool = False) -> Column:
+    return F.regexp_extract_all(_clean(html, cleaned),
                                 F.lit(r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""), 1)
 
 
-def links(html: Column, base_url: Column) -> Column:
+def links(html: Column, base_url: Column, cleaned: bool = False) -> Column:
     """Absolute, de-duplicated link targets (sorted)."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(hrefs(html), lambda x: x != ""),
+    return F.array_sort(F.array_distinct(F.transform(F.filter(hrefs(html, cleaned), lambda x: x != ""),
                                                      lambda x: urljoin(base_url, x))))
 
 
-def images(html: Column, base_url: Column) -> Column:
-    srcs = F.regexp_extract_all(without_noise(html),
+def images(html: Column, base_url: Column, cleaned: bool = False) -> Column:
+    srcs = F.regexp_extract_all(_clean(html, cleaned),
                                 F.lit(r"""(?is)<img\b[^>]*\bsrc\s*=\s*["']([^"']*)["']"""), 1)
     return F.array_sort(F.array_distinct(F.transform(F.filter(srcs, lambda x: x != ""),
                                                      lambda x: urljoin(base_url, x))))

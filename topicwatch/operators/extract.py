@@ -38,16 +38,20 @@ def basic_extract(pages: DataFrame, html_col: str = "raw_html") -> DataFrame:
 def extract_pages(pages: DataFrame, html_col: str = "raw_html") -> DataFrame:
     """P-13: title, author, publish date, article text, links, images, plus
     content hash and a deterministic document id."""
-    h = F.col(html_col)
-    return pages.select(
+    # Scripts, styles and comments are stripped once per page; every field
+    # then reads the projected clean column.
+    p = pages.select("id", "url", H.without_noise(F.col(html_col)).alias("_clean"),
+                     content_hash(F.col(html_col)).alias("content_hash"))
+    h = F.col("_clean")
+    return p.select(
         "id", "url",
-        H.title(h).alias("title"),
-        H.author(h).alias("author"),
-        H.publish_date(h).alias("publish_date"),
-        H.article_text(h).alias("article_text"),
-        H.links(h, F.col("url")).alias("links"),
-        H.images(h, F.col("url")).alias("images"),
-        content_hash(h).alias("content_hash"),
+        H.title(h, cleaned=True).alias("title"),
+        H.author(h, cleaned=True).alias("author"),
+        H.publish_date(h, cleaned=True).alias("publish_date"),
+        H.article_text(h, cleaned=True).alias("article_text"),
+        H.links(h, F.col("url"), cleaned=True).alias("links"),
+        H.images(h, F.col("url"), cleaned=True).alias("images"),
+        "content_hash",
         doc_id(F.col("url"), F.col("id")).alias("doc_id"),
     )
 

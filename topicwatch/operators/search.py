@@ -37,19 +37,33 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
          text_col: str = "content", qid: str = "qid", qtext: str = "text", digits: int = 6,
          max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Top-k documents per query by Okapi BM25 with
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); ties: id asc."""
-    post = inverted_index(docs, text_col)
-    lens = doc_lengths(docs, text_col)
-    n_docs = lens.select(F.count(F.lit(1))).scalar()
-    avgdl = lens.select(F.avg("dl")).scalar()
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); ties: id asc.
+
+    One tokenisation pass yields (id, dl, term); it is cut down to the query
+    vocabulary (a semi join with the size-checked distinct query terms)
+    before the postings aggregate, so only terms some query uses are
+    shuffled. N is a row count, avgdl a scalar subquery."""
     qt = query_terms(queries, qid, qtext)
-    qt = qt.join(df, "term")  # terms absent from the corpus contribute nothing
+    # Size check on the query side only (cheap); every query-side table below
+    # has at most this many rows, so the bound holds for all of them.
+    small = qt.count() <= max_broadcast_rows
+    hint = F.broadcast if small else (lambda d: d)
+    vocab = hint(qt.select("term").distinct())
+    toks = docs.select("id", TX.words(F.col(text_col)).alias("_w"))
+    exploded = toks.select("id", F.size("_w").alias("dl"), TX.explode_values(F.col("_w")).alias("term")).where(
+        F.col("term").isNotNull())
+    post = (exploded.join(vocab, "term", "left_semi")
+            .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    avgdl = docs.select(F.avg(F.size(TX.words(F.col(text_col))))).scalar()
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    qt = qt.withColumn("idf", idf).drop("df")
-    hits = post.join(broadcast_if_small(qt, max_broadcast_rows), "term").join(lens, "id")
+    # A term's weight in a document does not depend on the query: compute it
+    # once per posting; the query join then only sums weights.
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scores = hits.groupBy("qid", "id").agg(F.round(F.sum(part), digits).alias("score"))
+    weights = post.join(df, "term").withColumn("idf", idf).select("term", "id", part.alias("w"))
+    hits = weights.join(hint(qt), "term")
+    scores = hits.groupBy("qid", "id").agg(F.round(F.sum("w"), digits).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
