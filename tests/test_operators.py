@@ -250,3 +250,35 @@ def test_analyze_bad_rows_kept(spark):
     got = {r["id"]: r for r in TO.analyze(docs).collect()}
     assert len(got) == 3
     assert got[1]["error"] == "No content" and not got[2]["success"] and got[3]["sentiment"] == "positive"
+
+
+def test_discovery_operators(spark):
+    from topicwatch.operators import discovery as DS
+    rows = [(f"news{i}", f"https://news{i}.com", "news", 0.4 + i * 0.05, i % 2 == 0) for i in range(10)]
+    rows += [(f"academic{i}", f"https://academic{i}.edu", "academic", 0.9, True) for i in range(5)]
+    rows += [("social0", "https://s.com", "social", 0.9, False)]
+    s = spark.createDataFrame(rows, "id string, url string, category string, relevance_score double, "
+                                    "has_keywords boolean")
+    counts = {r["category"]: r["n"] for r in DS.limit_per_category(s, 3).groupBy("category")
+              .agg(F.count("*").alias("n")).collect()}
+    assert counts == {"news": 3, "academic": 3, "social": 1}
+    cats = spark.createDataFrame([("news",), ("academic",)], "category string")
+    assert {r["category"] for r in DS.by_preferences(s, cats).collect()} == {"news", "academic"}
+    excl = spark.createDataFrame([("social",)], "category string")
+    assert "social" not in {r["category"] for r in DS.by_preferences(s, excl, preferred=False).collect()}
+    kept = DS.relevant_sources(s).collect()
+    assert all(r["relevance_score"] * (1.1 if r["has_keywords"] else 1.0) > 0.5 for r in kept)
+    assert [r["relevance_score"] for r in kept] == sorted((r["relevance_score"] for r in kept), reverse=True)
+    dedup = D.dedup_sources(spark.createDataFrame([(1, "https://a.com/page"), (2, "https://a.com/page/")],
+                                                  "id long, url string"))
+    assert [r["id"] for r in dedup.collect()] == [1]
+
+
+def test_keyset_page_matches_offset(spark):
+    from topicwatch.operators import metrics as M
+    d = V.docs(spark, SF_SMALL).select("id", "ts")
+    order = [F.col("ts").desc(), F.col("id").desc()]
+    first = M.page(d, order, limit=7).collect()
+    second = M.page(d, order, limit=7, offset=7).collect()
+    keyset = M.keyset_page(d, after_ts=first[-1]["ts"], after_id=first[-1]["id"], limit=7).collect()
+    assert [r["id"] for r in keyset] == [r["id"] for r in second]
