@@ -228,3 +228,26 @@ SELECT CAST(ts AS DATE) AS day, count(*) AS doc_count FROM docs
 WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 14 DAY GROUP BY 1""", "docs"))
 def volume_by_date(spark, sf):
     return M.volume_by_date(V.docs(spark, sf), NOW, days=14)
+
+
+@register("open_critical_alerts", wv("""
+SELECT id, situation_id, ts FROM alerts_v WHERE NOT acknowledged AND severity = 'critical'""", "alerts_v"))
+def open_critical_alerts(spark, sf):
+    """F-5: tri-state acknowledged filter + severity."""
+    a = V.alerts(spark, sf)
+    return M.alerts_filter(a, acknowledged=False, severity="critical").select("id", "situation_id", "ts")
+
+
+@register("daily_top_keywords", wv(_KW_SQL + """
+SELECT situation_id, day, keyword, kw_count, rank FROM (
+  SELECT situation_id, CAST(ts AS DATE) AS day, tok AS keyword, count(*) AS kw_count,
+         row_number() OVER (PARTITION BY situation_id, CAST(ts AS DATE) ORDER BY count(*) DESC, tok) AS rank
+  FROM doc_kw GROUP BY situation_id, CAST(ts AS DATE), tok) WHERE rank <= 5""", "docs"))
+def daily_top_keywords(spark, sf):
+    """W-4: top 5 keywords per situation and day (A-15's top keywords)."""
+    d = V.docs(spark, sf).select(F.col("situation_id").alias("_s"), F.to_date("ts").alias("day"),
+                                 simple_keywords(F.col("content"), 10).alias("keywords"))
+    d = d.select(F.struct("_s", "day").alias("situation_id"), "keywords")
+    out = M.keyword_frequency(d, top_n=5)
+    return out.select(F.col("situation_id._s").alias("situation_id"), F.col("situation_id.day").alias("day"),
+                      "keyword", "kw_count", F.col("rank").cast("bigint").alias("rank"))
