@@ -153,14 +153,35 @@ def _deliveries(spark, sf):
     return AL.channel_fanout(a, AL.config_frame(spark, CHANNELS, AL.CHANNEL_SCHEMA))
 
 
-@register("channel_delivery")
+_SEV_RANK = ("CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 WHEN 'error' THEN 2 "
+             "WHEN 'critical' THEN 3 END")
+_DISCORD_KEPT = _recursive_cooldown_sql(
+    f"SELECT id, rule_id, source_id, severity, title, message, ts FROM alerts_v WHERE {_SEV_RANK} >= 1",
+    AL.DEDUP_KEY, "3600 SECOND", ("alerts_v",))
+_DELIVERY_SQL = _DISCORD_KEPT.replace("\nSELECT c.id,", ", kept_ids AS (SELECT c.id FROM cand c JOIN kept ON "
+                                      + " AND ".join(f"c.{x} IS NOT DISTINCT FROM kept.{x}" for x in AL.DEDUP_KEY)
+                                      + " AND c.ts = kept.ts)\nSELECT c.id,", 1)
+_DELIVERY_SQL = _DELIVERY_SQL[:_DELIVERY_SQL.rindex("\nSELECT c.id,")] + f"""
+, deliveries AS (
+  SELECT id, 'console' AS channel, 'sent' AS status FROM alerts_v
+  UNION ALL
+  SELECT id, 'email', CASE WHEN {_SEV_RANK} < 2 THEN 'filtered'
+                           WHEN hour(ts) >= 22 OR hour(ts) < 7 THEN 'quiet hours' ELSE 'sent' END FROM alerts_v
+  UNION ALL
+  SELECT id, 'discord', CASE WHEN {_SEV_RANK} < 1 THEN 'filtered'
+                             WHEN id IN (SELECT id FROM kept_ids) THEN 'sent' ELSE 'rate limited' END FROM alerts_v)
+"""
+
+
+@register("channel_delivery", _DELIVERY_SQL + "SELECT id, channel, status FROM deliveries")
 def channel_delivery(spark, sf):
     """J-11 + ST-7: per (alert, channel) status; the rate-limit fold makes
     this a rows-only query (tests compare it with a Python loop)."""
     return _deliveries(spark, sf).select("id", "channel", "status")
 
 
-@register("delivery_stats")
+@register("delivery_stats", _DELIVERY_SQL + """SELECT channel, count(*) AS attempted,
+  count(*) FILTER (WHERE status = 'sent') AS delivered FROM deliveries GROUP BY channel""")
 def delivery_stats(spark, sf):
     """A-20 per channel."""
     return AL.delivery_stats(_deliveries(spark, sf))[1]

@@ -106,7 +106,14 @@ def collection_counters(spark, sf):
     return H.collection_counters(D.content_dedup(d))
 
 
-@register("dead_letters")
+@register("dead_letters", wv("""
+WITH f AS (SELECT fl.id, fl.source_id, v.url, fl.ts, fl.error_message FROM fetch_log fl JOIN versions v ON v.id = fl.id
+           WHERE NOT fl.ok),
+r AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS rn, count(*) OVER () AS total FROM f)
+SELECT id, source_id, url, ts, error_message,
+       CAST(source_id AS VARCHAR) || ':' || substr(sha256(url), 1, 8) AS document_id,
+       total <= 1000 OR rn <= 500 AS retained
+FROM r""", "fetch_log", "versions"))
 def dead_letters(spark, sf):
     """SNK-9 + W-8 over failed fetches (rows-only: ids use sha256)."""
     fl = V.fetch_log(spark, sf)
