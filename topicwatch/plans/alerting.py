@@ -90,7 +90,17 @@ def alert_dedup(spark, sf):
     return AL.dedup_alerts(a, window_s=6 * 3600).select("id", *AL.DEDUP_KEY, "ts")
 
 
-@register("rule_throttle")
+@register("rule_throttle", """
+WITH RECURSIVE cand AS (SELECT event_id AS id, event_type AS rule_id, ts FROM events),
+kept(rule_id, ts, recent) AS (
+  SELECT rule_id, min(ts), [min(ts)] FROM cand GROUP BY rule_id
+  UNION ALL
+  SELECT n.rule_id, n.ts, list_append(list_filter(n.recent, lambda x: x > n.ts - INTERVAL 1 HOUR), n.ts)
+  FROM (SELECT kk.rule_id, kk.recent, min(c.ts) AS ts FROM kept kk JOIN cand c ON c.rule_id = kk.rule_id
+          AND c.ts >= kk.ts + INTERVAL 600 SECOND
+          AND len(list_filter(kk.recent, lambda x: x > c.ts - INTERVAL 1 HOUR)) < 4
+        GROUP BY kk.rule_id, kk.recent) n)
+SELECT c.id, c.rule_id, c.ts FROM cand c JOIN kept k ON k.rule_id = c.rule_id AND k.ts = c.ts""")
 def rule_throttle(spark, sf):
     """ST-4: per rule, 10-minute cooldown and at most 4 alerts in any sliding
     hour (checked against a Python loop in tests)."""

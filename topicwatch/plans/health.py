@@ -122,7 +122,41 @@ def dead_letters(spark, sf):
     return H.dead_letters(failures, keep_newest=500, over=1000)
 
 
-@register("breaker_states")
+BREAKER_SQL = """
+WITH RECURSIVE o AS (
+  SELECT CAST(user_id AS VARCHAR) AS source_id, ts, event_type <> 'error' AS ok,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+st(source_id, rn, state, fails, succ, opened, times) AS (
+  SELECT DISTINCT source_id, CAST(0 AS BIGINT), 'closed', 0, 0, CAST(NULL AS TIMESTAMP), 0 FROM o
+  UNION ALL
+  SELECT source_id, rn,
+    CASE WHEN st1 = 'closed' THEN CASE WHEN ok THEN 'closed' WHEN fails + 1 >= 3 THEN 'open' ELSE 'closed' END
+         WHEN st1 = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN succ1 + 1 >= 2 THEN 'closed' ELSE 'half_open' END
+         ELSE 'open' END,
+    CASE WHEN st1 = 'open' THEN fails WHEN ok THEN 0 ELSE fails + 1 END,
+    CASE WHEN st1 = 'half_open' AND ok AND succ1 + 1 < 2 THEN succ1 + 1 ELSE
+         CASE WHEN st1 = 'open' THEN succ1 ELSE 0 END END,
+    CASE WHEN (st1 = 'closed' AND NOT ok AND fails + 1 >= 3) OR (st1 = 'half_open' AND NOT ok) THEN ts ELSE opened END,
+    CASE WHEN (st1 = 'closed' AND NOT ok AND fails + 1 >= 3) OR (st1 = 'half_open' AND NOT ok) THEN times + 1
+         ELSE times END
+  FROM (SELECT s.source_id, o.rn, o.ts, o.ok, s.fails, s.opened, s.times,
+          CASE WHEN s.state = 'open' AND o.ts - s.opened >= INTERVAL 3600 SECOND THEN 'half_open' ELSE s.state END
+            AS st1,
+          CASE WHEN s.state = 'open' AND o.ts - s.opened >= INTERVAL 3600 SECOND THEN 0 ELSE s.succ END AS succ1
+        FROM st s JOIN o ON o.source_id = s.source_id AND o.rn = s.rn + 1) x),
+last AS (SELECT * FROM st WHERE (source_id, rn) IN (SELECT source_id, max(rn) FROM st GROUP BY source_id)),
+breaker AS (
+  SELECT source_id,
+    CASE WHEN state = 'open' AND TIMESTAMP '2024-01-31 00:00:00' - opened >= INTERVAL 3600 SECOND THEN 'half_open' ELSE state END
+      AS state,
+    CAST(fails AS BIGINT) AS consecutive_failures,
+    CAST(CASE WHEN state = 'open' AND TIMESTAMP '2024-01-31 00:00:00' - opened >= INTERVAL 3600 SECOND THEN 0 ELSE succ END AS BIGINT)
+      AS half_open_successes,
+    CAST(times AS BIGINT) AS times_opened, CAST(rn AS BIGINT) AS outcomes, opened AS opened_at FROM last)
+"""
+
+
+@register("breaker_states", BREAKER_SQL + "SELECT * FROM breaker")
 def breaker_states(spark, sf):
     """ST-8 circuit breaker per source as of NOW (rows-only; tests compare
     with a plain Python state machine)."""
@@ -130,7 +164,13 @@ def breaker_states(spark, sf):
                              half_open_successes=2)
 
 
-@register("source_status")
+@register("source_status", BREAKER_SQL + """
+, ex AS (SELECT user_id AS source_id, least(count(*) FILTER (WHERE event_type <> 'error'), 100) AS last_execution_times
+         FROM events GROUP BY 1)
+SELECT ex.source_id, 'source-' || CAST(ex.source_id AS VARCHAR) AS name,
+       CASE ex.source_id % 4 + 1 WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+       true AS enabled, coalesce(b.state, 'closed') AS circuit_breaker, ex.last_execution_times
+FROM ex LEFT JOIN breaker b ON b.source_id = CAST(ex.source_id AS VARCHAR)""")
 def source_status(spark, sf):
     """A-19: name, priority, enabled, breaker state, executions kept."""
     src = _sources(spark, sf)
