@@ -29,12 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Hash-repartition by ``key`` to the session's default parallelism when
+    the scan yields fewer partitions (a table stored as one large row group
+    is read by one task however the file is split). Text-heavy stages then
+    use every core. On a cluster reading many files the scan already has
+    more partitions and this is a no-op. Hash (not round-robin) partitioning
+    keeps task retries deterministic without a sort."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
 def hours_after_epoch(hours: Column) -> Column:
     return ntz(EPOCH) + F.make_dt_interval(F.lit(0), hours, F.lit(0), F.lit(0))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select(
         F.col("doc_id").alias("id"),
         (F.col("doc_id") % DOC_SITUATIONS).alias("situation_id"),
@@ -135,12 +148,12 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"), "page_id")
     return p.select(F.col("page_id").alias("id"), "url", F.col("html").alias("raw_html"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"), "conv_id")
     return c.where(F.col("role") == "user").select("conv_id", "turn", "text")
 
 
