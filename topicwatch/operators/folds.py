@@ -61,32 +61,64 @@ def greedy_fold(df: DataFrame, keys: list[str], cooldown_s: float = 0.0, cap: in
     group_cols = keys + ["_seg"]
 
     def fold(batches):
-        current = None
-        last = None
+        import numpy as np
+
+        current = None          # group key of the run continuing from the previous batch
+        last = None             # last kept time of that group
         recent: deque = deque()
         for pdf in batches:
-            groups = list(zip(*[pdf[c].tolist() for c in group_cols]))
-            times = pdf["_us"].tolist()
-            kept = []
-            for g, t in zip(groups, times):
+            n = len(pdf)
+            if n == 0:
+                pdf[out_col] = pd_bool(pdf)
+                yield pdf
+                continue
+            times = pdf["_us"].to_numpy(dtype="int64")
+            change = np.zeros(n, dtype=bool)
+            change[0] = True
+            for c in group_cols:
+                col = pdf[c].to_numpy()
+                change[1:] |= col[1:] != col[:-1]
+            starts = np.flatnonzero(change).tolist() + [n]
+            kept = np.zeros(n, dtype=bool)
+            for s0, e0 in zip(starts[:-1], starts[1:]):
+                g = tuple(pdf[c].iat[s0] for c in group_cols)
                 if g != current:
                     current, last, recent = g, None, deque()
-                ok = last is None or (t - last) >= cool_us
-                if ok and cap is not None:
-                    while recent and recent[0] <= t - win_us:
-                        recent.popleft()
-                    ok = len(recent) < cap
-                if ok:
-                    last = t
-                    if cap is not None:
-                        recent.append(t)
-                kept.append(ok)
+                t = times[s0:e0]
+                if cap is None:
+                    # Cooldown only: jump straight to the next row at or after
+                    # last + cooldown (work proportional to kept rows).
+                    if cool_us <= 0:
+                        kept[s0:e0] = True
+                        last = int(t[-1])
+                        continue
+                    i = 0 if last is None else int(np.searchsorted(t, last + cool_us, "left"))
+                    while i < len(t):
+                        kept[s0 + i] = True
+                        last = int(t[i])
+                        i = int(np.searchsorted(t, last + cool_us, "left"))
+                else:
+                    for j, tj in enumerate(t.tolist()):
+                        ok = last is None or (tj - last) >= cool_us
+                        if ok:
+                            while recent and recent[0] <= tj - win_us:
+                                recent.popleft()
+                            ok = len(recent) < cap
+                        if ok:
+                            last = tj
+                            recent.append(tj)
+                            kept[s0 + j] = True
             pdf[out_col] = kept
             yield pdf
 
     return ready.mapInPandas(fold, out_schema).drop("_us", "_seg")
 
 
+def pd_bool(pdf):
+    import pandas as pd
+    return pd.Series([], dtype=bool, index=pdf.index)
+
+
 BREAKER_STATE = T.StructType([
     T.StructField("source_id", T.StringType()),
     T.StructField("state", T.StringType()),
