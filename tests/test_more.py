@@ -109,3 +109,14 @@ def test_stream_documents_and_trend_stream(spark):
            .option("checkpointLocation", tempfile.mkdtemp()).outputMode("append").trigger(availableNow=True).start())
     out.awaitTermination()
     assert spark.table("trend_out").count() > 0
+
+
+def test_read_logs_and_document_by_id(spark, tmpdir_path):
+    lg = V.logs(spark, SF_SMALL)
+    p = os.path.join(tmpdir_path, "logs")
+    lg.write.parquet(p)
+    got = R.read_logs(spark, p, level="error", since="2024-01-20 00:00:00", limit=5).collect()
+    assert len(got) == 5 and all(r["level"] == "ERROR" for r in got)
+    assert [r["ts"] for r in got] == sorted((r["ts"] for r in got), reverse=True)
+    d = V.docs(spark, SF_SMALL)
+    assert M.document_by_id(d, 3).count() == 1 and M.document_by_id(d, -1).count() == 0

@@ -331,3 +331,20 @@ def kept_entity_labels(entities: Column) -> Column:
 def fallback_projection(df: DataFrame) -> DataFrame:
     """F-13: title -> 'Untitled'."""
     return df.withColumn("title", F.coalesce(F.col("title"), F.lit("Untitled")))
+
+
+def entity_day_pivot(timeline: DataFrame, n: int = 10) -> DataFrame:
+    """A-9 pivot: one row per (situation, day) with the mention counts of the
+    situation's top ``n`` entities as columns e1..en (0 when absent) and their
+    names as columns name1..namen. Pivoting on the rank, not the name, keeps
+    the column set fixed (no distinct-values job)."""
+    totals = timeline.groupBy("situation_id", "entity").agg(F.sum("mentions").alias("_t"))
+    w = Window.partitionBy("situation_id").orderBy(F.col("_t").desc(), F.col("entity"))
+    top = totals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_t")
+    t = timeline.join(top, ["situation_id", "entity"])
+    names = top.groupBy("situation_id").agg(
+        *[F.max(F.when(F.col("_r") == i, F.col("entity"))).alias(f"name{i}") for i in range(1, n + 1)])
+    days = t.groupBy("situation_id", "day").agg(
+        *[F.coalesce(F.sum(F.when(F.col("_r") == i, F.col("mentions"))), F.lit(0)).cast("bigint").alias(f"e{i}")
+          for i in range(1, n + 1)])
+    return days.join(names, "situation_id")

@@ -197,7 +197,18 @@ def delivery_stats(spark, sf):
     return AL.delivery_stats(_deliveries(spark, sf))[1]
 
 
-@register("notification_outbox")
+@register("notification_outbox", _DELIVERY_SQL + """
+, sent AS (SELECT d.id, d.channel, a.severity, a.title, coalesce(a.message, '') AS message, a.ts
+           FROM deliveries d JOIN alerts_v a ON a.id = d.id WHERE d.status = 'sent')
+SELECT id AS alert_id, channel, channel AS kind,
+  CASE channel
+    WHEN 'discord' THEN to_json({'embeds': [{'title': title, 'description': message,
+        'color': CASE severity WHEN 'critical' THEN 15158332 WHEN 'error' THEN 15105570
+                               WHEN 'warning' THEN 16776960 ELSE 3447003 END,
+        'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S')}]})::VARCHAR
+    WHEN 'email' THEN printf('Subject: [%s] %s\n\n%s', upper(severity), title, message)
+    ELSE printf('[%s] %s %s: %s', strftime(ts, '%Y-%m-%d %H:%M:%S'), upper(severity), title, message) END AS payload
+FROM sent""")
 def notification_outbox(spark, sf):
     """SNK-11 payload rows."""
     return AL.outbox(_deliveries(spark, sf))

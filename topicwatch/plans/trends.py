@@ -190,3 +190,16 @@ SELECT coalesce(d.situation_id, a.situation_id) AS situation_id, coalesce(d.hour
 FROM d FULL OUTER JOIN a ON d.situation_id = a.situation_id AND d.hour = a.hour""", "docs", "alerts_v"))
 def hourly_metrics(spark, sf):
     return T.hourly_metrics(V.docs(spark, sf), V.alerts(spark, sf), NOW, keep_days=30)
+
+
+@register("entity_day_pivot", wv(_TIMELINE_SQL + """
+, tot AS (SELECT situation_id, entity, row_number() OVER (PARTITION BY situation_id
+          ORDER BY sum(mentions) DESC, entity) AS r FROM tl GROUP BY situation_id, entity),
+top AS (SELECT * FROM tot WHERE r <= 10),
+days AS (SELECT tl.situation_id, tl.day, CAST(coalesce(sum(CASE WHEN r = 1 THEN mentions END), 0) AS BIGINT) AS e1, CAST(coalesce(sum(CASE WHEN r = 2 THEN mentions END), 0) AS BIGINT) AS e2, CAST(coalesce(sum(CASE WHEN r = 3 THEN mentions END), 0) AS BIGINT) AS e3, CAST(coalesce(sum(CASE WHEN r = 4 THEN mentions END), 0) AS BIGINT) AS e4, CAST(coalesce(sum(CASE WHEN r = 5 THEN mentions END), 0) AS BIGINT) AS e5, CAST(coalesce(sum(CASE WHEN r = 6 THEN mentions END), 0) AS BIGINT) AS e6, CAST(coalesce(sum(CASE WHEN r = 7 THEN mentions END), 0) AS BIGINT) AS e7, CAST(coalesce(sum(CASE WHEN r = 8 THEN mentions END), 0) AS BIGINT) AS e8, CAST(coalesce(sum(CASE WHEN r = 9 THEN mentions END), 0) AS BIGINT) AS e9, CAST(coalesce(sum(CASE WHEN r = 10 THEN mentions END), 0) AS BIGINT) AS e10
+         FROM tl JOIN top ON top.situation_id = tl.situation_id AND top.entity = tl.entity GROUP BY ALL),
+names AS (SELECT situation_id, max(CASE WHEN r = 1 THEN entity END) AS name1, max(CASE WHEN r = 2 THEN entity END) AS name2, max(CASE WHEN r = 3 THEN entity END) AS name3, max(CASE WHEN r = 4 THEN entity END) AS name4, max(CASE WHEN r = 5 THEN entity END) AS name5, max(CASE WHEN r = 6 THEN entity END) AS name6, max(CASE WHEN r = 7 THEN entity END) AS name7, max(CASE WHEN r = 8 THEN entity END) AS name8, max(CASE WHEN r = 9 THEN entity END) AS name9, max(CASE WHEN r = 10 THEN entity END) AS name10 FROM top GROUP BY situation_id)
+SELECT * FROM days JOIN names USING (situation_id)""", "docs"))
+def entity_day_pivot(spark, sf):
+    d = V.docs(spark, sf).select("situation_id", "ts", capitalised_phrases(F.col("content")).alias("entities"))
+    return M.entity_day_pivot(M.entity_timeline(d, NOW, days=7), n=10)
