@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash, normalize_url
 from ..functions.timecols import hour_start
+from ..session import reuse_if_large
 
 
 def first_copies(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -36,11 +37,12 @@ def content_dedup(docs: DataFrame, text_col: str = "content", order: list[str] |
     t = F.col(text_col)
     # Empty content is recognised on the raw column (pushed to the Parquet
     # scan) so the whole-text hash is computed once per row.
-    full = docs.where(t.isNotNull() & (t != "")).withColumn("content_hash", content_hash(t))
+    full = docs.where(t.isNotNull() & (t != "")).withColumn("content_hash", content_hash(t)).drop(text_col)
+    full = reuse_if_large(full, docs)
     ranked = first_copies(full, "content_hash", order)
     kept = ranked.withColumn("status", F.when(F.col("is_first"), "kept").otherwise("duplicate")).drop("is_first")
     rejected = (docs.where(t.isNull() | (t == "")).withColumn("content_hash", F.lit(""))
-                .withColumn("status", F.lit("rejected")))
+                .withColumn("status", F.lit("rejected")).drop(text_col))
     return kept.unionByName(rejected)
 
 

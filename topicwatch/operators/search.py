@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import reuse_if_large
 from .joins import broadcast_if_small
 
 
@@ -54,6 +55,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
         F.col("term").isNotNull())
     post = (exploded.join(vocab, "term", "left_semi")
             .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    post = reuse_if_large(post, docs)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     avgdl = docs.select(F.avg(F.size(TX.words(F.col(text_col))))).scalar()
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import explode_values
+from ..session import reuse_if_large
 from ..functions.timecols import as_ntz, hour_start, minus
 
 
@@ -118,8 +119,9 @@ def trend_direction(daily: DataFrame, keys: list[str], value: str = "n", day: st
 def entity_mentions(docs: DataFrame, entities: Column) -> DataFrame:
     """(situation_id, id, ts, entity) rows, one per distinct entity of a
     document."""
-    return docs.select("situation_id", "id", "ts", explode_values(F.array_distinct(entities)).alias("entity")).where(
+    m = docs.select("situation_id", "id", "ts", explode_values(F.array_distinct(entities)).alias("entity")).where(
         F.col("entity").isNotNull())
+    return reuse_if_large(m, docs)
 
 
 def new_entities(mentions: DataFrame, now, days: float = 7) -> DataFrame:

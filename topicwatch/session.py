@@ -55,3 +55,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Source size above which a narrow intermediate that several branches of a
+# plan read is written once (reliable checkpoint) instead of recomputed.
+MATERIALIZE_CONF = "topicwatch.materialize.minSourceBytes"
+MATERIALIZE_DEFAULT = 64 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (plan statistics; no job runs)."""
+    v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(v) if isinstance(v, int) else int(v.toString())
+
+
+def reuse_if_large(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` is derived from ``source`` and read by several branches of one
+    plan (DataFrames are not cached, so each branch would rescan and
+    recompute ``source``). When ``source`` is estimated above
+    ``topicwatch.materialize.minSourceBytes`` the narrow ``df`` is written
+    once to the shared checkpoint folder and read back by every branch;
+    smaller inputs are recomputed, which is cheaper than a write."""
+    spark = df.sparkSession
+    limit = int(spark.conf.get(MATERIALIZE_CONF, str(MATERIALIZE_DEFAULT)))
+    if estimated_bytes(source) < limit:
+        return df
+    return cut_lineage(df)
