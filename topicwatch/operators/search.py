@@ -58,7 +58,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     post = reuse_if_large(post, docs)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     avgdl = docs.select(F.avg(F.size(TX.words(F.col(text_col))))).scalar()
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counting with an expression over tf and dl keeps this branch's copy of
+    # ``post`` identical to the join's, so Spark reuses its shuffle instead
+    # of tokenising the corpus a second time.
+    df = post.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) | F.col("dl").isNull(), 1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # A term's weight in a document does not depend on the query: compute it
     # once per posting; the query join then only sums weights.
