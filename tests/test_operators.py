@@ -323,3 +323,14 @@ def test_reuse_if_large_checkpoints_same_result(spark):
             assert sorted(map(tuple, df.collect())) == before[n], n
     finally:
         spark.conf.unset(MATERIALIZE_CONF)
+
+
+def test_large_rule_sets_switch_to_scan(spark):
+    """Past the array bound the Aho-Corasick path gives the same alerts."""
+    docs = V.docs(spark, SF_SMALL).select("id", "source_id", "content")
+    rules = AL.rules_frame(spark)
+    small = sorted(map(tuple, AL.match_rules(docs, rules).select("id", "rule_id", "severity", "alert_title",
+                                                                 "alert_message").collect()))
+    big = sorted(map(tuple, AL.match_rules(docs, rules, max_array_keywords=0).select(
+        "id", "rule_id", "severity", "alert_title", "alert_message").collect()))
+    assert small == big and small

@@ -104,13 +104,37 @@ def _rule_hits(rule: Column, low_text: Column, text: Column, source: Column) ->
 
 
 def match_rules(docs: DataFrame, rules: DataFrame, text_col: str = "content", source_col: str = "source_id",
-                max_rules: int = 10_000) -> DataFrame:
+                max_rules: int = 10_000, max_array_keywords: int = 500) -> DataFrame:
     """J-2/J-3/J-4: one alert per (document, matching rule). A rule matches
     when it is enabled, its source list is empty or holds the document's
     source, and any keyword is a case-insensitive substring of the text or
     any regex pattern matches (case-insensitive). Title ``Alert: {name}``,
     message ``Keywords matched in {source}: {first 100 chars of the
-    lower-cased text}...`` (S-22)."""
+    lower-cased text}...`` (S-22).
+
+    Small rule sets (checked: rules and keywords counted) are evaluated as
+    one array per row. Larger keyword sets go through the Aho-Corasick scan;
+    only the rules with regex patterns stay on the array path."""
+    sizes = rules.select(F.count(F.lit(1)).alias("n"),
+                         F.coalesce(F.sum(F.size("keywords")), F.lit(0)).alias("k")).first()
+    if sizes["n"] <= max_rules and sizes["k"] <= max_array_keywords:
+        return _match_rules_array(docs, rules, text_col, source_col, max_rules)
+    return _match_rules_scan(docs, rules, text_col, source_col, max_rules)
+
+
+def _alert_columns(df: DataFrame, low: Column, source_col: str, rule: str = "_r") -> DataFrame:
+    return df.select(
+        "*",
+        F.col(f"{rule}.rule_id").alias("rule_id"),
+        SEV.canonical(F.col(f"{rule}.severity")).alias("severity"),
+        F.concat(F.lit("Alert: "), F.col(f"{rule}.name")).alias("alert_title"),
+        F.concat(F.lit("Keywords matched in "), F.col(source_col).cast("string"), F.lit(": "),
+                 F.substring(low, 1, 100), F.lit("...")).alias("alert_message"),
+    ).drop(rule)
+
+
+def _match_rules_array(docs: DataFrame, rules: DataFrame, text_col: str, source_col: str,
+                       max_rules: int) -> DataFrame:
     arr = as_array(rules, max_rules)
     text = F.col(text_col)
     # The lower-cased text is projected once; lambdas then only reference it.
@@ -119,14 +143,21 @@ def match_rules(docs: DataFrame, rules: DataFrame, text_col: str = "content", so
     hits = with_rules.select("*", explode_values(F.filter(
         F.col("_rules"), lambda r: _rule_hits(r, low, text, F.col(source_col)))).alias("_r")).drop("_rules")
     hits = hits.where(F.col("_r").isNotNull())
-    return hits.select(
-        "*",
-        F.col("_r.rule_id").alias("rule_id"),
-        SEV.canonical(F.col("_r.severity")).alias("severity"),
-        F.concat(F.lit("Alert: "), F.col("_r.name")).alias("alert_title"),
-        F.concat(F.lit("Keywords matched in "), F.col(source_col).cast("string"), F.lit(": "),
-                 F.substring(low, 1, 100), F.lit("...")).alias("alert_message"),
-    ).drop("_r", "_low")
+    return _alert_columns(hits, low, source_col).drop("_low")
+
+
+def _match_rules_scan(docs: DataFrame, rules: DataFrame, text_col: str, source_col: str,
+                      max_rules: int) -> DataFrame:
+    kw_hits = match_keywords_large(docs, rules, text_col)
+    rule_cols = F.struct(*[F.col(c) for c in rules.columns]).alias("_r")
+    joined = (kw_hits.join(rules.select(F.col("rule_id"), rule_cols), "rule_id")
+              .join(docs, "id"))
+    src_ok = (F.size(F.col("_r.source_ids")) == 0) | F.array_contains(F.col("_r.source_ids"), F.col(source_col))
+    kw = joined.where(src_ok).drop("rule_id")
+    out = _alert_columns(kw.withColumn("_low", F.lower(F.col(text_col))), F.col("_low"), source_col).drop("_low")
+    regex_rules = rules.where(F.size("regex_patterns") > 0).withColumn("keywords", F.array().cast("array<string>"))
+    rx = _match_rules_array(docs, regex_rules, text_col, source_col, max_rules)
+    return out.unionByName(rx).dropDuplicates(["id", "rule_id"])
 
 
 def match_keywords_large(docs: DataFrame, rules: DataFrame, text_col: str = "content",
