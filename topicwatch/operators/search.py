@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..session import reuse_if_large
-from .joins import broadcast_if_small
 
 
 def inverted_index(docs: DataFrame, text_col: str = "content") -> DataFrame:

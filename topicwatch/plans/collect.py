@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views as V
-from ..functions.ids import content_hash, netloc, normalize_url
+from ..functions.ids import content_hash, netloc
 from ..operators import dedup as D
 from ..operators import extract as X
 from . import register
