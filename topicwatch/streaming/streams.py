@@ -71,39 +71,105 @@ def url_change_stream(stream: DataFrame, ts: str = "ts", lateness: str = DEFAULT
                                                    GroupStateTimeout.EventTimeTimeout)
 
 
-COOL_STATE = T.StructType([T.StructField("last_us", T.LongType())])
+THROTTLE_STATE = T.StructType([T.StructField("last_us", T.LongType()),
+                               T.StructField("recent_us", T.ArrayType(T.LongType()))])
 
 
-def cooldown_stream(stream: DataFrame, key: str, cooldown_s: float, ts: str = "ts",
-                    lateness: str = DEFAULT_LATENESS) -> DataFrame:
-    """ST-3 / UF-4: greedy cooldown per key in keyed state; a key's state is
-    removed once the watermark passes ``last_sent + cooldown`` (after that
-    the next row is kept regardless)."""
+def throttle_stream(stream: DataFrame, keys: list[str], cooldown_s: float = 0.0, cap: int | None = None,
+                    cap_window_s: float = 3600.0, ts: str = "ts", lateness: str = DEFAULT_LATENESS) -> DataFrame:
+    """ST-3 / ST-4 / ST-6 / UF-4: greedy cooldown and sliding cap per key in
+    keyed state (last kept time and the kept times inside the cap window).
+    With the alert fields as ``keys`` this is the de-dup stream (ST-6). A
+    key's state is removed once the watermark passes the point after which
+    the next row would be kept regardless."""
     s = event_time(stream, ts).withWatermark("event_time", lateness)
-    out_schema = T.StructType([s.schema[key], T.StructField("id", T.LongType()),
-                               T.StructField("event_time", T.TimestampType())])
+    out_schema = T.StructType([s.schema[k] for k in keys] + [T.StructField("id", T.LongType()),
+                                                            T.StructField("event_time", T.TimestampType())])
     cool_us = int(cooldown_s * 1_000_000)
+    win_us = int(cap_window_s * 1_000_000)
+    reach_us = max(cool_us, win_us if cap else 0)
 
     def step(k, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        last, recent = (state.get[0], list(state.get[1] or [])) if state.exists else (None, [])
         rows = pd.concat(list(batches)).sort_values(["event_time", "id"])
         us = (rows["event_time"].astype("int64") // 1000).tolist()
         keep = []
         for t in us:
             ok = last is None or t - last >= cool_us
+            if ok and cap is not None:
+                recent = [r for r in recent if r > t - win_us]
+                ok = len(recent) < cap
             if ok:
                 last = t
+                if cap is not None:
+                    recent.append(t)
             keep.append(ok)
-        kept = rows[keep]
-        state.update((last,))
-        state.setTimeoutTimestamp((last + cool_us) // 1000)
-        yield kept[[key, "id", "event_time"]]
+        state.update((last, recent))
+        state.setTimeoutTimestamp((last + reach_us) // 1000)
+        yield rows[keep][keys + ["id", "event_time"]]
+
+    return s.select(*keys, "id", "event_time").groupBy(*keys).applyInPandasWithState(
+        step, out_schema, THROTTLE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cooldown_stream(stream: DataFrame, key: str, cooldown_s: float, ts: str = "ts",
+                    lateness: str = DEFAULT_LATENESS) -> DataFrame:
+    """ST-3: greedy cooldown per key (``throttle_stream`` without a cap)."""
+    return throttle_stream(stream, [key], cooldown_s=cooldown_s, ts=ts, lateness=lateness)
+
+
+BREAKER_STREAM_STATE = T.StructType([
+    T.StructField("state", T.StringType()), T.StructField("fails", T.LongType()),
+    T.StructField("succ", T.LongType()), T.StructField("opened_us", T.LongType()),
+    T.StructField("times", T.LongType()), T.StructField("n", T.LongType())])
+BREAKER_STREAM_OUT = T.StructType([
+    T.StructField("source_id", T.StringType()), T.StructField("state", T.StringType()),
+    T.StructField("consecutive_failures", T.LongType()), T.StructField("times_opened", T.LongType()),
+    T.StructField("outcomes", T.LongType()), T.StructField("as_of", T.TimestampType())])
+
+
+def breaker_stream(fetch_log: DataFrame, failure_threshold: int = 5, timeout_s: float = 60.0,
+                   half_open_successes: int = 3, ts: str = "ts", lateness: str = DEFAULT_LATENESS,
+                   forget_after_s: float = 30 * 86400) -> DataFrame:
+    """ST-8 / ST-9: circuit breaker and consecutive failures per source in
+    keyed state; emits the state after each micro-batch (update mode). A
+    source silent for ``forget_after_s`` of event time loses its state."""
+    s = (event_time(fetch_log, ts).select(F.col("source_id").cast("string").alias("source_id"), "id", "ok",
+                                           "event_time").withWatermark("event_time", lateness))
+    timeout_us = int(timeout_s * 1_000_000)
 
-    return s.select(key, "id", "event_time").groupBy(key).applyInPandasWithState(
-        step, out_schema, COOL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        st, fails, succ, opened, times, n = state.get if state.exists else ("closed", 0, 0, None, 0, 0)
+        rows = pd.concat(list(batches)).sort_values(["event_time", "id"])
+        us = (rows["event_time"].astype("int64") // 1000).tolist()
+        for t, good in zip(us, rows["ok"].tolist()):
+            n += 1
+            if st == "open" and t - opened >= timeout_us:
+                st, succ = "half_open", 0
+            if st == "closed":
+                fails = 0 if good else fails + 1
+                if not good and fails >= failure_threshold:
+                    st, opened, times = "open", t, times + 1
+            elif st == "half_open":
+                if good:
+                    fails, succ = 0, succ + 1
+                    if succ >= half_open_successes:
+                        st, succ = "closed", 0
+                else:
+                    st, opened, times, succ, fails = "open", t, times + 1, 0, fails + 1
+        state.update((st, fails, succ, opened, times, n))
+        state.setTimeoutTimestamp(us[-1] // 1000 + int(forget_after_s * 1000))
+        yield pd.DataFrame([{"source_id": k[0], "state": st, "consecutive_failures": fails, "times_opened": times,
+                             "outcomes": n, "as_of": rows["event_time"].max()}])
+
+    return s.groupBy("source_id").applyInPandasWithState(step, BREAKER_STREAM_OUT, BREAKER_STREAM_STATE, "update",
+                                                         GroupStateTimeout.EventTimeTimeout)
 
 
 def digest_stream(alerts: DataFrame, interval_minutes: int = 60, key: str = "rule_id", ts: str = "ts",
