@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions import severity as SEV
 from ..functions.text import explode_values
 from ..functions.timecols import hour_start, in_quiet_hours
+from ..session import ship_code
 from .folds import greedy_fold
 
 RULE_SCHEMA = T.StructType([
@@ -166,6 +167,7 @@ def match_keywords_large(docs: DataFrame, rules: DataFrame, text_col: str = "con
     table is broadcast once per executor and an Aho-Corasick automaton scans
     each lower-cased text in ``mapInPandas``. Returns distinct
     (id, rule_id) pairs; regex patterns are not covered here."""
+    ship_code(docs.sparkSession)
     pairs = rules.where(F.col("enabled")).select("rule_id", F.explode("keywords").alias("kw"))
     # Bounded by the rule configuration, not by the data.
     table = [(r["rule_id"], r["kw"].lower()) for r in pairs.toLocalIterator() if r["kw"]]

@@ -69,6 +69,8 @@ def extract_with(pages: DataFrame, fn: Callable, html_col: str = "raw_html") ->
     extraction (title from <title>, text with tags removed)."""
     import re
 
+    from ..session import ship_code
+    ship_code(pages.sparkSession)
     fields = [f.name for f in EXTRACTED.fields]
 
     def run(batches):

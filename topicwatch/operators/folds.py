@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_code
+
 ORIGIN = "2000-01-01 00:00:00"
 
 
@@ -51,6 +53,7 @@ def greedy_fold(df: DataFrame, keys: list[str], cooldown_s: float = 0.0, cap: in
     ``cooldown_s`` passed since the key's last kept row and (b) fewer than
     ``cap`` kept rows of the key lie in (ts - cap_window_s, ts]. Rows are
     taken in (ts, order) order; suppressed rows never move the state."""
+    ship_code(df.sparkSession)
     reach_s = max(cooldown_s, cap_window_s if cap else 0.0, 1e-6)
     reach_us = int(round(reach_s * 1_000_000))
     cool_us = int(round(cooldown_s * 1_000_000))
@@ -141,6 +144,7 @@ def breaker_states(fetch_log: DataFrame, now, failure_threshold: int = 5, timeou
     Outcomes while open are ignored (no call would have been made)."""
     import datetime as dt
 
+    ship_code(fetch_log.sparkSession)
     now_dt = now if isinstance(now, dt.datetime) else dt.datetime.fromisoformat(str(now))
     now_us = (now_dt - dt.datetime.fromisoformat(ORIGIN)) // dt.timedelta(microseconds=1)
     timeout_us = int(round(timeout_s * 1_000_000))

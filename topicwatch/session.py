@@ -81,3 +81,31 @@ def reuse_if_large(df: DataFrame, source: DataFrame) -> DataFrame:
     if estimated_bytes(source) < limit:
         return df
     return cut_lineage(df)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make ``topicwatch`` importable on executors (the pandas-backed folds
+    and keyed-state streams run Python there): the package is zipped on the
+    driver and added with ``addPyFile`` once per SparkContext, the same as
+    ``--py-files``; Spark serves the file to the executors."""
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="topicwatch-code-"), "topicwatch.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

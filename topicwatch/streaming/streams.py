@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.ids import content_hash
+from ..session import ship_code
 from ..operators import extract as X
 from ..operators import alerts as AL
 
@@ -25,6 +26,7 @@ DEFAULT_LATENESS = "5 minutes"  # ST-15: a job's misfire grace of 300 s
 
 
 def event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> DataFrame:
+    ship_code(df.sparkSession)
     return df.withColumn(out, F.col(ts).cast("timestamp"))
 
 
