@@ -120,3 +120,13 @@ def test_read_logs_and_document_by_id(spark, tmpdir_path):
     assert [r["ts"] for r in got] == sorted((r["ts"] for r in got), reverse=True)
     d = V.docs(spark, SF_SMALL)
     assert M.document_by_id(d, 3).count() == 1 and M.document_by_id(d, -1).count() == 0
+
+
+def test_spread_only_widens_narrow_scans(spark):
+    target = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, 1, numPartitions=target * 2).withColumnRenamed("id", "k")
+    assert V.spread(wide, "k") is wide
+    narrow = spark.range(0, 1000, 1, numPartitions=1).withColumnRenamed("id", "k")
+    out = V.spread(narrow, "k")
+    assert out.rdd.getNumPartitions() == target and out.count() == 1000
+    assert "hashpartitioning(k" in out._jdf.queryExecution().executedPlan().toString()
