@@ -32,18 +32,21 @@ def first_copies(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def content_dedup(docs: DataFrame, text_col: str = "content", order: list[str] | None = None) -> DataFrame:
     """W-1: the first copy of each content hash is kept, later copies are
     duplicates (A -> B -> A drops the third); empty content is rejected,
-    not grouped."""
+    not grouped. Empty rows get a key of their own (never a hot group), so
+    one first-copy pass serves every row and the text is hashed once per
+    branch, without a separate scan for the rejects."""
     order = order or ["ts", "id"]
     t = F.col(text_col)
-    # Empty content is recognised on the raw column (pushed to the Parquet
-    # scan) so the whole-text hash is computed once per row.
-    full = docs.where(t.isNotNull() & (t != "")).withColumn("content_hash", content_hash(t)).drop(text_col)
-    full = reuse_if_large(full, docs)
-    ranked = first_copies(full, "content_hash", order)
-    kept = ranked.withColumn("status", F.when(F.col("is_first"), "kept").otherwise("duplicate")).drop("is_first")
-    rejected = (docs.where(t.isNull() | (t == "")).withColumn("content_hash", F.lit(""))
-                .withColumn("status", F.lit("rejected")).drop(text_col))
-    return kept.unionByName(rejected)
+    empty = t.isNull() | (t == "")
+    h = docs.withColumn("_empty", empty).withColumn(
+        "_k", F.when(empty, F.concat(F.lit("\u0000empty:"), F.to_json(F.struct(*order))))
+        .otherwise(content_hash(t))).drop(text_col)
+    h = reuse_if_large(h, docs)
+    ranked = first_copies(h, "_k", order)
+    status = F.when(F.col("_empty"), "rejected").when(F.col("is_first"), "kept").otherwise("duplicate")
+    return (ranked.withColumn("status", status)
+            .withColumn("content_hash", F.when(F.col("_empty"), F.lit("")).otherwise(F.col("_k")))
+            .drop("_k", "_empty", "is_first"))
 
 
 def bucket_of(ts: Column, bucket: str) -> Column:
