@@ -208,9 +208,9 @@ def keyword_gate(alerts: DataFrame, rules: DataFrame, max_rules: int = 10_000) -
     order enabled, source, severity, keywords, quiet hours."""
     arr = as_array(rules, max_rules)
     a = alerts.select("*", arr.alias("_rules"))
-    rule = F.element_at(F.filter(F.col("_rules"), lambda r: r["rule_id"] == F.col("rule_id")), 1)
-    a = a.withColumn("_rule", F.when(F.size(F.filter(F.col("_rules"), lambda r: r["rule_id"] == F.col("rule_id"))) > 0,
-                                     rule)).drop("_rules")
+    # One lookup per row; try_element_at gives NULL when no rule has this id.
+    rule = F.try_element_at(F.filter(F.col("_rules"), lambda r: r["rule_id"] == F.col("rule_id")), F.lit(1))
+    a = a.withColumn("_rule", rule).drop("_rules")
     r = F.col("_rule")
     text = F.lower(F.concat_ws(" ", F.col("title"), F.col("message")))
     kw_ok = (F.size(r["keywords"]) == 0) | F.exists(r["keywords"], lambda k: F.instr(text, F.lower(k)) > 0)
