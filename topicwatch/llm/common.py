@@ -46,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     whose size Spark knows (so it broadcasts by size, or splits a skewed key)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,15 @@ from .common import text_or_empty
 from .decontamination import contained_items
 from .exact_dedup import content_sort
 from .line_dedup import drop_common_lines
+from .packing import pack, token_pieces
 from .sharding import interleave
+from .training_order import training_order
+
+
+def vocabulary() -> str:
+    """The public tokenizer file of the contracts."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,3 +103,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text_or_empty("text").cast("binary")).alias("text_crc32"))
     out = interleave(docs, 8, carry=["doc_id", "size", "text_crc32"])
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@register("op8_training_order")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of 255 ids in keyed random order; ids as read back from the shards."""
+    return training_order(table(spark, sf_dir, "documents"), vocabulary(), length=256)
+
+
+@register("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed best-fit decreasing into sequences of 2048 tokens."""
+    return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary(), 2048), 2048)
