@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import register
-from .common import text_or_empty
+from .common import scratch_path, text_or_empty
 from .decontamination import contained_items
 from .exact_dedup import content_sort
 from .line_dedup import drop_common_lines
 from .packing import pack, token_pieces
+from .quality import classify
 from .sharding import interleave
 from .training_order import training_order
+from .warc import read_warc, write_warc
 
 
 def vocabulary() -> str:
@@ -49,6 +51,13 @@ FROM c JOIN n USING (item_id) WHERE shared_shingles >= 0.8 * item_shingles
 """
 
 
+@register("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's evidence, site rates and posterior of being bad (low quality or toxic)."""
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.drop("_k1", "_k2")
+
+
 @register("op2_benchmark_decontamination", DECONTAMINATION_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) with at least 0.8 of the item's five-word shingles in the document."""
@@ -73,6 +82,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+@register("op4_warc", r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS uri, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, uri, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (((('0x' || substr(h, (i // 4)::INT * 5 + 1, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, true AS valid
+FROM p
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back: segments joined, chunks decoded."""
+    path = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return (read_warc(spark, path, payloads=False)
+            .withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")}))
+
+
 @register("op5_line_dedup", r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
