@@ -10,6 +10,7 @@ from . import register
 from .common import scratch_path, text_or_empty
 from .decontamination import contained_items
 from .exact_dedup import content_sort
+from .jaccard_join import jaccard_components
 from .line_dedup import drop_common_lines
 from .packing import pack, token_pieces
 from .quality import classify
@@ -134,6 +135,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@register("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 @register("op8_training_order")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences of 255 ids in keyed random order; ids as read back from the shards."""
