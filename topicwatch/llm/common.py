@@ -50,6 +50,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give back disk between the steps of a long operator: delete the given
+    materialised tables, and let Spark's cleaner drop shuffle files whose plans are
+    no longer referenced (it only acts on a collection of the driver's garbage)."""
+    import gc
+    for t in tables:
+        for f in t.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

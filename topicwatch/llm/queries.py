@@ -15,6 +15,7 @@ from .line_dedup import drop_common_lines
 from .packing import pack, token_pieces
 from .quality import classify
 from .sharding import interleave
+from .suffix_dedup import remove_repeats
 from .training_order import training_order
 from .warc import read_warc, write_warc
 
@@ -151,3 +152,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed best-fit decreasing into sequences of 2048 tokens."""
     return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary(), 2048), 2048)
+
+
+@register("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 50-byte string that also starts in a document with a smaller id go."""
+    out = remove_repeats(table(spark, sf_dir, "documents"), 50, carry=["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
