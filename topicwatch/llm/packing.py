@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_code
 from .common import materialize, text_or_empty
 from .tokens import TextTokenizer, read_model
 
@@ -28,6 +29,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, length: int = 2048, id_col:
     none without an end id. Rows that repeat an id each give their pieces. The
     tokenizer file is read on the driver and travels with the task.
     """
+    ship_code(df.sparkSession)
     model, size = read_model(tokenizer_path), 4 * length
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(text_col).alias("_text"))
@@ -124,6 +126,7 @@ def pack(pieces: DataFrame, length: int = 2048, group_pieces: int = GROUP_PIECES
     document. Ties in length are placed in the order of the other columns. An
     empty table gives an empty result.
     """
+    ship_code(pieces.sparkSession)
     pieces = materialize(pieces, "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     names = pieces.columns

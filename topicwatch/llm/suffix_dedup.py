@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_code
 from .common import materialize, packed, release, row_key, text_or_empty, unpacked
 
 #: Bytes of a gram; most windows of a segment; bytes that one transform holds on
@@ -338,6 +339,7 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     id and text get the same result. An empty table gives an empty result.
     """
     spark = df.sparkSession
+    ship_code(spark)
     text = text_or_empty(text_col)
     ids = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
     rows = df.select(packed(df, carry), ids.alias("_id"), text.alias("_text"), *row_key(text))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_code
 from .common import materialize, scratch_path
 from .packing import token_pieces
 
@@ -58,6 +59,7 @@ def slotted(sequences: DataFrame, key: int) -> DataFrame:
     moves for it (one row per task is summed in order). The Feistel network
     turns the index into the slot. Without rows the result is empty.
     """
+    ship_code(sequences.sparkSession)
     numbered = sequences.withColumn("_at", F.monotonically_increasing_id())
     # the high bits of monotonically_increasing_id are the task, the low 33 its row
     numbered = materialize(numbered.withColumn("_task", F.shiftright("_at", 33).cast("int"))
@@ -102,6 +104,7 @@ def write_training_shards(sequences: DataFrame, path: str, length: int, shard_ro
 
 def read_training_shards(spark: SparkSession, path: str, length: int, shard_rows: int, width: int = 2) -> DataFrame:
     """``slot`` and ``record`` (``length`` ids of ``width`` bytes) of every record under ``path``."""
+    ship_code(spark)
     stride = length * width
 
     def split(batches: Iterator) -> Iterator:

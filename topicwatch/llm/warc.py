@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_code
 from .common import materialize, text_or_empty
 
 CRLF = b"\r\n"
@@ -94,6 +95,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     repeat an id and its payload are responses of their own. A file holds at most
     ``records_per_file`` records.
     """
+    ship_code(pages.sparkSession)
     body = F.encode(text_or_empty(body_col), "UTF-8")
     rows = pages.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("page"),
                         F.col(f"`{id_col}`").alias("id"), text_or_empty(url_col).alias("uri"), body.alias("payload"))
@@ -192,6 +194,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     (false if the record is incomplete or the digest differs; never dropped)
     and, with ``payloads``, ``payload`` (null for revisits).
     """
+    ship_code(spark)
     records = archive_records(spark, path, False).unionByName(reassembled(archive_records(spark, path, True)))
     schema = ("page_id string, uri string, record_type string, payload_bytes long, payload_digest string, "
               "refers_to string, valid boolean" + (", payload binary" if payloads else ""))
