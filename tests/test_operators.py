@@ -130,8 +130,6 @@ def test_rule_matching_e2e_fixture(spark):
              keywords=["critical", "error", "failure"])])
     got = sorted((r["id"], r["rule_id"]) for r in AL.match_rules(docs, rules).collect())
     assert got == [(1, "security-rule"), (3, "critical-rule"), (4, "security-rule")]
-    big = sorted((r["id"], r["rule_id"]) for r in AL.match_keywords_large(docs, rules).collect())
-    assert big == [(1, "security-rule"), (3, "critical-rule")]
     msg = AL.match_rules(docs, rules).where("id = 3").first()
     assert msg["alert_title"] == "Alert: Critical Errors"
     assert msg["alert_message"].startswith("Keywords matched in s1: critical system")
@@ -325,12 +323,78 @@ def test_reuse_if_large_checkpoints_same_result(spark):
         spark.conf.unset(MATERIALIZE_CONF)
 
 
-def test_large_rule_sets_switch_to_scan(spark):
-    """Past the array bound the Aho-Corasick path gives the same alerts."""
-    docs = V.docs(spark, SF_SMALL).select("id", "source_id", "content")
-    rules = AL.rules_frame(spark)
-    small = sorted(map(tuple, AL.match_rules(docs, rules).select("id", "rule_id", "severity", "alert_title",
-                                                                 "alert_message").collect()))
-    big = sorted(map(tuple, AL.match_rules(docs, rules, max_array_keywords=0).select(
-        "id", "rule_id", "severity", "alert_title", "alert_message").collect()))
-    assert small == big and small
+def test_large_rule_sets_keep_their_meaning(spark):
+    """Hundreds of rules: every document row and rule counts, empty keywords match nothing."""
+    docs = spark.createDataFrame([(1, "s", "alpha w7 end"), (1, "s", "alpha w7 end"), (2, None, None), (3, "s", "none")],
+                                 "id long, source_id string, content string")
+    rules = AL.rules_frame(spark, [dict(rule_id=f"r{i}", name=f"n{i}", enabled=True, severity="info",
+                                        keywords=[f"w{i} ", ""]) for i in range(600)])
+    got = sorted((r["id"], r["rule_id"]) for r in AL.match_rules(docs, rules).collect())
+    assert got == [(1, "r7"), (1, "r7")]
+
+
+def test_folds_keep_null_keys_and_times(spark):
+    rows = [(1, None, dt.datetime(2024, 1, 1)), (2, None, dt.datetime(2024, 1, 1, 0, 1)), (3, "a", dt.datetime(2024, 1, 1)),
+            (4, "a", None), (5, None, dt.datetime(2024, 1, 2)), (6, "a", dt.datetime(2024, 1, 1, 0, 2))]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz")
+    for cap in (None, 1):
+        out = FO.greedy_fold(df, ["key"], cooldown_s=600, cap=cap).collect()
+        assert {r["id"]: r["kept"] for r in out} == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False}
+    numbers = df.withColumn("key", F.when(F.col("key") == "a", F.lit(1)).cast("long"))
+    assert {r["id"] for r in FO.greedy_fold(numbers, ["key"], cooldown_s=600).where("kept").collect()} == {1, 3, 4, 5}
+
+
+def test_null_sources_and_urls_are_kept(spark):
+    from topicwatch.operators import health as H
+    day = lambda d, h: dt.datetime(2024, 1, d, h)
+    log = spark.createDataFrame(
+        [(1, None, day(1, 1), False), (2, None, day(1, 2), True), (3, None, day(1, 3), False), (4, None, day(2, 1), False),
+         (5, "a", day(1, 1), False), (6, "a", day(3, 1), False), (7, "b", day(1, 1), True), (8, "c", day(1, 5), None)],
+        "id long, source_id string, ts timestamp_ntz, ok boolean")
+    got = {r["source_id"]: r["consecutive_failures"] for r in H.consecutive_failures(log).collect()}
+    assert got == {None: 2, "a": 2, "b": 0, "c": 0}
+    src = spark.createDataFrame([(1, None), (2, "http://x/"), (3, "http://x/"), (4, None)], "id long, url string")
+    assert sorted(r["id"] for r in D.dedup_sources(src).collect()) == [1, 2]
+
+
+def test_maintenance_keeps_what_it_knows(spark):
+    from topicwatch.operators import quality as Q
+    t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    alerts = spark.createDataFrame([(1, True, t1, "old"), (2, False, None, None), (3, False, None, None), (4, None, None, None)],
+                                   "id long, acknowledged boolean, acknowledged_at timestamp_ntz, acknowledged_by string")
+    acks = spark.createDataFrame([(1, t2, "new"), (2, t2, "x"), (2, t1, "y"), (4, t1, "z")],
+                                 "id long, acknowledged_at timestamp_ntz, acknowledged_by string")
+    got = {r["id"]: (r["acknowledged"], r["acknowledged_at"], r["acknowledged_by"]) for r in Q.acknowledge(alerts, acks).collect()}
+    assert got == {1: (True, t1, "old"), 2: (True, t1, "y"), 3: (False, None, None), 4: (True, t1, "z")}
+    rows = spark.createDataFrame([(1, t1), (2, None), (3, dt.datetime(2020, 1, 1))], "id long, ts timestamp_ntz")
+    assert {r["id"]: r["status"] for r in Q.retention_split(rows, "2024-01-03 00:00:00", 30, "t").collect()} == {
+        1: "keep", 2: "undated", 3: "expired"}
+
+
+def test_webhook_payload_is_json(spark):
+    import json
+    rows = [(1, 'say "hi" {{message}}', "a\nb", "info"), (2, None, None, "error")]
+    df = spark.createDataFrame(rows, "id long, title string, message string, severity string")
+    out = df.select(AL.payload(F.col("id"), F.col("title"), F.col("message"), F.col("severity"), F.lit(None).cast("timestamp_ntz"),
+                               F.lit("webhook"), F.lit('{"i": "{{alert_id}}", "t": "{{title}}", "m": "{{message}}"}')).alias("p"))
+    got = [json.loads(r["p"]) for r in out.collect()]
+    assert got == [{"i": "1", "t": 'say "hi" {{message}}', "m": "a\nb"}, {"i": "2", "t": "", "m": ""}]
+
+
+def test_dates_and_nested_blocks(spark):
+    from topicwatch.functions import html as H
+    dates = {"2024-01-05T03:04:05.123456": dt.datetime(2024, 1, 5, 3, 4, 5, 123456),
+             "2024-01-05T03:04:05.5+02:00": dt.datetime(2024, 1, 5, 1, 4, 5, 500000),
+             "2024-01-05T03:04:05Z": dt.datetime(2024, 1, 5, 3, 4, 5), "2024-01-05T03:04:05+0100": dt.datetime(2024, 1, 5, 2, 4, 5),
+             "2024-01-05": dt.datetime(2024, 1, 5), "January 5, 2024": dt.datetime(2024, 1, 5), "soon": None, "": None}
+    df = spark.createDataFrame([(k,) for k in dates], "s string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r["s"]: r["d"] for r in df.select("s", H.parse_date(F.col("s")).alias("d")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == dates
+    page = ("<body><div class='x'>no</div><div class='content'><div>first part</div><p>second <div>deep<div>er</div></div></p></div>"
+            "<div>after</div></body>")
+    text = spark.createDataFrame([(page,)], "h string").select(H.article_text(F.col("h")).alias("t")).first()["t"]
+    assert "first part" in text and "second" in text and "deep" in text and "after" not in text and "no" not in text.split()

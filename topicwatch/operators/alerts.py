@@ -4,9 +4,8 @@ J-11, J-14, S-16..S-22, W-5, ST-3..ST-7, SNK-11, A-20, A-23).
 Rules and channels are configuration: a small table whose size is checked.
 They reach the tasks as one scalar-subquery array, and every document or
 alert row evaluates that array in a projection (``filter`` + ``explode``):
-no cross join, no shuffle of the big side. Rule sets beyond the bound use an
-Aho-Corasick keyword scan in ``mapInPandas`` with the keyword table
-broadcast by ``SparkContext.broadcast``.
+no cross join, no shuffle of the big side. Where a rule is looked up by its
+id (the gate), it is joined instead.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import types as T
 from ..functions import severity as SEV
 from ..functions.text import explode_values
 from ..functions.timecols import hour_start, in_quiet_hours
-from ..session import ship_code
 from .folds import greedy_fold
 
 RULE_SCHEMA = T.StructType([
@@ -89,38 +87,36 @@ def rules_frame(spark: SparkSession, rules: list[dict] | None = None) -> DataFra
     return config_frame(spark, rules if rules is not None else EXAMPLE_RULES, RULE_SCHEMA)
 
 
-def as_array(config: DataFrame, max_rows: int) -> Column:
-    """The whole (size-checked) config table as one scalar array column."""
-    n = config.count()
-    if n > max_rows:
-        raise ValueError(f"configuration table has {n} rows > {max_rows}")
+def as_array(config: DataFrame) -> Column:
+    """The whole configuration table as one scalar array column. Its size is the
+    configuration's (rules and channels that people write), not the data's."""
     return config.select(F.collect_list(F.struct(*config.columns))).scalar()
 
 
 def _rule_hits(rule: Column, low_text: Column, text: Column, source: Column) -> Column:
     source_ok = (F.size(rule["source_ids"]) == 0) | F.array_contains(rule["source_ids"], source)
-    kw = F.exists(rule["keywords"], lambda k: F.instr(low_text, F.lower(k)) > 0)
+    kw = F.exists(rule["keywords"], lambda k: (k != "") & (F.instr(low_text, F.lower(k)) > 0))
     rx = F.exists(rule["regex_patterns"], lambda p: F.regexp_like(text, F.concat(F.lit("(?i)"), p)))
     return F.coalesce(rule["enabled"], F.lit(False)) & source_ok & (kw | rx)
 
 
-def match_rules(docs: DataFrame, rules: DataFrame, text_col: str = "content", source_col: str = "source_id",
-                max_rules: int = 10_000, max_array_keywords: int = 500) -> DataFrame:
-    """J-2/J-3/J-4: one alert per (document, matching rule). A rule matches
+def match_rules(docs: DataFrame, rules: DataFrame, text_col: str = "content",
+                source_col: str = "source_id") -> DataFrame:
+    """J-2/J-3/J-4: one alert per (document row, matching rule). A rule matches
     when it is enabled, its source list is empty or holds the document's
-    source, and any keyword is a case-insensitive substring of the text or
+    source, and any non-empty keyword is a case-insensitive substring of the text or
     any regex pattern matches (case-insensitive). Title ``Alert: {name}``,
     message ``Keywords matched in {source}: {first 100 chars of the
-    lower-cased text}...`` (S-22).
-
-    Small rule sets (checked: rules and keywords counted) are evaluated as
-    one array per row. Larger keyword sets go through the Aho-Corasick scan;
-    only the rules with regex patterns stay on the array path."""
-    sizes = rules.select(F.count(F.lit(1)).alias("n"),
-                         F.coalesce(F.sum(F.size("keywords")), F.lit(0)).alias("k")).first()
-    if sizes["n"] <= max_rules and sizes["k"] <= max_array_keywords:
-        return _match_rules_array(docs, rules, text_col, source_col, max_rules)
-    return _match_rules_scan(docs, rules, text_col, source_col, max_rules)
+    lower-cased text}...`` (S-22). One path for rule sets of every size."""
+    arr = as_array(rules)
+    text = F.col(text_col)
+    # The lower-cased text is projected once; lambdas then only reference it.
+    with_rules = docs.select("*", F.lower(text).alias("_low"), arr.alias("_rules"))
+    low = F.col("_low")
+    hits = with_rules.select("*", explode_values(F.filter(
+        F.col("_rules"), lambda r: _rule_hits(r, low, text, F.col(source_col)))).alias("_r")).drop("_rules")
+    hits = hits.where(F.col("_r").isNotNull())
+    return _alert_columns(hits, low, source_col).drop("_low")
 
 
 def _alert_columns(df: DataFrame, low: Column, source_col: str, rule: str = "_r") -> DataFrame:
@@ -134,83 +130,13 @@ def _alert_columns(df: DataFrame, low: Column, source_col: str, rule: str = "_r"
     ).drop(rule)
 
 
-def _match_rules_array(docs: DataFrame, rules: DataFrame, text_col: str, source_col: str,
-                       max_rules: int) -> DataFrame:
-    arr = as_array(rules, max_rules)
-    text = F.col(text_col)
-    # The lower-cased text is projected once; lambdas then only reference it.
-    with_rules = docs.select("*", F.lower(text).alias("_low"), arr.alias("_rules"))
-    low = F.col("_low")
-    hits = with_rules.select("*", explode_values(F.filter(
-        F.col("_rules"), lambda r: _rule_hits(r, low, text, F.col(source_col)))).alias("_r")).drop("_rules")
-    hits = hits.where(F.col("_r").isNotNull())
-    return _alert_columns(hits, low, source_col).drop("_low")
-
-
-def _match_rules_scan(docs: DataFrame, rules: DataFrame, text_col: str, source_col: str,
-                      max_rules: int) -> DataFrame:
-    kw_hits = match_keywords_large(docs, rules, text_col)
-    rule_cols = F.struct(*[F.col(c) for c in rules.columns]).alias("_r")
-    joined = (kw_hits.join(rules.select(F.col("rule_id"), rule_cols), "rule_id")
-              .join(docs, "id"))
-    src_ok = (F.size(F.col("_r.source_ids")) == 0) | F.array_contains(F.col("_r.source_ids"), F.col(source_col))
-    kw = joined.where(src_ok).drop("rule_id")
-    out = _alert_columns(kw.withColumn("_low", F.lower(F.col(text_col))), F.col("_low"), source_col).drop("_low")
-    regex_rules = rules.where(F.size("regex_patterns") > 0).withColumn("keywords", F.array().cast("array<string>"))
-    rx = _match_rules_array(docs, regex_rules, text_col, source_col, max_rules)
-    return out.unionByName(rx).dropDuplicates(["id", "rule_id"])
-
-
-def match_keywords_large(docs: DataFrame, rules: DataFrame, text_col: str = "content",
-                         id_col: str = "id") -> DataFrame:
-    """J-2 for rule sets too large to ship as one array: the (rule, keyword)
-    table is broadcast once per executor and an Aho-Corasick automaton scans
-    each lower-cased text in ``mapInPandas``. Returns distinct
-    (id, rule_id) pairs; regex patterns are not covered here."""
-    ship_code(docs.sparkSession)
-    pairs = rules.where(F.col("enabled")).select("rule_id", F.explode("keywords").alias("kw"))
-    # Bounded by the rule configuration, not by the data.
-    table = [(r["rule_id"], r["kw"].lower()) for r in pairs.toLocalIterator() if r["kw"]]
-    bc = docs.sparkSession.sparkContext.broadcast(table)
-
-    def scan(batches):
-        import ahocorasick
-        import pandas as pd
-        auto = ahocorasick.Automaton()
-        by_kw: dict[str, set] = {}
-        for rid, kw in bc.value:
-            by_kw.setdefault(kw, set()).add(rid)
-        for kw in by_kw:
-            auto.add_word(kw, kw)
-        auto.make_automaton()
-        for pdf in batches:
-            out_id, out_rule = [], []
-            for i, t in zip(pdf[id_col].tolist(), pdf[text_col].tolist()):
-                if not t or not by_kw:
-                    continue
-                seen: set = set()
-                for _, kw in auto.iter(t.lower()):
-                    seen |= by_kw[kw]
-                for rid in sorted(seen):
-                    out_id.append(i)
-                    out_rule.append(rid)
-            if out_id:
-                yield pd.DataFrame({id_col: pd.Series(out_id, dtype=pdf[id_col].dtype),
-                                    "rule_id": pd.Series(out_rule, dtype="object")})
-
-    schema = T.StructType([docs.schema[id_col], T.StructField("rule_id", T.StringType())])
-    return docs.select(id_col, text_col).mapInPandas(scan, schema)
-
-
-def keyword_gate(alerts: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> DataFrame:
+def keyword_gate(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """J-14 + F-17 + J-4 + S-17 as one gate: every alert meets its rule (by
-    rule_id); adds ``gate`` = 'pass' or the first failing reason, in the
-    order enabled, source, severity, keywords, quiet hours."""
-    arr = as_array(rules, max_rules)
-    a = alerts.select("*", arr.alias("_rules"))
-    # One lookup per row; try_element_at gives NULL when no rule has this id.
-    rule = F.try_element_at(F.filter(F.col("_rules"), lambda r: r["rule_id"] == F.col("rule_id")), F.lit(1))
-    a = a.withColumn("_rule", rule).drop("_rules")
+    rule_id, a left join that Spark broadcasts by size); adds ``gate`` = 'pass'
+    or the first failing reason, in the order enabled, source, severity,
+    keywords, quiet hours. Of rules that share an id the smallest row counts."""
+    one = rules.groupBy(F.col("rule_id").alias("_rule_id")).agg(F.min(F.struct(*rules.columns)).alias("_rule"))
+    a = alerts.join(one, F.col("rule_id") == F.col("_rule_id"), "left").drop("_rule_id")
     r = F.col("_rule")
     text = F.lower(F.concat_ws(" ", F.col("title"), F.col("message")))
     kw_ok = (F.size(r["keywords"]) == 0) | F.exists(r["keywords"], lambda k: F.instr(text, F.lower(k)) > 0)
@@ -268,13 +194,12 @@ def digests(alerts: DataFrame, interval_minutes: int, keys: list[str] | None = N
                     F.concat(F.col("alert_count").cast("string"), F.lit(" alerts")).alias("title"))
 
 
-def channel_fanout(alerts: DataFrame, channels: DataFrame, only: list[str] | None = None,
-                   max_channels: int = 1000) -> DataFrame:
+def channel_fanout(alerts: DataFrame, channels: DataFrame, only: list[str] | None = None) -> DataFrame:
     """J-11 + ST-7: one row per (alert, enabled channel) with ``status``:
     'filtered' (below the channel's minimum severity), 'quiet hours',
     'rate limited' (an identical alert passed the channel less than
     rate_limit_seconds before) or 'sent'."""
-    arr = as_array(channels, max_channels)
+    arr = as_array(channels)
     a = alerts.select("*", arr.alias("_ch"))
     chosen = F.filter(F.col("_ch"), lambda c: F.coalesce(c["enabled"], F.lit(False))
                       & (F.lit(True) if not only else c["channel"].isin(*only)))
@@ -313,6 +238,12 @@ def delivery_stats(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per_alert, per_channel
 
 
+def json_text(value: Column) -> Column:
+    """A value as the inside of a JSON string literal (NULL: empty)."""
+    quoted = F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("v")))
+    return F.substring(quoted, F.lit(7), F.length(quoted) - 8)
+
+
 def payload(alert_id: Column, title: Column, message: Column, severity: Column, ts: Column,
             kind: Column, template: Column) -> Column:
     """SNK-11: notification body per channel kind (discord embed, email
@@ -333,9 +264,16 @@ def payload(alert_id: Column, title: Column, message: Column, severity: Column,
         F.struct(F.lit("section").alias("type"),
                  F.struct(F.lit("mrkdwn").alias("type"), message.alias("text")).alias("text"))).alias("blocks")))
     tpl = F.coalesce(template, F.lit('{"alert_id": "{{alert_id}}", "title": "{{title}}"}'))
-    webhook = F.replace(F.replace(F.replace(F.replace(tpl, F.lit("{{alert_id}}"), alert_id.cast("string")),
-                                            F.lit("{{title}}"), title), F.lit("{{message}}"), message),
-                        F.lit("{{severity}}"), severity)
+    values = {"alert_id": alert_id.cast("string"), "title": title, "message": message, "severity": severity}
+
+    def filled(part: Column) -> Column:
+        out = part
+        for name, value in values.items():
+            out = F.when(part == f"{{{{{name}}}}}", json_text(value)).otherwise(out)
+        return out
+
+    # One pass: the template is cut at its placeholders, so text put in is never read as a placeholder.
+    webhook = F.array_join(F.transform(F.split(tpl, r"(?=\{\{)|(?<=\}\})"), filled), "")
     return (F.when(kind == "discord", discord).when(kind == "email", email).when(kind == "slack", slack)
             .when(kind == "webhook", webhook).otherwise(console))
 

@@ -4,8 +4,8 @@ One key (a hash, a URL) may hold a third of all rows. None of these plans
 sends a whole key group through one window partition:
 
 * first-copy detection reduces each key to its first (ts, id) with a
-  partial/final aggregate (map-side combine) and joins it back; AQE splits a
-  skewed join partition;
+  partial/final aggregate (map-side combine) and joins it back on the key and
+  the unique order together, so a hot key's rows spread evenly;
 * change detection runs ``lag`` inside (key, time bucket) partitions and
   carries the last value of the previous non-empty bucket over from a small
   per-bucket table.
@@ -13,6 +13,8 @@ sends a whole key group through one window partition:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,16 @@ from ..session import reuse_if_large
 
 def first_copies(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``is_first``: the row is the first of its key by ``order``
-    (which must end in a unique column)."""
+    (which must end in a unique column). The firsts are joined back on the key
+    and the whole order, null-safe: the order is unique, so a hot key's
+    rows spread evenly, and rows with a NULL key form a group of their own."""
+    names = [key, *[c for c in order if c != key]]
     firsts = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    out = df.join(firsts, key, "left")
-    return out.withColumn("is_first", F.struct(*order) == F.col("_first")).drop("_first")
+    firsts = firsts.select(*[(F.col(c) if c not in order else F.col("_first").getField(c)).alias(f"_of_{c}") for c in names],
+                           F.lit(True).alias("is_first"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])
+    out = df.join(firsts, same, "left").drop(*[f"_of_{c}" for c in names])
+    return out.withColumn("is_first", F.coalesce("is_first", F.lit(False)))
 
 
 def content_dedup(docs: DataFrame, text_col: str = "content", order: list[str] | None = None) -> DataFrame:
@@ -96,18 +104,8 @@ def unseen(batch: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return batch.join(known.select(key).distinct(), key, "left_anti")
 
 
-def new_elements(current: Column, history: Column) -> Column:
-    """X-2 on arrays."""
-    return F.array_except(current, history)
-
-
 def dedup_sources(sources: DataFrame, url_col: str = "url", order: list[str] | None = None) -> DataFrame:
     """X-3: one source per normalised URL (first by ``order``)."""
     order = order or ["id"]
     n = sources.withColumn("url_norm", normalize_url(F.col(url_col)))
     return first_copies(n, "url_norm", order).where("is_first").drop("is_first")
-
-
-def distinct_sorted(c: Column) -> Column:
-    """X-1: unordered set as a sorted distinct array."""
-    return F.array_sort(F.array_distinct(c))

@@ -20,6 +20,7 @@ semantics allow:
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,10 @@ def segment(df: DataFrame, keys: list[str], reach_us: int, ts: str = "ts") -> Da
     prev_hi = F.lag("_hi").over(w)
     b = b.withColumn("_start", (prev_hi.isNull() | ((F.col("_lo") - prev_hi) >= reach_us)).cast("int"))
     b = b.withColumn("_seg", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.join(b.select(*keys, "_b", "_seg"), keys + ["_b"]).drop("_b")
+    # null-safe: a row whose key holds a NULL belongs to the NULL key, it is not lost
+    b = b.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_b").alias("_of_b"), "_seg")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return d.join(b, (F.col("_b") == F.col("_of_b")) & same).drop("_b", "_of_b", *[f"_of_{k}" for k in keys])
 
 
 def greedy_fold(df: DataFrame, keys: list[str], cooldown_s: float = 0.0, cap: int | None = None,
@@ -52,19 +56,23 @@ def greedy_fold(df: DataFrame, keys: list[str], cooldown_s: float = 0.0, cap: in
     """Adds boolean ``out_col``. A row is kept when (a) at least
     ``cooldown_s`` passed since the key's last kept row and (b) fewer than
     ``cap`` kept rows of the key lie in (ts - cap_window_s, ts]. Rows are
-    taken in (ts, order) order; suppressed rows never move the state."""
+    taken in (ts, order) order; suppressed rows never move the state. NULL is a
+    key value like any other; rows without a time are kept and move no
+    state."""
     ship_code(df.sparkSession)
     reach_s = max(cooldown_s, cap_window_s if cap else 0.0, 1e-6)
     reach_us = int(round(reach_s * 1_000_000))
     cool_us = int(round(cooldown_s * 1_000_000))
     win_us = int(round(cap_window_s * 1_000_000))
-    seg = segment(df, keys, reach_us, ts)
+    untimed = df.where(F.col(ts).isNull()).withColumn(out_col, F.lit(True))
+    seg = segment(df.where(F.col(ts).isNotNull()), keys, reach_us, ts)
     ready = seg.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", "_us", order)
     out_schema = T.StructType(ready.schema.fields + [T.StructField(out_col, T.BooleanType(), False)])
     group_cols = keys + ["_seg"]
 
     def fold(batches):
         import numpy as np
+        import pandas as pd
 
         current = None          # group key of the run continuing from the previous batch
         last = None             # last kept time of that group
@@ -79,12 +87,12 @@ def greedy_fold(df: DataFrame, keys: list[str], cooldown_s: float = 0.0, cap: in
             change = np.zeros(n, dtype=bool)
             change[0] = True
             for c in group_cols:
-                col = pdf[c].to_numpy()
-                change[1:] |= col[1:] != col[:-1]
+                col, none = pdf[c].to_numpy(), pdf[c].isna().to_numpy()
+                change[1:] |= (col[1:] != col[:-1]) & ~(none[1:] & none[:-1])
             starts = np.flatnonzero(change).tolist() + [n]
             kept = np.zeros(n, dtype=bool)
             for s0, e0 in zip(starts[:-1], starts[1:]):
-                g = tuple(pdf[c].iat[s0] for c in group_cols)
+                g = tuple(None if pd.isna(v := pdf[c].iat[s0]) else v for c in group_cols)
                 if g != current:
                     current, last, recent = g, None, deque()
                 t = times[s0:e0]
@@ -114,7 +122,7 @@ def greedy_fold(df: DataFrame, keys: list[str], cooldown_s: float = 0.0, cap: in
             pdf[out_col] = kept
             yield pdf
 
-    return ready.mapInPandas(fold, out_schema).drop("_us", "_seg")
+    return ready.mapInPandas(fold, out_schema).drop("_us", "_seg").unionByName(untimed)
 
 
 def pd_bool(pdf):

@@ -2,8 +2,8 @@
 A-19, A-22, A-26, SNK-9).
 
 Per-source facts come from partial/final aggregates over the fetch log; the
-only join back to row level is against a one-row-per-source table (AQE
-splits a hot source's partition). The breaker state machine is the fold in
+only join back to row level (consecutive failures) is on (source, day), so a
+hot source's rows spread over its days. The breaker state machine is the fold in
 ``folds.breaker_states``.
 """
 
@@ -26,10 +26,21 @@ MIN_REQUEST_SPACING_S = 6.0
 def consecutive_failures(fetch_log: DataFrame, base: float = 2.0, key: str = "source_id") -> DataFrame:
     """W-14 / ST-9: failures after the last success (by ts, id), and the
     backoff ``base ** min(n, 6)`` seconds (0 without failures)."""
-    last_ok = fetch_log.groupBy(key).agg(F.max(F.when(F.col("ok"), F.struct("ts", "id"))).alias("_lo"))
-    j = fetch_log.select(key, "ts", "id", "ok").join(last_ok, key)
-    after = (~F.col("ok")) & (F.col("_lo").isNull() | (F.struct("ts", "id") > F.col("_lo")))
-    n = j.groupBy(key).agg(F.count_if(after).alias("consecutive_failures"))
+    # One row per (source, day); a NULL source is a source of its own, an
+    # outcome that is NULL counts as neither.
+    day = F.to_date("ts")
+    days = fetch_log.groupBy(F.col(key).alias("_src"), day.alias("_day")).agg(
+        F.max(F.when(F.col("ok"), F.struct("ts", "id"))).alias("_lo"), F.count_if(~F.col("ok")).alias("_bad"))
+    last = days.groupBy("_src").agg(F.max("_lo").alias("_last"))
+    d, s = days.alias("d"), last.alias("s")
+    whole = d.join(s, F.col("d._src").eqNullSafe(F.col("s._src"))).groupBy("d._src").agg(F.sum(F.when(
+        F.col("_last").isNull() | (F.col("_day") > F.to_date(F.col("_last.ts"))), F.col("_bad")).otherwise(0)).alias("n"))
+    # Rows are compared one by one only on the day of the last success.
+    edge = last.where("_last is not null").withColumn("_day", F.to_date(F.col("_last.ts")))
+    same_day = fetch_log.where(~F.col("ok")).select(F.col(key).alias("_k"), "ts", "id", day.alias("_d")).join(
+        edge, F.col("_k").eqNullSafe(F.col("_src")) & (F.col("_d") == F.col("_day")))
+    same_day = same_day.where(F.struct("ts", "id") > F.col("_last")).groupBy("_src").agg(F.count(F.lit(1)).alias("n"))
+    n = whole.unionByName(same_day).groupBy(F.col("_src").alias(key)).agg(F.sum("n").alias("consecutive_failures"))
     return n.withColumn("backoff_seconds", F.when(F.col("consecutive_failures") == 0, F.lit(0.0)).otherwise(
         F.pow(F.lit(base), F.least(F.col("consecutive_failures"), F.lit(6)))))
 
@@ -125,6 +136,14 @@ def dead_letters(failures: DataFrame, keep_newest: int = 500, over: int = 1000)
     return d.withColumn("retained", (total <= over) | (F.struct("ts", "id") >= cutoff))
 
 
+def last_executions(fetch_log: DataFrame, keep: int = 100, key: str = "source_id") -> DataFrame:
+    """W-6: the last ``keep`` successful executions per source as rows (a
+    ``row_number() <= keep`` that Spark cuts down before the shuffle)."""
+    w = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("id").desc())
+    ok = fetch_log.where(F.col("ok")).select(key, "id", "ts")
+    return ok.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+
+
 def executions_kept(fetch_log: DataFrame, keep: int = 100, key: str = "source_id") -> DataFrame:
     """W-6: successful executions per source, at most the last ``keep``."""
     return fetch_log.groupBy(key).agg(F.least(F.count_if(F.col("ok")), F.lit(keep)).alias("last_execution_times"))

@@ -47,16 +47,21 @@ def flag_bad_rows(df: DataFrame, required: list[str]) -> DataFrame:
 
 def retention_split(df: DataFrame, now, keep_days: float, table: str, ts: str = "ts",
                     key: str = "id") -> DataFrame:
-    """MT-1: every row tagged keep / expired against ``now - keep_days``."""
+    """MT-1: every row tagged keep / expired against ``now - keep_days``; a row
+    without a time is ``undated``, never expired."""
     cutoff = minus(as_ntz(now), days=keep_days)
     return df.select(F.lit(table).alias("table_name"), F.col(key).alias("id"),
-                     F.when(F.col(ts) >= cutoff, "keep").otherwise("expired").alias("status"))
+                     F.when(F.col(ts).isNull(), "undated").when(F.col(ts) >= cutoff, "keep")
+                     .otherwise("expired").alias("status"))
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str = "id", ts: str = "updated_at") -> DataFrame:
-    """MT-4: union + newest row per key (updates win ties)."""
+    """MT-4: union + newest row per key (updates win ties; ties within the
+    updates go to the largest row, so the result is always the same)."""
     u = base.withColumn("_src", F.lit(0)).unionByName(updates.withColumn("_src", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col("_src").desc())
+    rest = [F.col(c).desc_nulls_last() for c in base.columns if c not in (key, ts)
+            and base.schema[c].dataType.typeName() != "map"]
+    w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col("_src").desc(), *rest)
     return u.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_src")
 
 
@@ -74,10 +79,15 @@ def cascade_delete(situation_ids: DataFrame, documents: DataFrame, alerts: DataF
 
 
 def acknowledge(alerts: DataFrame, acks: DataFrame) -> DataFrame:
-    """MT-5: apply (id, acknowledged_at, acknowledged_by) to open alerts."""
-    a = alerts.join(acks.select("id", F.col("acknowledged_at").alias("_at"), F.col("acknowledged_by").alias("_by")),
-                    "id", "left")
-    hit = F.col("_at").isNotNull() & ~F.col("acknowledged")
-    return (a.withColumn("acknowledged_at", F.when(hit, F.col("_at")))
-            .withColumn("acknowledged_by", F.when(hit, F.col("_by")))
-            .withColumn("acknowledged", F.col("acknowledged") | hit).drop("_at", "_by"))
+    """MT-5: apply (id, acknowledged_at, acknowledged_by) to open alerts. The
+    earliest acknowledgement of an id counts; alerts acknowledged before keep
+    their time and person."""
+    one = acks.where(F.col("acknowledged_at").isNotNull()).groupBy("id").agg(
+        F.min(F.struct("acknowledged_at", "acknowledged_by")).alias("_ack"))
+    a = alerts.join(one, "id", "left")
+    was = F.coalesce(F.col("acknowledged"), F.lit(False))
+    hit = F.col("_ack").isNotNull() & ~was
+    for c in ("acknowledged_at", "acknowledged_by"):
+        old = F.col(c) if c in alerts.columns else F.lit(None)
+        a = a.withColumn(c, F.when(hit, F.col("_ack").getField(c)).otherwise(old))
+    return a.withColumn("acknowledged", was | hit).drop("_ack")

@@ -41,7 +41,7 @@ WHERE len(list_filter(r.keywords, lambda k: contains(lower(d.content), lower(k))
    OR len(list_filter(r.patterns, lambda p: regexp_matches(d.content, '(?i)' || p))) > 0""", "docs"))
 def rule_matches(spark, sf):
     d = V.docs(spark, sf).select("id", "source_id", "content")
-    m = AL.match_rules(d, AL.rules_frame(spark), max_rules=10_000)
+    m = AL.match_rules(d, AL.rules_frame(spark))
     return m.select("id", "rule_id", "severity", "alert_title", "alert_message")
 
 

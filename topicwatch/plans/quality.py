@@ -69,10 +69,10 @@ def dq_violations(spark, sf):
 
 
 @register("retention_split", wv(f"""
-SELECT 'documents' AS table_name, id, CASE WHEN ts >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY THEN 'keep'
-       ELSE 'expired' END AS status FROM docs
+SELECT 'documents' AS table_name, id, CASE WHEN ts IS NULL THEN 'undated'
+       WHEN ts >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY THEN 'keep' ELSE 'expired' END AS status FROM docs
 UNION ALL
-SELECT 'logs', id, CASE WHEN ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 'keep' ELSE 'expired' END FROM logs_v""",
+SELECT 'logs', id, CASE WHEN ts IS NULL THEN 'undated' WHEN ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 'keep' ELSE 'expired' END FROM logs_v""",
                                 "docs", "logs_v"))
 def retention_split(spark, sf):
     return Q.retention_split(V.docs(spark, sf), NOW, 365, "documents").unionByName(

@@ -111,7 +111,8 @@ def read_logs(spark: SparkSession, path: str, level: str | None = None, since=No
         df = df.where(F.upper(F.col("level")) == level.upper())
     if since is not None:
         df = df.where(F.col("ts") >= as_ntz(since))
-    df = df.orderBy(F.col("ts").desc())
+    # the other columns decide between rows of one time
+    df = df.orderBy(F.col("ts").desc(), *[F.col(c) for c in df.columns if c != "ts"])
     return df.limit(limit) if limit else df
 
 

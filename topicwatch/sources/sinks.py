@@ -49,7 +49,9 @@ def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_recent_json(spark: SparkSession, path: str, schema, limit: int = 50, ts: str = "ts") -> DataFrame:
     """SNK-7 read back: newest ``limit`` rows (top-k, not a full sort)."""
-    return spark.read.schema(schema).json(path).orderBy(F.col(ts).desc()).limit(limit)
+    rows = spark.read.schema(schema).json(path)
+    rest = [F.col(c) for c in rows.columns if c != ts and rows.schema[c].dataType.typeName() != "map"]
+    return rows.orderBy(F.col(ts).desc(), *rest).limit(limit)
 
 
 def append_partitioned(df: DataFrame, path: str, ts: str = "ts", partition_col: str = "date") -> None:
@@ -66,8 +68,9 @@ def overwrite_partitions(df: DataFrame, path: str, partition_cols: list[str]) ->
 
 
 def write_dead_letters(dead: DataFrame, path: str) -> None:
-    """SNK-9: append the retained dead-letter rows."""
-    dead.where(F.col("retained")).drop("retained").write.mode("append").parquet(path)
+    """SNK-9: append every dead-letter row with its ``retained`` flag; none is
+    dropped. Readers that want the bounded view filter on the flag."""
+    dead.write.mode("append").parquet(path)
 
 
 def archive(docs: DataFrame, path: str, archived_on: str, text_col: str = "content") -> None:
