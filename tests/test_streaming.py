@@ -80,7 +80,7 @@ def test_digest_stream_counts(spark):
 
 
 def test_route_failures_and_callbacks(spark):
-    raw = spark.createDataFrame([("a", 200, "<p>x</p>"), ("b", 500, "<p>y</p>"), ("c", 200, "")],
+    raw = spark.createDataFrame([("a", 200, "<p>x</p>"), ("b", 500, "<p>y</p>"), ("c", 200, ""), ("d", None, "<p>z</p>")],
                                 "id string, status_code int, raw_html string")
     root = tempfile.mkdtemp(prefix="tw-raw-")
     raw.write.mode("overwrite").parquet(os.path.join(root, "in"))
@@ -88,10 +88,10 @@ def test_route_failures_and_callbacks(spark):
     good, dead = os.path.join(root, "good"), os.path.join(root, "dead")
     ST.route_failures(st, good, dead, os.path.join(root, "ck")).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(good).collect()) == ["a"]
-    assert sorted(r["id"] for r in spark.read.parquet(dead).collect()) == ["b", "c"]
+    assert sorted(r["id"] for r in spark.read.parquet(dead).collect()) == ["b", "c", "d"]
     seen = []
     ST.on_batch(st, lambda b, e: seen.append(b.count()), os.path.join(root, "ck2")).awaitTermination()
-    assert sum(seen) == 3
+    assert sum(seen) == 4
 
 
 def test_hourly_metrics_stream(spark):

@@ -65,14 +65,21 @@ def author(html: Column, cleaned: bool = False) -> Column:
                       first_class_text(h, "author"))
 
 
-# Date formats tried in order (ISO forms first).
-DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'",
-                "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy"]
+# Date formats tried in order (ISO forms first); a zone is added where the text has none.
+DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]XXX",
+                "yyyy-MM-ddXXX", "MMMM d, yyyyXXX", "d MMMM yyyyXXX"]
+ZONE = r"(?:Z|[+-]\d{2}:\d{2})$"
 
 
 def parse_date(s: Column) -> Column:
-    """S-9 / S-15: first format that parses; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
+    """S-9 / S-15: first format that parses, as TIMESTAMP_NTZ in UTC; NULL when
+    none does. Takes 0 to 9 fraction digits and an optional zone (none: UTC);
+    the session time zone plays no part."""
+    s = F.regexp_replace(strip_ws(s), r"(T.*[+-]\d{2})(\d{2})$", "$1:$2")
+    zoned = F.when(s.rlike(ZONE), s).otherwise(F.concat(s, F.lit("Z")))
+    instant = F.coalesce(*[F.try_to_timestamp(zoned, F.lit(f)) for f in DATE_FORMATS])
+    seconds = (F.unix_micros(instant.cast("timestamp_ltz")) / F.lit(1_000_000)).cast("decimal(20,6)")
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def publish_date(html: Column, cleaned: bool = False) -> Column:
@@ -109,13 +116,35 @@ def paragraphs(html: Column, cleaned: bool = False) -> Column:
     return F.transform(raw, tag_text)
 
 
+def element(html: Column, open_tag: str, tag: str) -> Column:
+    """Inner HTML of the first element whose start tag matches ``open_tag``, up to
+    the end tag that balances it (all the rest if none does); '' without one."""
+    start = F.regexp_instr(html, F.lit(open_tag))
+    rest = F.regexp_replace(F.substring(html, start, F.length(html)), rf"(?s)\A<[^>]*>", "")
+    parts = F.split(rest, rf"(?i)</{tag}\s*>")
+    depth = lambda part: F.regexp_count(part, F.lit(rf"(?i)<{tag}\b"))
+    none = F.struct(F.lit("").alias("text"), F.lit(0).alias("open"), F.lit(False).alias("done"))
+
+    def add(seen: Column, part: Column) -> Column:
+        left = seen["open"] + depth(part) - 1
+        joined = F.when((seen["text"] == "") & (seen["open"] == 0), part).otherwise(
+            F.concat(seen["text"], F.lit(f"</{tag}>"), part))
+        return F.when(seen["done"], seen).otherwise(
+            F.struct(joined.alias("text"), left.cast("int").alias("open"), (left < 0).alias("done")))
+
+    return F.when(start > 0, F.aggregate(parts, none, add, lambda seen: seen["text"])).otherwise("")
+
+
+CONTENT_TAG = r'(?i)<div\b[^>]*\bclass\s*=\s*["\'][^"\']*\b(?:article-content|post-content|entry-content|content)\b[^"\']*["\'][^>]*>'
+
+
 def article_text(html: Column, cleaned: bool = False) -> Column:
     """S-10: <article> / class content / <main> text; else paragraphs longer
     than 50 chars joined by a blank line."""
     h = _clean(html, cleaned)
-    art = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
-    cont = F.regexp_extract(h, r'(?is)<div\b[^>]*\bclass\s*=\s*["\'][^"\']*\b(?:article-content|post-content|entry-content|content)\b[^"\']*["\'][^>]*>(.*?)</div>', 1)
-    main = F.regexp_extract(h, r"(?is)<main\b[^>]*>(.*?)</main>", 1)
+    art = element(h, r"(?i)<article\b[^>]*>", "article")
+    cont = element(h, CONTENT_TAG, "div")
+    main = element(h, r"(?i)<main\b[^>]*>", "main")
     fallback = F.array_join(F.filter(paragraphs(h, cleaned=True), lambda p: F.length(p) > 50), "\n\n")
     chosen = (F.when(art != "", block_text(art)).when(cont != "", block_text(cont))
               .when(main != "", block_text(main)).otherwise(fallback))

@@ -22,7 +22,7 @@ EXTRACTED = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("author", T.StringType()),
-    T.StructField("publish_date", T.TimestampType()),
+    T.StructField("publish_date", T.TimestampNTZType()),
     T.StructField("article_text", T.StringType()),
     T.StructField("links", T.ArrayType(T.StringType())),
     T.StructField("images", T.ArrayType(T.StringType())),
@@ -35,13 +35,14 @@ def basic_extract(pages: DataFrame, html_col: str = "raw_html") -> DataFrame:
     return pages.select("id", "url", H.basic_title(h).alias("title"), H.basic_text(h).alias("text"))
 
 
-def extract_pages(pages: DataFrame, html_col: str = "raw_html") -> DataFrame:
+def extract_pages(pages: DataFrame, html_col: str = "raw_html", keep: list[str] | None = None) -> DataFrame:
     """P-13: title, author, publish date, article text, links, images, plus
-    content hash and a deterministic document id."""
+    content hash and a deterministic document id; ``keep`` names further columns to carry."""
+    keep = keep or []
     # Scripts, styles and comments are stripped once per page; every field
     # then reads the projected clean column.
     p = pages.select("id", "url", H.without_noise(F.col(html_col)).alias("_clean"),
-                     content_hash(F.col(html_col)).alias("content_hash"))
+                     content_hash(F.col(html_col)).alias("content_hash"), *keep)
     h = F.col("_clean")
     return p.select(
         "id", "url",
@@ -52,7 +53,7 @@ def extract_pages(pages: DataFrame, html_col: str = "raw_html") -> DataFrame:
         H.links(h, F.col("url"), cleaned=True).alias("links"),
         H.images(h, F.col("url"), cleaned=True).alias("images"),
         "content_hash",
-        doc_id(F.col("url"), F.col("id")).alias("doc_id"),
+        doc_id(F.col("url"), F.col("id")).alias("doc_id"), *keep,
     )
 
 

@@ -34,10 +34,14 @@ def dedup_stream(stream: DataFrame, text_col: str = "raw_html", ts: str = "ts",
                  lateness: str = "24 hours") -> DataFrame:
     """ST-1: first copy of each content hash within the watermark; state is
     dropped as the watermark passes (bounded memory, nothing arbitrary
-    evicted)."""
-    s = event_time(stream, ts).withColumn("content_hash", content_hash(F.col(text_col)))
-    s = s.where(F.col("content_hash") != "")
-    return s.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["content_hash"])
+    evicted). ``status`` is 'kept', or 'rejected' for rows without content:
+    those pass through (each row its own key), for the reject sink."""
+    s = event_time(stream, ts).withColumn("content_hash", F.coalesce(content_hash(F.col(text_col)), F.lit("")))
+    empty = F.col("content_hash") == ""
+    rest = F.to_json(F.struct(*[F.col(c) for c in stream.columns]))
+    s = s.withColumn("_key", F.when(empty, F.concat(F.lit("empty:"), rest)).otherwise(F.col("content_hash")))
+    s = s.withColumn("status", F.when(empty, "rejected").otherwise("kept"))
+    return s.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 URL_STATE = T.StructType([T.StructField("last_hash", T.StringType()), T.StructField("last_us", T.LongType())])
@@ -196,23 +200,40 @@ def hourly_metrics_stream(docs: DataFrame, ts: str = "ts", lateness: str = DEFAU
 
 def trend_stream(points: DataFrame, key: str = "keyword", ts: str = "ts", value: str = "value",
                  lateness: str = DEFAULT_LATENESS) -> DataFrame:
-    """ST-11: sliding 48 h windows every 24 h with per-window sums (the
-    latest and the previous day are the two halves)."""
+    """ST-11: sliding 48 h windows every 24 h. Each window gives its latest day
+    (``day``), that day's ``total`` and the day before's ``previous``."""
     s = event_time(points, ts).withWatermark("event_time", lateness)
-    g = s.groupBy(key, F.window("event_time", "24 hours").alias("w")).agg(F.sum(value).alias("total"))
-    return g.select(key, F.col("w.start").alias("day"), "total")
+    s = s.select(key, value, "event_time", F.window("event_time", "48 hours", "24 hours").alias("w"))
+    late = F.col("event_time") >= F.col("w.start") + F.expr("INTERVAL 24 HOURS")
+    g = s.groupBy(key, "w").agg(F.sum(F.when(late, F.col(value))).alias("total"),
+                                F.sum(F.when(~late, F.col(value))).alias("previous"))
+    return g.select(key, (F.col("w.start") + F.expr("INTERVAL 24 HOURS")).alias("day"), "total", "previous")
+
+
+def daily_metrics_stream(docs: DataFrame, ts: str = "ts", lateness: str = DEFAULT_LATENESS) -> DataFrame:
+    """ST-10, daily form: documents and (approximate) distinct sources per situation and day."""
+    s = event_time(docs, ts).withWatermark("event_time", lateness)
+    g = s.groupBy("situation_id", F.window("event_time", "1 day").alias("w")).agg(
+        F.count(F.lit(1)).alias("documents"), F.approx_count_distinct("source_id").alias("sources"))
+    return g.select("situation_id", F.col("w.start").alias("day"), "documents", "sources")
 
 
 def route_failures(stream: DataFrame, good_path: str, dead_path: str, checkpoint: str,
                    ok: Callable[[DataFrame], object] | None = None, trigger_once: bool = True):
     """ST-12: good rows and failures written by one ``foreachBatch``; the
-    good rows continue, failures become dead letters."""
+    good rows continue, failures become dead letters. A row whose condition
+    is NULL (say, no status) is a failure, never lost. Each batch writes its own
+    ``epoch=N`` folder, so a batch that is retried replaces its rows."""
     cond = ok or (lambda df: (F.col("status_code") < 400) & (F.coalesce(F.col("raw_html"), F.lit("")) != ""))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        c = cond(batch)
-        batch.where(c).write.mode("append").parquet(good_path)
-        batch.where(~c).write.mode("append").parquet(dead_path)
+        routed = batch.withColumn("_good", F.coalesce(cond(batch), F.lit(False))).persist()
+        try:
+            for good, path in ((True, good_path), (False, dead_path)):
+                part = routed.where(F.col("_good") == good).drop("_good")
+                part.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        finally:
+            routed.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if trigger_once else w).start()
@@ -233,13 +254,13 @@ def end_to_end(raw: DataFrame, rules: DataFrame, outbox_path: str, checkpoint: s
     d = dedup_stream(raw, "raw_html", "fetched_at", lateness)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        pages = batch.select(F.col("id"), "url", "raw_html", "source_id")
-        ex = X.extract_pages(pages.withColumn("id", F.xxhash64("id")))
-        docs = ex.select(F.col("doc_id").alias("id"), F.col("url").alias("source_id"),
-                         F.col("article_text").alias("content"))
+        kept = batch.where(F.col("status") == "kept")
+        # the page's own id and source stay with it: rules select by source
+        pages = X.extract_pages(kept.select("id", "url", "raw_html", "source_id"), keep=["source_id"])
+        docs = pages.select(F.col("doc_id").alias("id"), "source_id", F.col("article_text").alias("content"))
         alerts = AL.match_rules(docs, rules)
-        alerts.select("id", "rule_id", "severity", "alert_title", "alert_message").write.mode("append").json(
-            outbox_path)
+        (alerts.select("id", "source_id", "rule_id", "severity", "alert_title", "alert_message")
+         .write.mode("overwrite").json(f"{outbox_path}/epoch={epoch}"))
 
     return (d.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
