@@ -42,16 +42,17 @@ ENTITY_LABELS = ["PERSON", "ORG", "GPE", "PRODUCT"]
 GEO_LABELS = ["GPE", "LOC"]
 # Capitalised-phrase fallback pattern for entities:
 CAPITALISED_PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
-# Language guess stop words (en/es/fr; default en):
-LANG_STOP_WORDS = {
-    "en": ["the", "and", "is", "in", "to", "of", "a", "on", "for", "with"],
-    "es": ["el", "la", "de", "que", "y", "en", "los", "se", "del", "las", "corre", "perro"],
-    "fr": ["le", "la", "de", "et", "les", "des", "est", "un", "une", "sur", "dort", "chat"],
-}
 # Paywall phrases:
 PAYWALL_PATTERN = r"(?i)(paywall|subscribe to read|subscribers only|premium content)"
 # ---------------------------------------------------------------------------
 
+# Stop words by which a language is guessed (articles, prepositions, conjunctions; default en).
+LANG_STOP_WORDS = {
+    "en": ["the", "and", "is", "in", "to", "of", "a", "on", "for", "with", "that", "this", "are", "was"],
+    "es": ["el", "la", "de", "que", "y", "en", "los", "se", "del", "las", "una", "por", "con", "para"],
+    "fr": ["le", "la", "de", "et", "les", "des", "est", "un", "une", "sur", "dans", "pour", "qui", "avec"],
+}
+
 # Characters that are not word characters (letters, digits, underscore).
 NON_WORD = r"[^\p{L}\p{N}_]+"
 # Non-ASCII letters / digits, replaced by an ASCII word character before a

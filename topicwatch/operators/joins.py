@@ -1,5 +1,4 @@
-"""Join helpers: size-checked broadcast, rule x document matching without
-cross joins (J-2, J-3, J-4, J-14), channel fan-out (J-11), orphans (J-13)."""
+"""Join helpers: orphans (J-13)."""
 
 from __future__ import annotations
 
@@ -7,12 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after the row count is checked; beyond the bound
-    the side stays a normal (shuffled, AQE-managed) join input."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, relation: str) -> DataFrame:
     """J-13 / DQ-5: child rows whose non-NULL key has no parent."""
     c = child.where(F.col(child_key).isNotNull()).select(F.col(child_key).alias("_k"))

@@ -1,11 +1,10 @@
 """Search (SR-1..SR-4): inverted index + BM25, LIKE search with snippets,
 exact cosine top-k.
 
-BM25 is an equi join of query terms with the postings table on ``term``.
-The query side is broadcast only after its row count is checked against a
-bound; otherwise it is a shuffle join and AQE splits hot terms. Corpus
-constants (N, average length) are scalar subqueries. Top-k per query is a
-``row_number() <= k`` filter (map-side group limit).
+BM25 joins query terms with the postings on ``term``. The query side is
+broadcast only after its row count is checked against a bound. Corpus
+constants (N, average length) are scalar subqueries over the same postings.
+Top-k per query is a ``row_number() <= k`` filter (map-side group limit).
 """
 
 from __future__ import annotations
@@ -14,17 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..session import reuse_if_large
-
-
-def inverted_index(docs: DataFrame, text_col: str = "content") -> DataFrame:
-    """SR-1: postings (term, id, tf) and document lengths (id, dl)."""
-    return (docs.select("id", TX.explode_values(TX.words(F.col(text_col))).alias("term"))
-            .where(F.col("term").isNotNull()).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def doc_lengths(docs: DataFrame, text_col: str = "content") -> DataFrame:
-    return docs.select("id", F.size(TX.words(F.col(text_col))).alias("dl"))
+from ..session import reuse_if_large, ship_code
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", text_col: str = "text") -> DataFrame:
@@ -39,35 +28,35 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     """Top-k documents per query by Okapi BM25 with
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); ties: id asc.
 
-    One tokenisation pass yields (id, dl, term); it is cut down to the query
-    vocabulary (a semi join with the size-checked distinct query terms)
-    before the postings aggregate, so only terms some query uses are
-    shuffled. N is a row count, avgdl a scalar subquery."""
+    One tokenisation pass yields (id, dl, term), cut down to the query
+    vocabulary (a semi join with the size-checked distinct query terms) plus
+    one marker row per document, so N and the average length come out of the same
+    pass. The tokens are partitioned by id: term frequencies, the scores of
+    (query, document) and the top k of a partition need no further shuffle;
+    k rows per query and partition move for the final ranks."""
+    marker = "\u0000"  # not a word
     qt = query_terms(queries, qid, qtext)
     # Size check on the query side only (cheap); every query-side table below
     # has at most this many rows, so the bound holds for all of them.
     small = qt.count() <= max_broadcast_rows
     hint = F.broadcast if small else (lambda d: d)
-    vocab = hint(qt.select("term").distinct())
+    vocab = hint(qt.select("term").union(qt.sparkSession.range(1).select(F.lit(marker))).distinct())
     toks = docs.select("id", TX.words(F.col(text_col)).alias("_w"))
-    exploded = toks.select("id", F.size("_w").alias("dl"), TX.explode_values(F.col("_w")).alias("term")).where(
-        F.col("term").isNotNull())
-    post = (exploded.join(vocab, "term", "left_semi")
-            .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    exploded = toks.select("id", F.size("_w").alias("dl"), TX.explode_values(
+        F.concat(F.array(F.lit(marker)), F.col("_w"))).alias("term"))
+    post = (exploded.join(vocab, "term", "left_semi").repartition("id")
+            .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
     post = reuse_if_large(post, docs)
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    avgdl = docs.select(F.avg(F.size(TX.words(F.col(text_col))))).scalar()
-    # Counting with an expression over tf and dl keeps this branch's copy of
-    # ``post`` identical to the join's, so Spark reuses its shuffle instead
-    # of tokenising the corpus a second time.
+    is_doc = F.col("term") == marker
+    n_docs = post.select(F.count_if(is_doc)).scalar()
+    avgdl = post.select(F.avg(F.when(is_doc, F.col("dl")))).scalar()
+    # Aggregating without a filter keeps this branch's copy of ``post``
+    # identical to the main one's, so Spark reuses its shuffle.
     df = post.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) | F.col("dl").isNull(), 1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # A term's weight in a document does not depend on the query: compute it
-    # once per posting; the query join then only sums weights.
+    terms = hint(qt.join(df, "term").select("qid", "term", idf.alias("idf")))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    weights = post.join(df, "term").withColumn("idf", idf).select("term", "id", part.alias("w"))
-    hits = weights.join(hint(qt), "term")
-    scores = hits.groupBy("qid", "id").agg(F.round(F.sum("w"), digits).alias("score"))
+    scores = post.join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum(part), digits).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -75,7 +64,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
 def like_search(docs: DataFrame, q: str, k: int = 20, text_col: str = "content", before: int = 40,
                 width: int = 120) -> DataFrame:
     """SR-2: documents containing ``q`` (case-insensitive), ranked by number
-    of occurrences then id, with a snippet around the first hit."""
+    of occurrences then id, with a snippet around the first hit. An empty
+    query finds nothing."""
+    if not q:
+        docs, q = docs.where("false"), " "
     low = F.lower(F.col(text_col))
     ql = q.lower()
     pos = F.instr(low, ql)
@@ -110,33 +102,61 @@ def centroids(vectors: DataFrame, key: str = "label", vec: str = "embedding") ->
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding",
-                qid: str = "qid", qvec: str = "qvec", digits: int = 6,
-                max_queries: int = 10_000) -> DataFrame:
-    """SR-3 exact k nearest by cosine similarity.
-
-    The query set is counted first; chunks of at most ``max_queries``
-    queries travel to the tasks as one scalar-subquery array each, so every
-    vector is scored inside a projection (no join, no shuffle of vectors).
-    The best k per query survive a map-side group limit."""
-    n = queries.count()
-    chunks = max(1, -(-n // max_queries))
-    parts = []
-    for c in range(chunks):
-        qc = queries if chunks == 1 else queries.where(F.pmod(F.hash(F.col(qid)), F.lit(chunks)) == c)
-        arr = qc.select(F.collect_list(F.struct(F.col(qid).alias("q"),
-                                                F.col(qvec).cast("array<double>").alias("v")))).scalar()
-        v = F.col(vec).cast("array<double>")
-        # The scalar subquery is projected first: Spark evaluates it once and
-        # does not allow subqueries inside lambda functions.
-        withq = vectors.select("vec_id", vec, arr.alias("_qs"))
-        m = withq.select("vec_id", TX.explode_values(F.transform(
-            F.col("_qs"), lambda x: F.struct(x["q"].alias("qid"), cosine(v, x["v"]).alias("sim")))).alias("m"))
-        m = m.where(F.col("m").isNotNull())
-        parts.append(m.select(F.col("m.qid").alias("qid"), "vec_id",
-                              F.round(F.col("m.sim"), digits).alias("similarity")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+                qid: str = "qid", qvec: str = "qvec", digits: int = 6, block_rows: int = 4096) -> DataFrame:
+    """SR-3 exact k nearest by cosine similarity (a zero vector has none).
+
+    Queries go to the tasks in blocks of ``block_rows`` normalised vectors, read
+    from an iterator, so the driver holds one block at a time. A task takes
+    one matrix product per Arrow batch and block and emits the k best of
+    each query in the batch; those few rows are ranked at the end."""
+    ship_code(vectors.sparkSession)
+    v = vectors.select("vec_id", F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    id_type = vectors.schema["vec_id"].dataType.simpleString()
+    q_field = queries.schema[qid]
+
+    def block(ids: list, rows: list) -> DataFrame:
+        import numpy as np
+        q = np.array(rows, dtype="float64")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            q = q / np.linalg.norm(q, axis=1, keepdims=True)
+
+        def best(batches):
+            import pyarrow as pa
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sim = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, digits)
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                at, who = [], []
+                for j in range(sim.shape[1]):
+                    s = np.where(np.isnan(sim[:, j]), -np.inf, sim[:, j])
+                    floor = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                    near = np.flatnonzero((s >= floor) & (s > -np.inf))
+                    near = near[np.lexsort((keys[near], -s[near]))][:k]
+                    at.append(near)
+                    who.append(np.full(len(near), j))
+                at, who = np.concatenate(at), np.concatenate(who)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[j] for j in who], qid_type), pa.array(keys[at]).cast(batch.schema.field(0).type),
+                     pa.array(sim[at, who])], ["qid", "vec_id", "similarity"])
+
+        from pyspark.sql.pandas.types import to_arrow_type
+        qid_type = to_arrow_type(q_field.dataType)
+        return v.mapInArrow(best, f"qid {q_field.dataType.simpleString()}, vec_id {id_type}, similarity double")
+
+    scored, ids, rows = None, [], []
+    add = lambda done, part: part if done is None else done.unionByName(part)
+    for r in queries.where(F.col(qvec).isNotNull()).select(qid, F.col(qvec).cast("array<double>")).toLocalIterator():
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(ids) == block_rows:
+            scored, ids, rows = add(scored, block(ids, rows)), [], []
+    if ids:
+        scored = add(scored, block(ids, rows))
+    if scored is None:
+        scored = v.select(F.lit(None).cast(q_field.dataType).alias("qid"), "vec_id", F.lit(0.0).alias("similarity")).where("false")
     w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), F.col("vec_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
