@@ -125,8 +125,13 @@ def test_read_logs_and_document_by_id(spark, tmpdir_path):
 def test_spread_only_widens_narrow_scans(spark):
     target = spark.sparkContext.defaultParallelism
     wide = spark.range(0, 1000, 1, numPartitions=target * 2).withColumnRenamed("id", "k")
-    assert V.spread(wide, "k") is wide
     narrow = spark.range(0, 1000, 1, numPartitions=1).withColumnRenamed("id", "k")
-    out = V.spread(narrow, "k")
+    assert V.spread(narrow, "k") is narrow  # off unless asked for
+    spark.conf.set(V.SPREAD_CONF, "true")
+    try:
+        assert V.spread(wide, "k") is wide
+        out = V.spread(narrow, "k")
+    finally:
+        spark.conf.unset(V.SPREAD_CONF)
     assert out.rdd.getNumPartitions() == target and out.count() == 1000
     assert "hashpartitioning(k" in out._jdf.queryExecution().executedPlan().toString()

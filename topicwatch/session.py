@@ -16,8 +16,7 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcasts only ever happen behind an explicit size check (see
-    # topicwatch.operators.joins.broadcast_if_small); keep the automatic
+    # Explicit broadcasts happen behind a size check only; keep the automatic
     # threshold modest so Catalyst never broadcasts a side that grew.
     "spark.sql.autoBroadcastJoinThreshold": "32m",
 }
@@ -39,11 +38,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset (tests, local runs) do we
-    set one of our own."""
+    ``spark.checkpoint.dir``. Only when it is unset is ``fallback`` or, on a local
+    master (tests), a folder of our own set; a cluster without one is an error,
+    since a machine's own folder is not shared."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = fallback or os.environ.get("TOPICWATCH_CHECKPOINT_DIR") or "/tmp/topicwatch-checkpoints"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        d = fallback or ("/tmp/topicwatch-checkpoints" if local else None)
+        if d is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
@@ -83,7 +86,7 @@ def reuse_if_large(df: DataFrame, source: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -95,7 +98,7 @@ def ship_code(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))

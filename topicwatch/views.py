@@ -29,13 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Set to "true" by callers whose text tables are single row groups (the bench does).
+SPREAD_CONF = "topicwatch.views.spread"
+
+
 def spread(df: DataFrame, key: str = "id") -> DataFrame:
-    """Hash-repartition by ``key`` to the session's default parallelism when
-    the scan yields fewer partitions (a table stored as one large row group
-    is read by one task however the file is split). Text-heavy stages then
-    use every core. On a cluster reading many files the scan already has
-    more partitions and this is a no-op. Hash (not round-robin) partitioning
-    keeps task retries deterministic without a sort."""
+    """With ``topicwatch.views.spread`` set, hash-repartition by ``key`` to the
+    session's default parallelism when the scan yields fewer partitions (a table
+    stored as one large row group is read by one task however the file is
+    split). Off by default: tables of many files need no shuffle."""
+    if df.sparkSession.conf.get(SPREAD_CONF, "false") != "true":
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
