@@ -58,13 +58,13 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = (base.join(hot.drop("_salts"), "_h", "left_semi").groupBy("_norm")
                   .agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("_all"))
                   .select(F.sha2("_norm", 256).alias("text_sha256"), "_best", "_all"))
-    else:
-        base = base.withColumn("_salt", F.lit(0))
     base = base.withColumn("_front", F.substring("_norm", 1, SPLITTER_CHARS))
     order = ([F.col("_len").desc()] if longest else []) + [F.col("_id").asc_nulls_last()]
-    group = Window.partitionBy("_front", "_h", "_salt", "_norm").orderBy(*order)
+    # a constant salt would be folded away, and the range partitioning with it
+    splitters = ["_front", "_h", "_salt"] if hot_rows else ["_front", "_h"]
+    group = Window.partitionBy(*splitters, "_norm").orderBy(*order)
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = (base.repartitionByRange(parts, "_front", "_h", "_salt")
+    out = (base.repartitionByRange(parts, *splitters)
            .withColumn("_rn", F.row_number().over(group))
            .withColumn("keep_id", F.first("_id").over(whole))
            .withColumn("_best_len", F.first("_len").over(whole))
