@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,8 +60,10 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         for f in t.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # references from Python reach the driver's JVM a moment after they go
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:

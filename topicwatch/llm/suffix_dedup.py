@@ -15,7 +15,7 @@ from .common import materialize, packed, release, row_key, text_or_empty, unpack
 #: average; segments with one key beyond which windows are grouped singly.
 GRAM, SEGMENT_WINDOWS, BUCKET_BYTES, KEY_SEGMENTS = 16, 64, 2 << 20, 20_000
 #: Keys that one task compares at a time, on average.
-PART_KEYS = 1_000_000
+PART_KEYS = 2_000_000
 #: A byte that UTF-8 never holds ends each segment in a transform.
 END = 0xFF
 LAST_ID = (1 << 63) - 1
@@ -71,11 +71,12 @@ def repeats(text, length: int):
     Returns (order, first): positions ordered by their next ``length`` bytes, and
     for each place in the order whether its string differs from the one before.
     The Burrows-Wheeler transform is taken from that order. Starting with the
-    interval of the empty string, each round extends the strings of all open
+    intervals of all strings of 8 bytes (the words that began the sort; their ends
+    are the common prefixes under 8), each round extends the strings of all open
     intervals by one byte to the left (by the last-to-first mapping) and so
-    meets the common prefixes of length 0, 1, 2, ... of neighbours in
+    meets the common prefixes of length 8, 9, ... of neighbours in
     increasing order: the end of an interval that no shorter string has marked
-    gets the round's value and the interval stays open, any other closes. After ``length`` rounds exactly
+    gets the round's value and the interval stays open, any other closes. At ``length`` it stops: exactly
     the neighbours with a common prefix of ``length`` or more are unmarked.
     """
     import numpy as np
@@ -83,7 +84,7 @@ def repeats(text, length: int):
     data = np.concatenate([text, np.full(length + 8, END, np.uint8)])
 
     def ranks(key):
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # places of equal keys may come in any order
         new = np.empty(n, bool)
         new[0] = False
         sorted_key = key[order]
@@ -95,7 +96,9 @@ def repeats(text, length: int):
 
     covered = min(8, length)
     word = np.ndarray((n,), ">u8", data.tobytes(), strides=(1,)).astype(np.uint64)
-    order, rank = ranks(word >> np.uint64(8 * (8 - covered)))
+    word >>= np.uint64(8 * (8 - covered))
+    order, rank = ranks(word)
+    start = covered
     while covered < length:  # prefix doubling up to `length` bytes
         step = min(covered, length - covered)
         order, rank = ranks((rank[:n] << np.uint64(32)) | rank[step:n + step])
@@ -110,9 +113,12 @@ def repeats(text, length: int):
 
     marked = np.zeros(n + 1, bool)
     marked[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
+    word = word[order]
+    marked[1:n] = word[1:] != word[:-1]
+    bounds = np.flatnonzero(marked)
+    low, high = bounds[:-1], bounds[1:]
     owner = np.empty(n, np.int64)
-    for _ in range(length):
+    for _ in range(start, length):
         if not len(low):
             break
         size = high - low
@@ -204,7 +210,7 @@ def shared_keys(texts: DataFrame, length: int, parts: int) -> DataFrame:
             out_key = np.concatenate([key[start], key[every]]).astype(np.int64)
             out_c = np.concatenate([c[start], c[every]])
             out_known = np.concatenate([known, np.ones(int(every.sum()), bool)])
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((out_c, to))  # runs of one class compress well
             to, out_key, out_c, out_known = to[order], out_key[order], out_c[order], out_known[order]
             cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
             ends = np.append(cut[1:], len(to))
@@ -349,24 +355,25 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     texts = rows.where(F.octet_length("_text") >= length)
 
     keys = shared_keys(texts.select("_k1", "_text"), length, parts)
-    lists = materialize(keys.groupBy("c").agg(F.collect_set("key").alias("keys")), "shared-keys")
+    own_keys = materialize(keys.groupBy("c").agg(F.collect_set("key").alias("keys")), "shared-keys")
+    del keys
     release(spark)
-    lists = lists.join(classes.select(F.col("_k1").alias("c"), F.col("_first").alias("_id")), "c")
+    lists = own_keys.join(classes.select(F.col("_k1").alias("c"), F.col("_first").alias("_id")), "c")
     near = (texts.select(F.col("_k1").alias("c"), "_id", "_text").join(lists, ["c", "_id"])
             .select("c", F.col("_id").alias("id"), "_text", "keys"))
     found = materialize(shared_segments(near, length, parts), "segments")
-    release(spark)
+    release(spark, own_keys)
     # one class has one id here, so the smallest id of a segment is that of its first text
     distinct = materialize(found.groupBy("h1", "h2").agg(
-        F.first("s").alias("s"), F.first("key").alias("key"), F.min("id").alias("id"), F.count(F.lit(1)).alias("count")), "distinct-segments")
+        F.min("s").alias("s"), F.min("key").alias("key"), F.min("id").alias("id"), F.count(F.lit(1)).alias("count")), "distinct-segments")
     release(spark)
     covered = materialize(covered_windows(distinct, length, key_segments, bucket_bytes), "covered")
-    release(spark)
+    release(spark, distinct)
     spans = (found.select("h1", "h2", "c", "id", "pos").join(covered, ["h1", "h2"]).where("id > smallest")
              .groupBy("c", "id").agg(F.collect_set(F.struct(
                  (F.col("pos") + F.col("j0")).alias("a"), (F.col("pos") + F.col("j1") + length).alias("b"))).alias("spans")))
     spans = materialize(spans, "spans")
-    release(spark)
+    release(spark, found, covered)
 
     known = classes.join(spans, (classes["_k1"] == spans["c"]) & (classes["_first"] == spans["id"]), "left")
     known = materialize(known.select("_k1", "_k2", "_first", "spans"), "class-spans")
