@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -81,7 +82,7 @@ def page_records(page: str, uri: str, date: str, payload: bytes, sha1: bytes, fi
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
                date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0, segment_bytes: int = 16_384,
-               chunk_bytes: int = 4_096, records_per_file: int = 4_000) -> None:
+               chunk_bytes: int = 4_096, records_per_file: int = 4_000, compression: str = "gzip") -> None:
     """Write one WARC record per row (a long response as several segments) under ``path``.
 
     Of rows with equal payloads (UTF-8 of the body, null: empty) of at least
@@ -93,7 +94,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     are its line separator, so a task's file is committed as a whole on any file
     system. Null ids and urls are written as empty; rows without an id or that
     repeat an id and its payload are responses of their own. A file holds at most
-    ``records_per_file`` records.
+    ``records_per_file`` records and is compressed as a whole ("gzip" or "none").
     """
     ship_code(pages.sparkSession)
     body = F.encode(text_or_empty(body_col), "UTF-8")
@@ -116,7 +117,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path))
+     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file)
+     .option("compression", compression).text(path))
 
 
 def parse_records(data: memoryview, segmented: bool) -> Iterator[tuple]:
@@ -155,7 +157,10 @@ def archive_records(spark: SparkSession, path: str, segmented: bool) -> DataFram
         schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in RECORD.split(", "))])
         for batch in batches:
             for content in batch.column(0):
-                rows = parse_records(memoryview(content.as_buffer()), segmented)
+                data = content.as_buffer()
+                if bytes(data[:2]) == b"\x1f\x8b":
+                    data = gzip.decompress(data)
+                rows = parse_records(memoryview(data), segmented)
                 while part := [r for _, r in zip(range(500), rows)]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
