@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_code
 from .common import materialize, text_or_empty
-from .tokens import TextTokenizer, read_model
+from .tokens import loaded, read_model
 
 #: Pieces that one packing group holds on average.
 GROUP_PIECES = 50_000
@@ -39,11 +39,15 @@ def token_pieces(df: DataFrame, tokenizer_path: str, length: int = 2048, id_col:
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        tokenizer = TextTokenizer(model, words)
+        tokenizer = loaded(model, words)
         for batch in batches:
             ids, pieces, starts, lengths, crcs, bodies = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 body = tokenizer.ids(text) + end
+                if id_bytes:
+                    wide = id_bytes * length
+                    own = body if id_bytes == 4 else np.frombuffer(body, "<u4").astype(f"<u{id_bytes}").tobytes()
+                    bodies += [own[at:at + wide] for at in range(0, len(own), wide)]
                 for n, at in enumerate(range(0, len(body), size)):
                     part = body[at:at + size]
                     ids.append(doc)
@@ -51,8 +55,6 @@ def token_pieces(df: DataFrame, tokenizer_path: str, length: int = 2048, id_col:
                     starts.append(at // 4)
                     lengths.append(len(part) // 4)
                     crcs.append(zlib.crc32(part))
-                    if id_bytes:
-                        bodies.append(np.frombuffer(part, "<u4").astype(f"<u{id_bytes}").tobytes())
             columns = [pa.array(ids, batch.schema.field(0).type), pa.array(pieces, pa.int32()),
                        pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
             names = ["_id", "piece", "start", "length", "ids_crc32"]

@@ -51,7 +51,7 @@ class TextTokenizer:
     ``PIECE`` does, so words are looked up; otherwise each text is encoded whole.
     """
 
-    def __init__(self, model: str, words: bool = True, limit: int = 500_000):
+    def __init__(self, model: str, words: bool = True, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
@@ -64,6 +64,17 @@ class TextTokenizer:
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
+_LOADED: dict[tuple, TextTokenizer] = {}
+
+
+def loaded(model: str, words: bool) -> TextTokenizer:
+    """The worker's one tokenizer of this model: its tasks share the word cache."""
+    key = (hash(model), len(model), words)
+    if key not in _LOADED:
+        _LOADED[key] = TextTokenizer(model, words)
+    return _LOADED[key]
+
+
 def read_model(path: str) -> str:
     """The tokenizer file's text; it has a fixed size and travels with the task's code."""
     with open(path, encoding="utf-8") as f:

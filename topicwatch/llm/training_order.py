@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import materialize, scratch_path
+from .common import materialize, release, scratch_path
 from .packing import token_pieces
 
 
@@ -77,7 +77,7 @@ def slotted(sequences: DataFrame, key: int) -> DataFrame:
 
 
 def write_training_shards(sequences: DataFrame, path: str, length: int, shard_rows: int = 8192, key: int = 1,
-                          width: int = 2) -> DataFrame:
+                          width: int = 2, waves: int = 2) -> DataFrame:
     """Write ``sequences`` (column ``ids``: at most ``length`` - 1 little-endian
     ids of ``width`` bytes) in training order and return where each lies.
 
@@ -85,7 +85,9 @@ def write_training_shards(sequences: DataFrame, path: str, length: int, shard_ro
     ``length`` ids of ``width`` bytes (2 for vocabularies up to 65,536, else 4), padded with
     id 0, so the byte offset of any slot is known and a run resumes by
     seeking. Rows are range-partitioned by shard and sorted by slot, so a shard
-    is one file written by one task and committed as a whole. The files hold
+    is one file written by one task and committed as a whole. The shards are written in
+    ``waves`` (every ``waves``-th shard), so that only a part of the ids lies in
+    shuffle files at a time. The files hold
     nothing but ids: the last id of a record is the closing id 0, which Spark's
     text writer puts as its line separator. Returns the other columns plus
     ``slot``, ``shard``, ``byte_offset``.
@@ -94,11 +96,15 @@ def write_training_shards(sequences: DataFrame, path: str, length: int, shard_ro
     body = (length - 1) * width
 
     # padded after the shuffle, so that it carries no padding
-    rows = placed.select("shard", "slot", "ids").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
     padding = F.lit("\0" * body)
     record = F.substring(F.concat(F.col("ids").cast("string"), padding).cast("binary"), 1, body).cast("string")
-    (rows.select("shard", record.alias("value"))
-     .write.partitionBy("shard").option("lineSep", "\0" * width).text(path))
+    for wave in range(waves):
+        rows = placed.where(F.col("shard") % waves == wave).select("shard", "slot", "ids")
+        rows = rows.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+        (rows.select("shard", record.alias("value"))
+         .write.mode("append").partitionBy("shard").option("lineSep", "\0" * width).text(path))
+        del rows
+        release(placed.sparkSession)
     return placed.drop("ids").withColumn("byte_offset", F.col("slot") % shard_rows * (length * width))
 
 
@@ -122,6 +128,30 @@ def read_training_shards(spark: SparkSession, path: str, length: int, shard_rows
     return files.select("shard", "content").mapInArrow(split, "slot long, record binary")
 
 
+def shard_digests(spark: SparkSession, path: str, length: int, shard_rows: int) -> DataFrame:
+    """``slot``, ``_size`` (ids up to the last that isn't 0) and ``_crc`` (of those ids as
+    little-endian unsigned 32-bit numbers) of every 16-bit record under ``path``."""
+    ship_code(spark)
+
+    def digest(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for shard, data in zip(batch.column(0), batch.column(1)):
+                ids = np.frombuffer(data.as_buffer(), "<u2").reshape(-1, length)
+                used = ids != 0
+                size = np.where(used.any(1), length - used[:, ::-1].argmax(1), 0)
+                wide = memoryview(ids.astype("<u4").tobytes())
+                stride = 4 * length
+                crcs = [zlib.crc32(wide[i * stride:i * stride + 4 * n]) for i, n in enumerate(size.tolist())]
+                first = shard.as_py() * shard_rows
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(ids)), pa.int64()),
+                                                  pa.array(size, pa.int64()), pa.array(crcs, pa.int64())], ["slot", "_size", "_crc"])
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("shard", "content").mapInArrow(digest, "slot long, _size long, _crc long")
+
+
 def training_order(docs: DataFrame, tokenizer_path: str, length: int = 256, key: int = 1, shard_rows: int = 8192,
                    id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Tokenise ``docs``, cut each text into sequences of ``length`` - 1 ids (plus
@@ -142,10 +172,11 @@ def training_order(docs: DataFrame, tokenizer_path: str, length: int = 256, key:
         return placed.withColumn("ids_crc32", F.lit(None).cast("long"))
 
     @F.pandas_udf("long")
-    def crc(record: pd.Series, size: pd.Series) -> pd.Series:
-        import numpy as np
-        return pd.Series([zlib.crc32(np.frombuffer(r, "<u2")[:n].astype("<u4").tobytes())
-                          for r, n in zip(record, size)], dtype="int64")
-
-    written = read_training_shards(spark, path, length, shard_rows)
-    return placed.join(written, "slot").withColumn("ids_crc32", crc("record", "length")).drop("record")
+    def with_zeros(crc: pd.Series, size: pd.Series, length: pd.Series) -> pd.Series:
+        # ids of 0 at a sequence's end look like padding in the file: they are counted in again
+        return pd.Series([zlib.crc32(b"\0" * (4 * (n - k)), c) for c, k, n in zip(crc, size, length)], dtype="int64")
+
+    # digests move to the join, not records
+    written = shard_digests(spark, path, length, shard_rows)
+    return (placed.join(written, "slot").withColumn("ids_crc32", with_zeros("_crc", "_size", "length"))
+            .drop("_size", "_crc"))
