@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, unpacked
+from .common import materialize, packed, parallelism, unpacked
 
-#: Rows that one ranking group holds on average, and the most such groups.
+#: Rows that one ranking slice holds at most on average (there are at least as many slices as shuffle
+#: partitions), and the most slices of a source.
 BUCKET_ROWS, MAX_BUCKETS = 100_000, 65_536
 
 
@@ -33,7 +34,7 @@ def interleave(df: DataFrame, shards: int = 8, id_col: str = "doc_id", source_co
     An empty table gives an empty result.
     """
     total = df.count()
-    buckets = max(1, min(MAX_BUCKETS, total // bucket_rows))
+    buckets = max(1, min(MAX_BUCKETS, max(total // bucket_rows, parallelism(df.sparkSession))))
     step = (1 << 32) / buckets
     u = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"))
     source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
