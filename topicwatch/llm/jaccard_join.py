@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import materialize, text_or_empty
+from .common import materialize, release, text_or_empty
 from .components import components
 
-#: 64-bit words of a bitmap; words cached in a task; orders by which tiles pick leaders.
+#: 64-bit words of the bitmap that the joins compare; words cached in a task; orders by which tiles pick leaders.
 BITMAP_WORDS, CACHED_WORDS, LEADER_ORDERS = 8, 300_000, 4
 #: A tile hash with more rows than this (and than one row in RARE_SHARE) counts as frequent.
 FREQUENT_ROWS, RARE_SHARE = 256, 100_000
 LEADER_ROUNDS = 2
+#: Hashes that a signature holds beyond one and a half prefixes.
+SPARE = 8
 BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
 
 
@@ -56,28 +58,43 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def folded(bitmap, size: int):
+    """The bitmap (bytes, as an array) folded to ``size`` bytes."""
+    while len(bitmap) > size:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
 def signatures(docs: DataFrame, size: int, num: int, den: int, frequent=None) -> DataFrame:
-    """``id``, ``n``, class hash ``c1``, ``c2``, bitmap ``b0..`` and ``prefix`` of each row (``id``, ``text``).
+    """``id``, ``n``, class hash ``c1``, ``c2``, bitmap ``b0..``, ``wide`` and ``prefix`` of each row (``id``, ``text``).
 
     A bit of the bitmap is the parity of the shingles hashed to it, so the bits
     in which two bitmaps differ are at most the shingles in which the sets
-    differ. The prefix holds the smallest hashes, those in ``frequent`` last.
+    differ. ``wide`` has a bit for each shingle or more (null if ``b0..`` has);
+    its halves xor-ed are the bitmap of half the width, down to ``b0..``.
+    The prefix holds the smallest hashes, those in ``frequent`` last; without
+    ``frequent`` half as many again, to fill up from (see ``reordered``).
     """
     def sign(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        sets, bits = ShingleSets(size), 64 * BITMAP_WORDS
-        shift = np.uint64(64 - (bits - 1).bit_length())
+        sets, least = ShingleSets(size), 64 * BITMAP_WORDS
         for batch in batches:
-            n, keys, maps, prefixes = [], [], [], []
+            n, keys, maps, wide, prefixes = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 a = sets.of(text)
                 n.append(len(a))
                 keys.append(np.frombuffer(hashlib.blake2b(a.tobytes(), digest_size=16).digest(), np.int64))
-                odd = np.bincount((a >> shift).astype(np.int64), minlength=bits) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits = max(least, 1 << (len(a) - 1).bit_length()) if len(a) else least
+                odd = np.bincount((a & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                odd = np.packbits(odd.astype(np.uint8))
+                wide.append(odd.tobytes() if bits > least else None)
+                maps.append(folded(odd, least // 8).view(np.int64))
                 p = prefix_length(len(a), num, den) if len(a) else 0
-                if frequent is not None:
+                if frequent is None:
+                    p += p // 2 + SPARE
+                else:
                     rare = ~np.isin(a, frequent, assume_unique=True)
                     a = np.concatenate([a[rare][:p], a[~rare][:p]])
                 prefixes.append(a[:p].view(np.int64))
@@ -87,13 +104,34 @@ def signatures(docs: DataFrame, size: int, num: int, den: int, frequent=None) ->
                                               pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                 *[pa.array(maps[:, i]) for i in range(BITMAP_WORDS)], prefix],
-                ["id", "n", "c1", "c2", *BITS, "prefix"])
+                 *[pa.array(maps[:, i]) for i in range(BITMAP_WORDS)], pa.array(wide, pa.binary()), prefix],
+                ["id", "n", "c1", "c2", *BITS, "wide", "prefix"])
 
-    schema = "id long, n long, c1 long, c2 long, " + "".join(f"{b} long, " for b in BITS) + "prefix array<long>"
+    schema = "id long, n long, c1 long, c2 long, " + "".join(f"{b} long, " for b in BITS) + "wide binary, prefix array<long>"
     return docs.mapInArrow(sign, schema)
 
 
+def reordered(classes: DataFrame, num: int, den: int, frequent) -> DataFrame:
+    """``id``, ``n`` and ``prefix`` with the hashes in ``frequent`` last; ``prefix`` is
+    null where too few other hashes are known, so the text must be read again."""
+    def fill(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            out = []
+            for n, known in zip(batch.column(1).to_pylist(), batch.column(2)):
+                a, p = known.values.to_numpy(zero_copy_only=False).view(np.uint64), prefix_length(n, num, den)
+                at = np.minimum(np.searchsorted(frequent, a), len(frequent) - 1)
+                rare = frequent[at] != a
+                if rare.sum() >= p or len(a) == n:
+                    out.append(np.concatenate([a[rare], a[~rare]])[:p].view(np.int64))
+                else:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))],
+                                             ["id", "n", "prefix"])
+    return classes.select("id", "n", "prefix").mapInArrow(fill, "id long, n long, prefix array<long>")
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """``id`` and the sorted set (``shingles``, 8 bytes each) of each row (``id``, ``text``)."""
     def build(batches: Iterator) -> Iterator:
@@ -116,6 +154,30 @@ def bitmaps_fit(n: Column, m: Column, a: list[Column], b: list[Column], num: int
     return (n + m - differ) * den >= (n + m + differ) * num
 
 
+def wide_bitmaps_fit(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) that pass the bit-count bound of their wide bitmaps
+    too; pairs in which one text is too short to have one pass."""
+    side = lambda s: wide.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}"))
+
+    def fit(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            keep = []
+            for n, x, m, y in zip(*[batch.column(i) for i in range(2, 6)]):
+                if not x.is_valid or not y.is_valid:
+                    keep.append(True)
+                    continue
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size, total = min(len(x), len(y)), n.as_py() + m.as_py()
+                differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                keep.append((total - differ) * den >= (total + differ) * num)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "wa", "nb", "wb")
+    return both.mapInArrow(fit, "a long, b long")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) whose sets link, by exact intersection of sorted arrays.
     Sets are made of the documents in ``pairs`` alone."""
@@ -136,7 +198,7 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
                 at[at == len(large)] = 0
                 common = int((large[at] == small).sum())
                 keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(verify, "a long, b long")
 
@@ -168,29 +230,34 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = materialize(signatures(docs, size, num, den), "signatures")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal in a class
     classes = materialize(signed.where("n > 0 and id is not null").groupBy("c1", "c2").agg(
-        F.min("id").alias("id"), *[first(c) for c in ("n", *BITS, "prefix")]), "classes")
+        F.min("id").alias("id"), *[first(c) for c in ("n", *BITS, "wide", "prefix")]), "classes")
     docs = docs.where("id is not null")
+    release(df.sparkSession)
 
-    rows = classes.select("id", "n", F.explode_outer("prefix").alias("h"))
+    length = (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1).cast("int")
+    rows = classes.select("id", "n", F.explode_outer(F.slice("prefix", F.lit(1), length)).alias("h"))
     counts = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "tile-counts")
-    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    release(df.sparkSession)
+    total = classes.agg(F.sum(length.cast("long"))).first()[0] or 0
     often = [r.h for r in counts.where(F.col("k") > max(FREQUENT_ROWS, total // RARE_SHARE)).select("h").collect()]
     if often:
         import numpy as np
         frequent = np.sort(np.array(often, np.int64).view(np.uint64))
-        hot = counts.where(F.col("k") > max(FREQUENT_ROWS, total // RARE_SHARE)).select("h")
-        touched = materialize(rows.join(hot, "h", "left_semi").select("id").distinct(), "with-frequent")
-        again = signatures(docs.join(touched, "id", "left_semi").dropDuplicates(["id"]), size, num, den, frequent)
-        rows = materialize(rows.join(touched, "id", "left_anti").unionByName(
-            again.select("id", "n", F.explode_outer("prefix").alias("h"))), "tile-rows")
+        filled = materialize(reordered(classes, num, den, frequent), "prefixes")
+        short = materialize(filled.where("prefix is null").select("id"), "short-prefixes")
+        again = signatures(docs.join(short, "id", "left_semi"), size, num, den, frequent)
+        rows = filled.where("prefix is not null").unionByName(again.select("id", "n", "prefix"))
+        rows = rows.select("id", "n", F.explode_outer("prefix").alias("h"))
         counts = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "tile-counts")
     # a hair wider than the size bound, so that rounding never puts linked sets two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(den / num)) * (1 + 1e-9))).cast("int")
     tiles = rows.join(counts.select("h"), "h", "left_semi").select(
         "h", "id", "n", F.explode(F.array(band, band + 1)).alias("band"))
     tiles = materialize(tiles.withColumn("comp", F.col("id")), "tiles")
+    release(df.sparkSession)
 
     bitmaps = classes.select("id", "n", *BITS)
+    wide = classes.select("id", "n", "wide")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(LEADER_ROUNDS + 1):
@@ -219,7 +286,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                            & bitmaps_fit(col("x", "n"), col("y", "n"), [col("x", b) for b in BITS],
                                          [col("y", b) for b in BITS], num, den))
             pairs = pairs.select(col("x", "id").alias("a"), col("y", "id").alias("b")).distinct()
-        pairs = materialize(pairs.select("a", "b"), "pairs")
+        pairs = materialize(wide_bitmaps_fit(pairs.select("a", "b"), wide, num, den), "pairs")
         if pairs.isEmpty():
             if turn < LEADER_ROUNDS:
                 continue
