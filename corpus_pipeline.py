@@ -18,7 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior of low quality or toxicity is 0.5 or more go."""
+    """Documents whose posterior of low quality or of toxicity passes its cut go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 

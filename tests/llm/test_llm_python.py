@@ -335,6 +335,46 @@ def test_classifier_held_out(spark):
         assert len(bad) > 50 and sum(not r.kept for r in bad) >= 0.9 * len(bad), kind
 
 
+def test_classifier_every_language(spark):
+    """Fitted on four fifths of the labels: toxic documents go in small languages too."""
+    from topicwatch.llm.quality import classify, recall
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rest = labels.where("doc_id % 5 = 1")
+    out = classify(docs, labels.where("doc_id % 5 <> 1"))
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    kept = {r.doc_id: r.kept for r in out.select("doc_id", "kept").collect()}
+    want = collections.Counter()
+    for r in rest.collect():
+        kinds = ["low"] * (r.quality == 0) + ["toxic"] * (r.toxic == 1) or ["clean"]
+        want.update((lang[r.doc_id], k, x) for k in kinds for x in ["labelled"] + ["rejected"] * (not kept[r.doc_id]))
+    got = {(r.lang, r.kind): (r.labelled, r.rejected) for r in recall(out, docs, rest).collect()}
+    assert got == {(g, k): (want[g, k, "labelled"], want[g, k, "rejected"]) for g, k, _ in want}
+    for g in set(lang.values()):
+        n, rejected = got[g, "toxic"]
+        assert rejected >= 0.85 * n, (g, n, rejected)
+    # four times the limit that the cuts keep on the fitted rows: 617 clean ones here, 3 expected
+    assert sum(got[g, "clean"][1] for g in set(lang.values())) <= 0.02 * sum(got[g, "clean"][0] for g in set(lang.values()))
+
+
+def test_held_out_cuts():
+    """At most the stated share of clean rows goes, and no more bad rows stay than that asks for."""
+    from topicwatch.llm.quality import KINDS, held_out_cuts
+    rnd = random.Random(8)
+    rows = [(0, 0, rnd.gauss(-4, 1.5), rnd.gauss(-4, 1.5)) for _ in range(2000)]
+    rows += [(1, 0, rnd.gauss(4, 2), rnd.gauss(-4, 1)) for _ in range(200)] + [(None, 1, rnd.gauss(-4, 1), rnd.gauss(1, 2)) for _ in range(200)]
+    cuts = held_out_cuts(rows, KINDS, 0.01)
+    gone = [r for r in rows if r[2] >= cuts["low"] or r[3] >= cuts["toxic"]]
+    lost = [r for r in gone if r[:2] == (0, 0)]
+    assert 10 <= len(lost) <= 20
+    caught = sum(r[1] == 1 for r in gone)
+    assert caught > sum(r[1] == 1 and r[3] >= 0 for r in rows)
+    apart = [(0, 0, -9.0, -3.0), (0, 1, -9.0, -1.0), (1, 0, 2.0, -8.0)]
+    assert held_out_cuts(apart, KINDS) == {"low": -3.5, "toxic": -2.0}
+    assert held_out_cuts([], ("low",)) == {"low": 0.0, "toxic": float("inf")}
+    assert held_out_cuts([(0, 0, None, None), (1, 0, None, None)], ("low",)) == {"low": 0.0, "toxic": float("inf")}
+
+
 def test_classifier_edges(spark):
     from topicwatch.llm.quality import classify, keep_good
     rows = odd_rows(corpus())

@@ -55,7 +55,7 @@ FROM c JOIN n USING (item_id) WHERE shared_shingles >= 0.8 * item_shingles
 
 @register("op1_quality_classifier")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's evidence, site rates and posterior of being bad (low quality or toxic)."""
+    """Every document's evidence, site rates and posteriors of low quality and of toxicity."""
     out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.drop("_k1", "_k2")
 
