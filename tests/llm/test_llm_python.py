@@ -223,6 +223,37 @@ def test_jaccard_components(spark, monkeypatch, k, num, frequent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+@pytest.mark.parametrize("k,num,frequent", [(3, 90, 256), (5, 60, 2)])
+def test_jaccard_links(spark, monkeypatch, k, num, frequent):
+    """Every linked pair of classes, those inside one component too, and every row's class."""
+    from topicwatch.llm import jaccard_join
+    monkeypatch.setattr(jaccard_join, "FREQUENT_ROWS", frequent)
+    rows = corpus(n=40)
+    rnd = random.Random(9)
+    base = next(r[1] for r in rows if r[1] and 60 < len(r[1].split()) < 300).split()
+    for i in range(12):
+        words = list(base)
+        words[rnd.randrange(len(words))] = f"w{i}"
+        rows.append((2000 + i, " ".join(words), "a", "en", "", 0, "", ""))
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    sets = {}
+    for r in rows:
+        w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", lower(r[1])) if x]
+        sets[r[0]] = frozenset(tuple(w[j:j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+    first: dict[frozenset, int] = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    reps = sorted(i for s, i in first.items() if s)
+    want = {(a, b) for a in reps for b in reps if a < b
+            and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+    links, members = jaccard_join.jaccard_links(frame(spark, [*rows, (None, base[0], None, None, None, None, None, None)]), size=k, num=num)
+    assert sorted(tuple(r) for r in links.collect()) == sorted(want) and len(want) > 12
+    got = members.collect()
+    assert len(got) == len(rows) + 1
+    assert {r.doc_id: (r.n_shingles, r.class_id) for r in got} == {
+        **{i: (len(s), first[s] if s else None) for i, s in sets.items()}, None: (1, None)}
+
+
 def test_jaccard_without_links(spark):
     from topicwatch.llm.jaccard_join import jaccard_components, keep_one
     assert jaccard_components(frame(spark, [])).count() == 0

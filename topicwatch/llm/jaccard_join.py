@@ -203,28 +203,23 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
     return both.mapInArrow(verify, "a long, b long")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
-                       num: int = 90, den: int = 100) -> DataFrame:
-    """Documents linked by ``den`` * intersection >= ``num`` * union of their word-shingle sets.
-
-    1. One pass over the texts makes set sizes, class hashes, bitmaps and
-       prefixes. Documents with equal sets are one class, by a partial aggregate.
-    2. Classes that share a hash of their prefixes fall into tiles of that hash and
-       a band of set sizes (each band reaches to the next, so linked sets share a
-       tile); the prefix filter loses no link. Hashes in many prefixes
-       (at most 100,000 of them) come last in the order of the prefix.
-    3. Two rounds compare each member of a tile with a leader only; members of
-       one component by then are not compared again, so a group of near copies
-       costs its size, not its square. The last round compares every pair left
-       in a tile. Each pair passes the size bound, the bit-count bound and the
-       exact intersection of the sorted arrays.
-
-    Returns one row per input row: the id, ``n_shingles`` and ``component_id``
-    (smallest id reachable, itself included). Null text is empty; an empty set is
-    linked with nothing. Equal rows and ids repeat in the result; a row
-    with a null id links nothing and has a null component. An empty table gives
-    an empty result.
-    """
+def tile_pairs(rows: DataFrame, num: int, den: int, among: Column) -> DataFrame:
+    """The pairs (``a`` < ``b``) of ids in one tile for which ``among`` holds and that
+    pass the size and the bit-count bound."""
+    x, y = rows.alias("x"), rows.alias("y")
+    col = lambda s, c: F.col(f"{s}.{c}")
+    pairs = x.join(y, (col("x", "h") == col("y", "h")) & (col("x", "band") == col("y", "band"))
+                   & (col("x", "id") < col("y", "id")) & among
+                   & sizes_fit(col("x", "n"), col("y", "n"), num, den)
+                   & bitmaps_fit(col("x", "n"), col("y", "n"), [col("x", b) for b in BITS],
+                                 [col("y", b) for b in BITS], num, den))
+    return pairs.select(col("x", "id").alias("a"), col("y", "id").alias("b")).distinct()
+
+
+def tiled(df: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, ...]:
+    """Steps 1 and 2 of ``jaccard_components``: the texts by id, the signature of every row, the
+    classes of equal sets (``id``, the smallest, stands for the class), the rows of the
+    tiles, and the classes' bitmaps and wide bitmaps."""
     ship_code(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     signed = materialize(signatures(docs, size, num, den), "signatures")
@@ -258,6 +253,32 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     bitmaps = classes.select("id", "n", *BITS)
     wide = classes.select("id", "n", "wide")
+    return docs, signed, classes, tiles, bitmaps, wide
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
+                       num: int = 90, den: int = 100) -> DataFrame:
+    """Documents linked by ``den`` * intersection >= ``num`` * union of their word-shingle sets.
+
+    1. One pass over the texts makes set sizes, class hashes, bitmaps and
+       prefixes. Documents with equal sets are one class, by a partial aggregate.
+    2. Classes that share a hash of their prefixes fall into tiles of that hash and
+       a band of set sizes (each band reaches to the next, so linked sets share a
+       tile); the prefix filter loses no link. Hashes in many prefixes
+       (at most 100,000 of them) come last in the order of the prefix.
+    3. Two rounds compare each member of a tile with a leader only; members of
+       one component by then are not compared again, so a group of near copies
+       costs its size, not its square. The last round compares every pair left
+       in a tile. Each pair passes the size bound, the bit-count bound and the
+       exact intersection of the sorted arrays.
+
+    Returns one row per input row: the id, ``n_shingles`` and ``component_id``
+    (smallest id reachable, itself included). Null text is empty; an empty set is
+    linked with nothing. Equal rows and ids repeat in the result; a row
+    with a null id links nothing and has a null component. An empty table gives
+    an empty result.
+    """
+    docs, signed, classes, tiles, bitmaps, wide = tiled(df, id_col, text_col, size, num, den)
     links: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(LEADER_ROUNDS + 1):
@@ -278,14 +299,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         else:
             rest = materialize(tiles.join(open_tiles.select("h", "band"), ["h", "band"], "left_semi")
                                .join(bitmaps.drop("n"), "id"), "open-rows")
-            x, y = rest.alias("x"), rest.alias("y")
-            col = lambda s, c: F.col(f"{s}.{c}")
-            pairs = x.join(y, (col("x", "h") == col("y", "h")) & (col("x", "band") == col("y", "band"))
-                           & (col("x", "id") < col("y", "id")) & (col("x", "comp") != col("y", "comp"))
-                           & sizes_fit(col("x", "n"), col("y", "n"), num, den)
-                           & bitmaps_fit(col("x", "n"), col("y", "n"), [col("x", b) for b in BITS],
-                                         [col("y", b) for b in BITS], num, den))
-            pairs = pairs.select(col("x", "id").alias("a"), col("y", "id").alias("b")).distinct()
+            pairs = tile_pairs(rest, num, den, F.col("x.comp") != F.col("y.comp"))
         pairs = materialize(wide_bitmaps_fit(pairs.select("a", "b"), wide, num, den), "pairs")
         if pairs.isEmpty():
             if turn < LEADER_ROUNDS:
@@ -308,6 +322,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
+                  num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The whole join in general form: all linked pairs of classes, and who belongs to a class.
+
+    Documents with equal shingle sets are one class, named by its smallest id. Returns the links
+    (``a`` < ``b``: every two classes with ``den`` * intersection >= ``num`` * union) and the
+    members (the id, ``n_shingles`` and ``class_id``, one row per input row; null for an
+    empty set or a null id). Two documents link if their classes are equal or linked.
+    Unlike ``jaccard_components`` every pair of a tile that passes the bounds is compared, so
+    a group of near copies costs the square of its size, as its list of links does.
+    """
+    docs, signed, classes, tiles, bitmaps, wide = tiled(df, id_col, text_col, size, num, den)
+    rows = materialize(tiles.join(bitmaps.drop("n"), "id"), "tile-rows")
+    pairs = materialize(wide_bitmaps_fit(tile_pairs(rows, num, den, F.lit(True)), wide, num, den), "pairs")
+    links = materialize(linked(pairs, docs, size, num, den).distinct(), "found")
+    named = classes.select("c1", "c2", F.col("id").alias("class_id"))
+    members = signed.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
+    own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("class_id"))
+    return links, members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("class_id"))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80,
              den: int = 100) -> DataFrame:
     """The rows of ``df`` without those that link to a smaller id; one of each group stays.
