@@ -128,6 +128,24 @@ def test_training_order_round_trip(spark, vocabulary, tokenizer):
     assert training_order(frame(spark, []), vocabulary).count() == 0
 
 
+def test_training_shards_resume(spark, vocabulary):
+    """A read that starts or stops in mid-shard is that part of the full read; other shards aren't opened."""
+    from topicwatch.llm.common import scratch_path
+    from topicwatch.llm.training_order import read_training_shards, training_order
+    path, length, shard_rows = scratch_path(spark, "t"), 32, 50
+    n = training_order(frame(spark, corpus()), vocabulary, length, shard_rows=shard_rows, path=path).count()
+    assert n > 3 * shard_rows
+    read = lambda *part: [(r.slot, bytes(r.record)) for r in read_training_shards(spark, path, length, shard_rows, 2, *part)
+                          .orderBy("slot").collect()]
+    whole = read()
+    assert [s for s, _ in whole] == list(range(n)) and all(len(x) == 2 * length for _, x in whole)
+    for first, count in [(0, None), (70, None), (50, 50), (70, 5), (70, 60), (49, 2), (n - 1, 10), (n, None), (3, 0)]:
+        assert read(first, count) == whole[first:None if count is None else first + count], (first, count)
+    some = read_training_shards(spark, path, length, shard_rows, 2, 70, 60)
+    assert {f.split("shard=")[1].split("/")[0] for f in some.inputFiles()} >= {"1", "2"}
+    assert some._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [isnotnull(shard") == 1
+
+
 PAGES = "page_id long, url string, html string, valid string"
 
 

@@ -83,8 +83,8 @@ def write_training_shards(sequences: DataFrame, path: str, length: int, shard_ro
 
     Slot s is record s % ``shard_rows`` of shard s // ``shard_rows``; a record is
     ``length`` ids of ``width`` bytes (2 for vocabularies up to 65,536, else 4), padded with
-    id 0, so the byte offset of any slot is known and a run resumes by
-    seeking. Rows are range-partitioned by shard and sorted by slot, so a shard
+    id 0, so the byte offset of any slot is known and a run resumes at
+    any slot (``read_training_shards``). Rows are range-partitioned by shard and sorted by slot, so a shard
     is one file written by one task and committed as a whole. The shards are written in
     ``waves`` (every ``waves``-th shard), so that only a part of the ids lies in
     shuffle files at a time. The files hold
@@ -108,23 +108,33 @@ def write_training_shards(sequences: DataFrame, path: str, length: int, shard_ro
     return placed.drop("ids").withColumn("byte_offset", F.col("slot") % shard_rows * (length * width))
 
 
-def read_training_shards(spark: SparkSession, path: str, length: int, shard_rows: int, width: int = 2) -> DataFrame:
-    """``slot`` and ``record`` (``length`` ids of ``width`` bytes) of every record under ``path``."""
+def read_training_shards(spark: SparkSession, path: str, length: int, shard_rows: int, width: int = 2,
+                         first: int = 0, count: int | None = None) -> DataFrame:
+    """``slot`` and ``record`` (``length`` ids of ``width`` bytes) of ``count`` records under ``path``
+    from slot ``first`` on (all that follow without a ``count``).
+
+    Only the shards that hold such slots are opened; in the first and the last of them
+    the records are cut out by their byte offsets. A shard that is opened is read as one
+    value, so a resumed read costs at most one shard more than its records.
+    """
     ship_code(spark)
-    stride = length * width
+    stride, end = length * width, None if count is None else first + count
 
     def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
             for shard, data in zip(batch.column(0), batch.column(1)):
-                view, first = data.as_buffer(), shard.as_py() * shard_rows
+                view, start = data.as_buffer(), shard.as_py() * shard_rows
                 n = len(view) // stride
+                own = range(max(0, first - start), n if end is None else min(n, end - start))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(first, first + n), pa.int64()),
-                     pa.array([view[i * stride:(i + 1) * stride].to_pybytes() for i in range(n)], pa.binary())],
+                    [pa.array([start + i for i in own], pa.int64()),
+                     pa.array([view[i * stride:(i + 1) * stride].to_pybytes() for i in own], pa.binary())],
                     ["slot", "record"])
 
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).where(F.col("shard") >= first // shard_rows)
+    if end is not None:
+        files = files.where(F.col("shard") * shard_rows < end)
     return files.select("shard", "content").mapInArrow(split, "slot long, record binary")
 
 
