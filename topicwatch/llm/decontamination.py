@@ -29,12 +29,13 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                     threshold: float = 0.8) -> DataFrame:
     """Items of which at least ``threshold`` of the shingles occur in a document.
 
-    Items are partitioned by size: an item of n shingles is signed with its k
-    smallest shingle hashes (bottom-k MinHash), k = n - ceil(threshold n) + 1,
-    so k grows with the size class and a document that holds the threshold's
-    share must hold at least one signature hash: the search loses nothing.
-    Shingles that several items share come last in the order, so the text of a
-    template doesn't draw candidates. Documents of any length are looked up
+    An exact prefix filter in place of MinHash and size partitions: an item of n
+    shingles is looked up by k = n - ceil(threshold n) + 1 of its hashes, so k grows
+    with its size and a document that holds the threshold's share must hold
+    at least one of them: the search loses nothing, where sampled signatures would.
+    Hashes that fewer items share come first, so the text of a template doesn't draw
+    candidates. Items are split only by min(words, ``shingle``), the length of
+    their shingles. Documents of any length are looked up
     shingle by shingle; candidate documents alone are read again, and the exact
     distinct shingles (the words, not their hashes) that both hold are counted.
     The signature table grows with the items only; Spark broadcasts it if its
