@@ -398,3 +398,14 @@ def test_dates_and_nested_blocks(spark):
             "<div>after</div></body>")
     text = spark.createDataFrame([(page,)], "h string").select(H.article_text(F.col("h")).alias("t")).first()["t"]
     assert "first part" in text and "second" in text and "deep" in text and "after" not in text and "no" not in text.split()
+
+
+def test_daily_rows_without_cap(spark):
+    """The uniqueness check of daily rows sees every day of a situation."""
+    from topicwatch.operators import metrics
+    from topicwatch.plans import quality
+    rows = spark.range(12_000).selectExpr("1L as situation_id", "timestamp_ntz '1990-01-01' + make_dt_interval(cast(id as int)) as ts")
+    assert metrics.docs_by_day(rows, newest=None).count() == 12_000
+    assert metrics.docs_by_day(rows).count() == 30
+    plan = quality.dq_violations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan

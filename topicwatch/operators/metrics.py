@@ -155,9 +155,11 @@ def non_null(df: DataFrame, col: str) -> DataFrame:
 
 # ------------------------------------------------------------- aggregates
 
-def docs_by_day(docs: DataFrame, newest: int = 30) -> DataFrame:
-    """A-1: documents per situation and day, newest ``newest`` days present."""
+def docs_by_day(docs: DataFrame, newest: int | None = 30) -> DataFrame:
+    """A-1: documents per situation and day, newest ``newest`` days present (None: all)."""
     daily = docs.groupBy("situation_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("doc_count"))
+    if newest is None:
+        return daily
     w = Window.partitionBy("situation_id").orderBy(F.col("day").desc())
     return daily.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= newest).drop("_rn")
 

@@ -63,7 +63,7 @@ def dq_violations(spark, sf):
                          "source_id_pattern": F.col("source_id").rlike("^[A-Za-z0-9_-]+$")}, "docs"),
         Q.duplicate_keys(d, ["id"], "docs"),
         Q.duplicate_keys(V.table(spark, sf, "labels"), ["doc_id"], "labels"),
-        Q.duplicate_keys(M.docs_by_day(d, newest=10_000), ["situation_id", "day"], "daily_docs"),
+        Q.duplicate_keys(M.docs_by_day(d, newest=None), ["situation_id", "day"], "daily_docs"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
