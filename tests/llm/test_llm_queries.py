@@ -20,7 +20,7 @@ llm.load_all()
 
 def test_every_operator_has_one_query():
     names = [q for q in E.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert "pipeline" in E.queries()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
@@ -29,7 +29,7 @@ def test_every_operator_has_one_query():
 def test_query_equals_sql(spark, name):
     df = llm.QUERIES[name](spark, SF_SMALL)
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     cur = con.execute(llm.ORACLES[name])
     columns, want = [d[0] for d in cur.description], cur.fetchall()

@@ -34,4 +34,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import queries  # noqa: F401
+    from . import curation_queries, queries  # noqa: F401
