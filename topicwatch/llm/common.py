@@ -85,6 +85,14 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit("second"), *cols).alias("_k2")]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that it isn't a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def packed(df: DataFrame, carry: list[str] | None) -> Column:
     """The carried columns as one struct ``_row``, so that working columns never
     clash with the caller's names."""

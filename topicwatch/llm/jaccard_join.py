@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import materialize, release, text_or_empty
+from .common import materialize, packed, release, row_key, text_or_empty
 from .components import components
 
 #: 64-bit words of the bitmap that the joins compare; words cached in a task; orders by which tiles pick leaders.
@@ -67,7 +67,8 @@ def folded(bitmap, size: int):
 
 
 def signatures(docs: DataFrame, size: int, num: int, den: int, frequent=None) -> DataFrame:
-    """``id``, ``n``, class hash ``c1``, ``c2``, bitmap ``b0..``, ``wide`` and ``prefix`` of each row (``id``, ``text``).
+    """``id``, ``n``, class hash ``c1``, ``c2``, bitmap ``b0..``, ``wide`` and ``prefix`` of each row (``id``, ``text`` and
+    other columns, which are carried).
 
     A bit of the bitmap is the parity of the shingles hashed to it, so the bits
     in which two bitmaps differ are at most the shingles in which the sets
@@ -104,10 +105,12 @@ def signatures(docs: DataFrame, size: int, num: int, den: int, frequent=None) ->
                                               pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                 *[pa.array(maps[:, i]) for i in range(BITMAP_WORDS)], pa.array(wide, pa.binary()), prefix],
-                ["id", "n", "c1", "c2", *BITS, "wide", "prefix"])
+                 *[pa.array(maps[:, i]) for i in range(BITMAP_WORDS)], pa.array(wide, pa.binary()), prefix, *batch.columns[2:]],
+                ["id", "n", "c1", "c2", *BITS, "wide", "prefix", *carried])
 
     schema = "id long, n long, c1 long, c2 long, " + "".join(f"{b} long, " for b in BITS) + "wide binary, prefix array<long>"
+    carried = docs.columns[2:]
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema[2:])
     return docs.mapInArrow(sign, schema)
 
 
@@ -133,13 +136,19 @@ def reordered(classes: DataFrame, num: int, den: int, frequent) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``id`` and the sorted set (``shingles``, 8 bytes each) of each row (``id``, ``text``)."""
+    """``id`` and the sorted set (``shingles``, 8 bytes each) of each row (``id``, ``text``); of equal
+    rows in a task the first."""
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        sets = ShingleSets(size)
+        sets, seen = ShingleSets(size), set()
         for batch in batches:
-            out = [sets.of(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
+            ids, out = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i not in seen:
+                    seen.add(i)
+                    ids.append(i)
+                    out.append(sets.of(t).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "shingles"])
     return docs.mapInArrow(build, "id long, shingles binary")
 
 
@@ -178,11 +187,18 @@ def wide_bitmaps_fit(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> D
     return both.mapInArrow(fit, "a long, b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) whose sets link, by exact intersection of sorted arrays.
-    Sets are made of the documents in ``pairs`` alone."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
-    sets = materialize(shingle_sets(docs.join(ids, "id", "left_semi"), size), "shingle-sets")
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id`` and ``text`` of the ``wanted`` rows (``id`` and key)."""
+    return docs.join(wanted, ["_k1", "_k2"]).select("id", "text")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) whose sets link, by exact intersection of sorted arrays, written.
+    Sets are made of the documents in ``pairs`` alone, found by their ``keys``."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = materialize(ids.join(keys, "id"), "candidates")
+    sets = materialize(shingle_sets(texts_of(docs, ids), size), "shingle-sets")
+    release(docs.sparkSession, ids)
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb"))
 
@@ -200,7 +216,9 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long")
+    found = materialize(both.mapInArrow(verify, "a long, b long").distinct(), "found")
+    release(docs.sparkSession, sets)
+    return found
 
 
 def tile_pairs(rows: DataFrame, num: int, den: int, among: Column) -> DataFrame:
@@ -217,109 +235,135 @@ def tile_pairs(rows: DataFrame, num: int, den: int, among: Column) -> DataFrame:
 
 
 def tiled(df: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, ...]:
-    """Steps 1 and 2 of ``jaccard_components``: the texts by id, the signature of every row, the
-    classes of equal sets (``id``, the smallest, stands for the class), the rows of the
-    tiles, and the classes' bitmaps and wide bitmaps."""
-    ship_code(df.sparkSession)
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    signed = materialize(signatures(docs, size, num, den), "signatures")
+    """Steps 1 and 2 of ``linked_rows``: the texts by key, every row (number ``id``, ``own`` id, key, ``n`` and class),
+    the classes of equal sets (``id``: the smallest number stands for the class; ``own``: the smallest id), the rows
+    of the tiles, and the classes' bitmaps and wide bitmaps."""
+    spark = df.sparkSession
+    ship_code(spark)
+    own = F.col(f"`{id_col}`")
+    docs = df.select(text_or_empty(text_col).alias("text"), own.alias("own"), *row_key(own, text_or_empty(text_col)))
+    numbers = F.monotonically_increasing_id().alias("id")
+    signed = materialize(signatures(docs.select(numbers, "text", "own", "_k1", "_k2"), size, num, den), "signatures")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal in a class
-    classes = materialize(signed.where("n > 0 and id is not null").groupBy("c1", "c2").agg(
-        F.min("id").alias("id"), *[first(c) for c in ("n", *BITS, "wide", "prefix")]), "classes")
-    docs = docs.where("id is not null")
-    release(df.sparkSession)
+    classes = materialize(signed.where("n > 0 and own is not null").groupBy("c1", "c2").agg(
+        F.min(F.struct("id", "_k1", "_k2")).alias("_rep"), F.min("own").alias("own"),
+        *[first(c) for c in ("n", *BITS, "wide", "prefix")]).select("c1", "c2", "_rep.*", "own", "n", *BITS, "wide", "prefix"), "classes")
+    rows = materialize(signed.select("id", "own", "_k1", "_k2", "n", "c1", "c2"), "rows")
+    release(spark, signed)
+    docs = docs.drop("own")
 
     length = (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1).cast("int")
-    rows = classes.select("id", "n", F.explode_outer(F.slice("prefix", F.lit(1), length)).alias("h"))
-    counts = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "tile-counts")
-    release(df.sparkSession)
+    prefixes = classes.select("id", "n", F.explode_outer(F.slice("prefix", F.lit(1), length)).alias("h"))
+    counts = materialize(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "tile-counts")
+    release(spark)
     total = classes.agg(F.sum(length.cast("long"))).first()[0] or 0
     often = [r.h for r in counts.where(F.col("k") > max(FREQUENT_ROWS, total // RARE_SHARE)).select("h").collect()]
     if often:
         import numpy as np
         frequent = np.sort(np.array(often, np.int64).view(np.uint64))
         filled = materialize(reordered(classes, num, den, frequent), "prefixes")
-        short = materialize(filled.where("prefix is null").select("id"), "short-prefixes")
-        again = signatures(docs.join(short, "id", "left_semi"), size, num, den, frequent)
-        rows = filled.where("prefix is not null").unionByName(again.select("id", "n", "prefix"))
-        rows = rows.select("id", "n", F.explode_outer("prefix").alias("h"))
-        counts = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "tile-counts")
+        short = materialize(filled.where("prefix is null").select("id").join(classes.select("id", "_k1", "_k2"), "id"), "short-prefixes")
+        again = signatures(texts_of(docs, short), size, num, den, frequent).select("id", "n", "prefix").dropDuplicates(["id"])
+        prefixes = filled.where("prefix is not null").unionByName(again)
+        prefixes = prefixes.select("id", "n", F.explode_outer("prefix").alias("h"))
+        release(spark, counts)
+        counts = materialize(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "tile-counts")
+        release(spark)
     # a hair wider than the size bound, so that rounding never puts linked sets two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(den / num)) * (1 + 1e-9))).cast("int")
-    tiles = rows.join(counts.select("h"), "h", "left_semi").select(
+    tiles = prefixes.join(counts.select("h"), "h", "left_semi").select(
         "h", "id", "n", F.explode(F.array(band, band + 1)).alias("band"))
     tiles = materialize(tiles.withColumn("comp", F.col("id")), "tiles")
-    release(df.sparkSession)
-
-    bitmaps = classes.select("id", "n", *BITS)
-    wide = classes.select("id", "n", "wide")
-    return docs, signed, classes, tiles, bitmaps, wide
-
-
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
-                       num: int = 90, den: int = 100) -> DataFrame:
-    """Documents linked by ``den`` * intersection >= ``num`` * union of their word-shingle sets.
-
-    1. One pass over the texts makes set sizes, class hashes, bitmaps and
-       prefixes. Documents with equal sets are one class, by a partial aggregate.
-    2. Classes that share a hash of their prefixes fall into tiles of that hash and
-       a band of set sizes (each band reaches to the next, so linked sets share a
-       tile); the prefix filter loses no link. Hashes in many prefixes
-       (at most 100,000 of them) come last in the order of the prefix.
-    3. Two rounds compare each member of a tile with a leader only; members of
-       one component by then are not compared again, so a group of near copies
-       costs its size, not its square. The last round compares every pair left
-       in a tile. Each pair passes the size bound, the bit-count bound and the
-       exact intersection of the sorted arrays.
-
-    Returns one row per input row: the id, ``n_shingles`` and ``component_id``
-    (smallest id reachable, itself included). Null text is empty; an empty set is
-    linked with nothing. Equal rows and ids repeat in the result; a row
-    with a null id links nothing and has a null component. An empty table gives
-    an empty result.
-    """
-    docs, signed, classes, tiles, bitmaps, wide = tiled(df, id_col, text_col, size, num, den)
+    slim = materialize(classes.drop("prefix"), "classes")
+    release(spark, classes, counts, *([filled, short] if often else []))
+    return docs, rows, slim, tiles, slim.select("id", "n", *BITS), slim.select("id", "n", "wide")
+
+
+def linked_rows(df: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
+    """One row per row of ``df``: its id ``own``, its key, ``n`` (size of its set) and ``component``, the smallest id
+    reachable by links (its own id if its set is empty, null if its id is), and ``group``, which tells apart components
+    whose smallest ids are equal (null for both). See ``jaccard_components``."""
+    spark = df.sparkSession
+    docs, rows, classes, tiles, bitmaps, wide = tiled(df, id_col, text_col, size, num, den)
+    keys = classes.select("id", "_k1", "_k2")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(LEADER_ROUNDS + 1):
         open_tiles = tiles.groupBy("h", "band").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min(F.struct(F.col("id").bitwiseXOR(F.xxhash64(F.lit(turn), F.pmod("h", F.lit(LEADER_ORDERS)))).alias("o"),
-                           "id", "comp")).alias("leader")).where("lo < hi")
-        open_tiles = materialize(open_tiles.select("h", "band", F.col("leader.id").alias("leader"),
+                           "id", "comp", "n")).alias("leader")).where("lo < hi")
+        open_tiles = materialize(open_tiles.select("h", "band", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"),
                                                    F.col("leader.comp").alias("leader_comp")), "open-tiles")
         if turn < LEADER_ROUNDS:
             pairs = (tiles.join(open_tiles, ["h", "band"]).where("comp <> leader_comp")
+                     .where(sizes_fit(F.col("n"), F.col("leader_n"), num, den))
                      .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
             for side in "ab":
-                own = bitmaps.toDF(*[f"{side}_{c}" for c in bitmaps.columns])
-                pairs = pairs.join(own, F.col(side) == F.col(f"{side}_id"))
-            pairs = pairs.where(sizes_fit(F.col("a_n"), F.col("b_n"), num, den) & bitmaps_fit(
+                one = bitmaps.toDF(*[f"{side}_{c}" for c in bitmaps.columns])
+                pairs = pairs.join(one, F.col(side) == F.col(f"{side}_id"))
+            pairs = pairs.where(bitmaps_fit(
                 F.col("a_n"), F.col("b_n"), [F.col(f"a_{b}") for b in BITS], [F.col(f"b_{b}") for b in BITS], num, den))
         else:
             rest = materialize(tiles.join(open_tiles.select("h", "band"), ["h", "band"], "left_semi")
                                .join(bitmaps.drop("n"), "id"), "open-rows")
             pairs = tile_pairs(rest, num, den, F.col("x.comp") != F.col("y.comp"))
         pairs = materialize(wide_bitmaps_fit(pairs.select("a", "b"), wide, num, den), "pairs")
+        release(spark, open_tiles)
         if pairs.isEmpty():
             if turn < LEADER_ROUNDS:
                 continue
             break
-        found = materialize(linked(pairs, docs, size, num, den).distinct(), "found")
+        found = linked(pairs, docs, keys, size, num, den)
         links = found if links is None else links.unionByName(found)
         labels = materialize(components(links), "labels")
+        release(spark, pairs)
         if turn < LEADER_ROUNDS:
+            before = tiles
             tiles = materialize(tiles.drop("comp").join(labels.withColumnRenamed("component", "comp"), "id", "left")
                                 .withColumn("comp", F.coalesce("comp", "id")), "tiles")
-    named = classes.select("c1", "c2", "id")
+            release(spark, before)
+    named = classes.select("c1", "c2", "id", "own")
     if labels is not None:
-        named = named.join(labels, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
+        # components are named by numbers of rows; a result names them by their smallest id
+        member = materialize(labels.join(named.select("id", "own"), "id"), "members")
+        least = materialize(member.groupBy("component").agg(F.min("own").alias("least")), "smallest-ids")
+        named = named.join(member.select("id", "component").join(least, "component"), "id", "left").select(
+            "c1", "c2", F.coalesce("least", "own").alias("component"), F.coalesce("component", "id").alias("group"))
     else:
-        named = named.withColumnRenamed("id", "component")
+        named = named.select("c1", "c2", F.col("own").alias("component"), F.col("id").alias("group"))
     named = materialize(named, "class-components")
-    out = signed.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    release(spark, tiles, classes)
+    out = rows.join(named, ["c1", "c2"], "left")
+    component = F.when(F.col("own").isNotNull(), F.coalesce("component", "own"))
+    return out.select("own", "_k1", "_k2", "n", component.alias("component"), "group")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
+                       num: int = 90, den: int = 100) -> DataFrame:
+    """Documents linked by ``den`` * intersection >= ``num`` * union of their word-shingle sets.
+
+    1. One pass over the texts makes set sizes, class hashes, bitmaps and
+       prefixes. Documents with equal sets are one class, by a partial aggregate.
+    2. Classes that share a hash of their prefixes fall into tiles of that hash and
+       a band of set sizes (each band reaches to the next, so linked sets share a
+       tile); the prefix filter loses no link. Hashes in many prefixes
+       (at most 100,000 of them) come last in the order of the prefix.
+    3. Two rounds compare each member of a tile with a leader only; members of
+       one component by then are not compared again, so a group of near copies
+       costs its size, not its square. The last round compares every pair left
+       in a tile. Each pair passes the size bound, the bit-count bound and the
+       exact intersection of the sorted arrays.
+
+    Returns one row per input row: the id, ``n_shingles`` and ``component_id``
+    (smallest id reachable, itself included). Null text is empty; an empty set is
+    linked with nothing. Equal rows and ids repeat in the result; rows that share an id
+    but not their text are linked each by its own text; a row
+    with a null id links nothing and has a null component. Ids may be of any type that can
+    be ordered. An empty table gives an empty result.
+    """
+    out = linked_rows(df, id_col, text_col, size, num, den)
+    return out.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
@@ -333,20 +377,36 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Unlike ``jaccard_components`` every pair of a tile that passes the bounds is compared, so
     a group of near copies costs the square of its size, as its list of links does.
     """
-    docs, signed, classes, tiles, bitmaps, wide = tiled(df, id_col, text_col, size, num, den)
-    rows = materialize(tiles.join(bitmaps.drop("n"), "id"), "tile-rows")
-    pairs = materialize(wide_bitmaps_fit(tile_pairs(rows, num, den, F.lit(True)), wide, num, den), "pairs")
-    links = materialize(linked(pairs, docs, size, num, den).distinct(), "found")
-    named = classes.select("c1", "c2", F.col("id").alias("class_id"))
-    members = signed.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
-    own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("class_id"))
-    return links, members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("class_id"))
+    docs, rows, classes, tiles, bitmaps, wide = tiled(df, id_col, text_col, size, num, den)
+    tile_rows = materialize(tiles.join(bitmaps.drop("n"), "id"), "tile-rows")
+    pairs = materialize(wide_bitmaps_fit(tile_pairs(tile_rows, num, den, F.lit(True)), wide, num, den), "pairs")
+    found = linked(pairs, docs, classes.select("id", "_k1", "_k2"), size, num, den)
+    name = lambda c: classes.select(F.col("id").alias(c), F.col("own").alias(f"{c}_own"))
+    links = found.join(name("a"), "a").join(name("b"), "b").select(
+        F.least("a_own", "b_own").alias("a"), F.greatest("a_own", "b_own").alias("b"))
+    members = rows.join(classes.select("c1", "c2", F.col("own").alias("class_id")), ["c1", "c2"], "left")
+    own = F.when(F.col("own").isNotNull() & (F.col("n") > 0), F.col("class_id"))
+    return links, members.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), own.alias("class_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80,
              den: int = 100) -> DataFrame:
-    """The rows of ``df`` without those that link to a smaller id; one of each group stays.
-    Rows with a null id stay."""
-    found = jaccard_components(df, id_col, text_col, size, num, den)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    """The rows of ``df`` without those that links join to a row of smaller id; one of each group stays.
+
+    Rows are told apart by id and text: rows that share an id but not their text are
+    separate documents (of two in one group with the same smallest id, one stays), and of whole copies of a row one stays.
+    Rows with a null id or an empty set stay, all of them. Ids may be of any type that can be ordered; input columns may have any names.
+    """
+    found = linked_rows(df, id_col, text_col, size, num, den).where("own is not null and n > 0")
+    found = materialize(found.groupBy("group", "own", "_k1", "_k2").agg(F.count(F.lit(1)).alias("copies")), "grouped")
+    best = found.groupBy("group").agg(F.min(F.struct("own", "_k1", "_k2")).alias("best"), F.sum("copies").alias("rows"))
+    best = materialize(best.where("rows > 1"), "kept-of-groups")
+    found = found.join(best, "group").withColumn("kept", F.struct("_k1", "_k2") == F.struct("best._k1", "best._k2"))
+    found = materialize(found.where("not kept or copies > 1").select("_k1", "_k2", "kept"), "copies")
+    rows = df.select(packed(df, None), *row_key(F.col(f"`{id_col}`"), text_or_empty(text_col)))
+    columns = [F.col("_row").getField(c).alias(c) for c in df.columns]
+    again = found.where("kept").select("_k1", "_k2")
+    if again.isEmpty():
+        return rows.join(found.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti").select(*columns)
+    once = rows.join(found.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti")
+    return once.unionByName(rows.join(again, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])).select(*columns)

@@ -9,28 +9,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import materialize, text_or_empty
-from .tokens import loaded, read_model
+from .common import free_name, materialize, text_or_empty
+from .tokens import id_width, loaded, read_model
 
-#: Pieces that one packing group holds on average.
-GROUP_PIECES = 50_000
+#: Pieces that one packing group holds on average; texts that a task tokenises at a time.
+GROUP_PIECES, BATCH_TEXTS = 50_000, 1_000
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str = "doc_id",
-                 text_col: str = "text", end_id: int | None = 0, words: bool = True,
-                 id_bytes: int = 0) -> DataFrame:
+                 text_col: str = "text", end_id: int | None = 0, id_bytes: int = 0) -> DataFrame:
     """Token ids of every row, cut into pieces of at most ``length``.
 
     Returns the id column, ``piece`` (from 0), ``start``, ``length`` and
     ``ids_crc32`` (unsigned CRC-32 of the ids as little-endian unsigned 32-bit
-    numbers); with ``id_bytes`` (2 for vocabularies up to 65,536, or 4) also ``ids``, the
-    ids as unsigned numbers of that many bytes. ``end_id`` (if any) is appended to
+    numbers); with ``id_bytes`` (2 or 4; an error if the tokenizer has ids that 2 bytes can't hold)
+    also ``ids``, the ids as unsigned numbers of that many bytes. ``end_id`` (if any) is appended to
     each document. Null text is empty: one piece of the end id alone, or
     none without an end id. Rows that repeat an id each give their pieces. The
     tokenizer file is read on the driver and travels with the task.
     """
     ship_code(df.sparkSession)
     model, size = read_model(tokenizer_path), 4 * length
+    if id_bytes and id_bytes < max(id_width(model), 4 if (end_id or 0) >= 1 << 16 else 2):
+        raise ValueError(f"the tokenizer has ids that {id_bytes} bytes can't hold")
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
@@ -39,8 +40,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, length: int = 2048, id_col:
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        tokenizer = loaded(model, words)
-        for batch in batches:
+        tokenizer = loaded(model)
+        for batch in (b.slice(at, BATCH_TEXTS) for b in batches for at in range(0, b.num_rows, BATCH_TEXTS)):
             ids, pieces, starts, lengths, crcs, bodies = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 body = tokenizer.ids(text) + end
@@ -120,19 +121,20 @@ def pack(pieces: DataFrame, length: int = 2048, group_pieces: int = GROUP_PIECES
     """Best-fit decreasing: adds ``sequence_id`` (long) and ``offset`` (long) to
     rows with a ``length`` of 1 to ``length``.
 
-    Pieces are dealt by a hash of the row into groups of about ``group_pieces``,
-    each packed by itself, longest first; a group leaves at most a few
-    sequences part-filled, so the loss against one global packing is of the order
-    of one sequence in ten thousand. The number of groups grows with the input, a
-    group never does: its rows are all different pieces, also of one
-    document. Ties in length are placed in the order of the other columns. An
-    empty table gives an empty result.
+    Pieces are written once with their task and place and dealt by a hash of these into groups of
+    about ``group_pieces``, so rows that repeat spread like any others. Each group is packed by itself,
+    longest first; it leaves at most a few sequences part-filled, so the loss against one global
+    packing is of the order of one sequence in ten thousand. The number of groups grows with the
+    input, a group never does. Input columns ``sequence_id`` and ``offset`` are replaced; other columns
+    may have any names. An empty table gives an empty result.
     """
     ship_code(pieces.sparkSession)
-    pieces = materialize(pieces, "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
+    pieces = pieces.drop(*[c for c in pieces.columns if c.lower() in ("sequence_id", "offset")])
     names = pieces.columns
-    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    place, group = free_name(pieces, "_place"), free_name(pieces, "_group")
+    pieces = materialize(pieces.withColumn(place, F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
+    schema = pieces.drop(place).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     at = names.index("length")
 
     def fit(key, table):
@@ -149,5 +151,5 @@ def pack(pieces: DataFrame, length: int = 2048, group_pieces: int = GROUP_PIECES
         return table.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column(
             "offset", pa.array(offset, pa.int64()))
 
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64(*[c for c in names if c != "ids"]), F.lit(groups)))
-    return keyed.groupBy("_group").applyInArrow(fit, schema)
+    keyed = pieces.withColumn(group, F.pmod(F.xxhash64(place), F.lit(groups))).drop(place)
+    return keyed.groupBy(group).applyInArrow(fit, schema)

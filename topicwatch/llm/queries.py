@@ -101,7 +101,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return (read_warc(spark, path, payloads=False)
-            .withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")}))
+            .withColumns({c: F.nullif(F.col(c), F.lit("")).cast("long") for c in ("page_id", "refers_to")}))
 
 
 @register("op5_line_dedup", r"""

@@ -29,20 +29,21 @@ def interleave(df: DataFrame, shards: int = 8, id_col: str = "doc_id", source_co
 
     Returns the ``carry`` columns (default: all) plus ``law`` ('rows'),
     ``shard`` and ``slot`` (gapless from 0 in each shard). A null source is a
-    source of its own; null ids share a hash. Ties of the hash go by id, then
+    source of its own. The hash covers the id and the carried columns (of types that
+    Spark can hash, so no maps): only rows equal in all of them share it. Ties of the hash go by id, then
     arbitrarily. Input columns with the names of the added ones are replaced.
     An empty table gives an empty result.
     """
     total = df.count()
     buckets = max(1, min(MAX_BUCKETS, max(total // bucket_rows, parallelism(df.sparkSession))))
     step = (1 << 32) / buckets
-    u = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"))
     source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
-    rows = df.select(packed(df, carry), F.col(f"`{id_col}`").alias("_id"), source.alias("_source"),
-                     u.alias("_u")).withColumn(
+    # the carried columns are hashed too, so that null and repeated ids don't share a slice
+    rows = df.select(packed(df, carry), F.col(f"`{id_col}`").alias("_id"), source.alias("_source"))
+    rows = rows.withColumn("_u", F.xxhash64(F.lit(seed), "_id", "_row")).withColumn(
         # the top 32 bits of the hash as an unsigned number, in equal slices
         "_slice", F.floor((F.shiftright("_u", 32) + F.lit(1 << 31)) / F.lit(step)).cast("int"))
-    # equal ids have equal hashes, so a slice is cut the same way in every run
+    # equal rows have equal hashes, so a slice is cut the same way in every run
     per_slice = materialize(rows.groupBy("_source", "_slice").agg(F.count(F.lit(1)).alias("_n")), "slice-counts")
     by_source = Window.partitionBy("_source").orderBy("_slice")
     starts = per_slice.select(

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import materialize, packed, release, row_key, text_or_empty, unpacked
+from .common import materialize, packed, parallelism, release, row_key, text_or_empty, unpacked
 
 #: Bytes of a gram; most windows of a segment; bytes that one transform holds on
 #: average; segments with one key beyond which windows are grouped singly.
 GRAM, SEGMENT_WINDOWS, BUCKET_BYTES, KEY_SEGMENTS = 16, 64, 2 << 20, 20_000
-#: Keys that one task compares at a time, on average.
-PART_KEYS = 2_000_000
+#: Keys that one task compares at a time, on average; buckets that one task transforms one after the other.
+PART_KEYS, TASK_BUCKETS = 2_000_000, 8
 #: A byte that UTF-8 never holds ends each segment in a transform.
 END = 0xFF
 LAST_ID = (1 << 63) - 1
@@ -287,7 +287,8 @@ def covered_windows(segments: DataFrame, length: int, key_segments: int = KEY_SE
     windows j0..j1 of the segment, where that may be another document's.
 
     Equal windows have equal keys, so segments are dealt by key into buckets of about
-    ``bucket_bytes``, one transform each. Of a key with more than ``key_segments``
+    ``bucket_bytes``, one transform each. A key with one segment alone needs none: all places of its
+    windows are that segment's. Buckets go to tasks in bounded numbers. Of a key with more than ``key_segments``
     different segments the windows are grouped singly, by Spark.
     """
     spark = segments.sparkSession
@@ -299,10 +300,21 @@ def covered_windows(segments: DataFrame, length: int, key_segments: int = KEY_SE
     def expand(group, table):
         import numpy as np
         import pyarrow as pa
-        owners = table.column("id").to_numpy()
-        part, j0, j1, low = smallest_per_window(table.column("s").to_pylist(), owners, length)
-        keep = (low < owners[part]) | (table.column("count").to_numpy()[part] > 1)
-        part, j0, j1, low = part[keep], j0[keep], j1[keep], low[keep]
+        import pyarrow.compute as pc
+        owners, count = table.column("id").to_numpy(), table.column("count").to_numpy()
+        _, key_of, held = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        alone = held[key_of] == 1
+        # a segment alone with its key has its own smallest owner in all of its windows
+        one = np.flatnonzero(alone & (count > 1))
+        size = pc.binary_length(table.column("s")).to_numpy()
+        found = [(one, np.zeros(len(one), np.int64), size[one].astype(np.int64) - length, owners[one])]
+        rest = np.flatnonzero(~alone)
+        if len(rest):
+            part, j0, j1, low = smallest_per_window(table.column("s").take(pa.array(rest)).to_pylist(), owners[rest], length)
+            part = rest[part]
+            keep = (low < owners[part]) | (count[part] > 1)
+            found.append((part[keep], j0[keep], j1[keep], low[keep]))
+        part, j0, j1, low = (np.concatenate([f[i] for f in found]) for i in range(4))
         return pa.table({"h1": pa.array(table.column("h1").to_numpy()[part]), "h2": pa.array(table.column("h2").to_numpy()[part]),
                          "j0": pa.array(j0, pa.int64()), "j1": pa.array(j1, pa.int64()), "smallest": pa.array(low, pa.int64())})
 
@@ -312,7 +324,7 @@ def covered_windows(segments: DataFrame, length: int, key_segments: int = KEY_SE
     else:
         rest = segments.join(hot, "key", "left_anti")
     out = (rest.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-           .groupBy("bucket").applyInArrow(expand, schema))
+           .repartition(max(parallelism(spark), -(-buckets // TASK_BUCKETS)), "bucket").groupBy("bucket").applyInArrow(expand, schema))
     if hot.isEmpty():
         return out
     single = segments.join(hot, "key", "left_semi").select(

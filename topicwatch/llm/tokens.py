@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -21,18 +22,21 @@ SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 class WordCache(dict):
     """Ids of a white-space-delimited word (little-endian unsigned 32-bit bytes),
     made on first use. Byte-pair merges never cross a piece's end, so a text's
-    ids are its pieces' ids in order. Emptied at ``limit`` words, so memory
-    stays bounded."""
+    ids are its pieces' ids in order. Emptied when its words and ids pass ``limit``
+    bytes (with about ``ENTRY`` bytes of overhead each), so memory stays bounded."""
+
+    ENTRY = 320
 
     def __init__(self, tokenizer, limit: int):
         super().__init__()
-        self.model, self.limit = tokenizer.model, limit
+        self.model, self.limit, self.used = tokenizer.model, limit, 0
         self.shown = {b: b for b in SHOWN}
         self.shown |= {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in self.shown)}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+        if self.used >= self.limit:
             self.clear()
+            self.used = 0
         pieces = PIECE.findall(word)
         if len(pieces) == 1 and pieces[0] == word:
             found = self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
@@ -40,6 +44,7 @@ class WordCache(dict):
         else:
             out = b"".join([self[p] for p in pieces])
         self[word] = out
+        self.used += self.ENTRY + len(word) + len(out)
         return out
 
 
@@ -47,15 +52,15 @@ class TextTokenizer:
     """``ids(text)``: the tokenizer's ids as little-endian unsigned 32-bit bytes,
     equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    ``words``: the tokenizer lower-cases, drops white space and splits words as
-    ``PIECE`` does, so words are looked up; otherwise each text is encoded whole.
+    Words are looked up if the tokenizer lower-cases, drops white space and splits words as
+    ``PIECE`` does (``splits_words``); otherwise each text is encoded whole.
     """
 
-    def __init__(self, model: str, words: bool = True, limit: int = 400_000):
+    def __init__(self, model: str, limit: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
-        self.words = WordCache(self.tokenizer, limit) if words else None
+        self.words = WordCache(self.tokenizer, limit) if splits_words(model) else None
 
     def ids(self, text: str) -> bytes:
         if self.words is None or OTHER.search(text):
@@ -64,14 +69,38 @@ class TextTokenizer:
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
+#: Fixed values of the word_bpe file: what it does to a text before byte-pair merges.
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def splits_words(model: str) -> bool:
+    """True if the tokenizer file normalises and splits texts as ``PIECE`` does, with plain byte-pair merges."""
+    file = json.loads(model)
+    steps = lambda part, key: (file.get(part) or {}).get(key)
+    return (steps("normalizer", "normalizers") == WORD_NORMALIZERS and steps("pre_tokenizer", "pretokenizers") == WORD_SPLITTERS
+            and file["model"]["type"] == "BPE" and not file["model"].get("ignore_merges") and not file["model"].get("dropout"))
+
+
+def id_width(model: str) -> int:
+    """Bytes that hold every id of the tokenizer: 2 up to 65,536 ids, else 4."""
+    file = json.loads(model)
+    vocab = file["model"]["vocab"]
+    ids = list(vocab.values()) if isinstance(vocab, dict) else range(len(vocab))
+    return 2 if max([*ids, *[t["id"] for t in file.get("added_tokens") or []]], default=0) < 1 << 16 else 4
+
+
 _LOADED: dict[tuple, TextTokenizer] = {}
 
 
-def loaded(model: str, words: bool) -> TextTokenizer:
-    """The worker's one tokenizer of this model: its tasks share the word cache."""
-    key = (hash(model), len(model), words)
+def loaded(model: str) -> TextTokenizer:
+    """The worker's tokenizer of this model: its tasks share the word cache. Another model's goes."""
+    key = (hash(model), len(model))
     if key not in _LOADED:
-        _LOADED[key] = TextTokenizer(model, words)
+        _LOADED.clear()
+        _LOADED[key] = TextTokenizer(model)
     return _LOADED[key]
 
 

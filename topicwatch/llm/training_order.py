@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import materialize, release, scratch_path
+from .common import free_name, materialize, release, scratch_path
 from .packing import token_pieces
+from .tokens import id_width, read_model
 
 
 class Feistel:
@@ -57,23 +58,26 @@ def slotted(sequences: DataFrame, key: int) -> DataFrame:
     The rows are written once, with their task's number and their place in it;
     a row's index is the rows of the tasks before plus its place, so no text or id
     moves for it (one row per task is summed in order). The Feistel network
-    turns the index into the slot. Without rows the result is empty.
+    turns the index into the slot. An input column ``slot`` is replaced, others
+    may have any names. Without rows the result is empty.
     """
     ship_code(sequences.sparkSession)
-    numbered = sequences.withColumn("_at", F.monotonically_increasing_id())
+    sequences = sequences.drop(*[c for c in sequences.columns if c.lower() == "slot"])
+    at, task, ahead = (free_name(sequences, c) for c in ("_at", "_task", "_before"))
+    numbered = sequences.withColumn(at, F.monotonically_increasing_id())
     # the high bits of monotonically_increasing_id are the task, the low 33 its row
-    numbered = materialize(numbered.withColumn("_task", F.shiftright("_at", 33).cast("int"))
-                           .withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "sequences")
-    counts = numbered.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
+    numbered = materialize(numbered.withColumn(task, F.shiftright(at, 33).cast("int"))
+                           .withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1)), "sequences")
+    counts = numbered.groupBy(task).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(task, (F.sum("_n").over(Window.orderBy(task)) - F.col("_n")).alias(ahead))
     order = Feistel(max(1, numbered.count()), key)
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(order(index.to_numpy()))
 
-    return (numbered.join(F.broadcast(before), "_task")  # one row per writing task
-            .withColumn("slot", slot(F.col("_before") + F.col("_at"))).drop("_task", "_at", "_before"))
+    return (numbered.join(F.broadcast(before), task)  # one row per writing task
+            .withColumn("slot", slot(F.col(ahead) + F.col(at))).drop(task, at, ahead))
 
 
 def write_training_shards(sequences: DataFrame, path: str, length: int, shard_rows: int = 8192, key: int = 1,
@@ -138,9 +142,9 @@ def read_training_shards(spark: SparkSession, path: str, length: int, shard_rows
     return files.select("shard", "content").mapInArrow(split, "slot long, record binary")
 
 
-def shard_digests(spark: SparkSession, path: str, length: int, shard_rows: int) -> DataFrame:
+def shard_digests(spark: SparkSession, path: str, length: int, shard_rows: int, width: int = 2) -> DataFrame:
     """``slot``, ``_size`` (ids up to the last that isn't 0) and ``_crc`` (of those ids as
-    little-endian unsigned 32-bit numbers) of every 16-bit record under ``path``."""
+    little-endian unsigned 32-bit numbers) of every record under ``path``."""
     ship_code(spark)
 
     def digest(batches: Iterator) -> Iterator:
@@ -148,7 +152,7 @@ def shard_digests(spark: SparkSession, path: str, length: int, shard_rows: int)
         import pyarrow as pa
         for batch in batches:
             for shard, data in zip(batch.column(0), batch.column(1)):
-                ids = np.frombuffer(data.as_buffer(), "<u2").reshape(-1, length)
+                ids = np.frombuffer(data.as_buffer(), f"<u{width}").reshape(-1, length)
                 used = ids != 0
                 size = np.where(used.any(1), length - used[:, ::-1].argmax(1), 0)
                 wide = memoryview(ids.astype("<u4").tobytes())
@@ -176,8 +180,9 @@ def training_order(docs: DataFrame, tokenizer_path: str, length: int = 256, key:
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "training-shards")
-    pieces = token_pieces(docs, tokenizer_path, length - 1, id_col, text_col, end_id=None, id_bytes=2)
-    placed = write_training_shards(pieces.drop("ids_crc32"), path, length, shard_rows, key)
+    width = id_width(read_model(tokenizer_path))
+    pieces = token_pieces(docs, tokenizer_path, length - 1, id_col, text_col, end_id=None, id_bytes=width)
+    placed = write_training_shards(pieces.drop("ids_crc32"), path, length, shard_rows, key, width)
     if placed.isEmpty():
         return placed.withColumn("ids_crc32", F.lit(None).cast("long"))
 
@@ -187,6 +192,6 @@ def training_order(docs: DataFrame, tokenizer_path: str, length: int = 256, key:
         return pd.Series([zlib.crc32(b"\0" * (4 * (n - k)), c) for c, k, n in zip(crc, size, length)], dtype="int64")
 
     # digests move to the join, not records
-    written = shard_digests(spark, path, length, shard_rows)
+    written = shard_digests(spark, path, length, shard_rows, width)
     return (placed.join(written, "slot").withColumn("ids_crc32", with_zeros("_crc", "_size", "length"))
             .drop("_size", "_crc"))

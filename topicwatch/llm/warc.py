@@ -16,6 +16,8 @@ from ..session import ship_code
 from .common import materialize, text_or_empty
 
 CRLF = b"\r\n"
+#: Types of records that hold a page; others (``warcinfo``, ``request``, ``metadata``) are skipped.
+PAGE_KINDS = ("response", "revisit", "continuation")
 #: Fixed values of the WARC 1.1 standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -24,6 +26,15 @@ RECORD = ("id string, uri string, type string, payload_digest string, refers_to
           "segment int, origin string, total_length long, block binary")
 
 
+def quoted(text: str) -> str:
+    """``text`` as one header line: line ends and ``%`` are percent-encoded."""
+    return re.sub("[%\r\n]", lambda m: f"%{ord(m[0]):02X}", text)
+
+
+def unquoted(text: str | None) -> str | None:
+    return text and re.sub("%(25|0D|0A)", lambda m: chr(int(m[1], 16)), text)
+
+
 def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
@@ -60,10 +71,10 @@ def page_records(page: str, uri: str, date: str, payload: bytes, sha1: bytes, fi
     than ``segment_bytes``, or a revisit of page ``first``."""
     record_id = f"<urn:uuid:{uuid.uuid4()}>"
     fields = [("WARC-Record-ID", record_id), ("WARC-Date", date), ("WARC-Target-URI", uri),
-              ("WARC-Payload-Digest", "sha1:" + base32_sha1(sha1)), ("X-Page-ID", page),
+              ("WARC-Payload-Digest", "sha1:" + base32_sha1(sha1)), ("X-Page-ID", quoted(page)),
               ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response")]
     if first != page:
-        return [_record("revisit", fields + [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page", first)], HTTP_HEAD)]
+        return [_record("revisit", fields + [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page", quoted(first))], HTTP_HEAD)]
     block = HTTP_HEAD + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
         return [_record("response", fields, block)]
@@ -92,7 +103,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     adaptive skew join can split a payload that a third of all rows share.
     Spark's text writer writes the files: the two line ends that close a record
     are its line separator, so a task's file is committed as a whole on any file
-    system. Null ids and urls are written as empty; rows without an id or that
+    system. Line ends in ids are percent-encoded and come back on reading. Null ids and urls are written as empty; rows without an id or that
     repeat an id and its payload are responses of their own. A file holds at most
     ``records_per_file`` records and is compressed as a whole ("gzip" or "none").
     """
@@ -132,19 +143,22 @@ def parse_records(data: memoryview, segmented: bool) -> Iterator[tuple]:
             if stop > end:
                 raise ValueError("record head is cut short")
         size = head.index(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head[:size].decode().split("\r\n")[1:])
-        start, n = at + size + 4, int(fields["Content-Length"])
+        # field names are case-insensitive, the blank after the colon may be missing
+        lines = (line.partition(":") for line in head[:size].decode("utf-8", "replace").split("\r\n")[1:])
+        fields = {name.strip().lower(): value.strip(" \t") for name, _, value in lines}
+        start, n = at + size + 4, int(fields["content-length"])
         if start + n + 4 > end:
             raise ValueError("record block is cut short")
-        segment = fields.get("WARC-Segment-Number")
-        if (segment is not None) == segmented:
-            total = fields.get("WARC-Segment-Total-Length")
-            record_id = fields["WARC-Record-ID"]
-            digest = fields.get("WARC-Payload-Digest")
-            yield (fields.get("X-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"],
-                   digest and digest.removeprefix("sha1:"), fields.get("X-Refers-To-Page"),
-                   int(fields["X-Payload-Length"]) if "X-Payload-Length" in fields else None,
-                   int(segment or 1), fields.get("WARC-Segment-Origin-ID", record_id),
+        segment, kind = fields.get("warc-segment-number"), fields.get("warc-type", "").lower()
+        if (segment is not None) == segmented and kind in PAGE_KINDS:
+            total = fields.get("warc-segment-total-length")
+            record_id = fields["warc-record-id"]
+            digest = fields.get("warc-payload-digest")
+            length = fields.get("x-payload-length")
+            yield (unquoted(fields.get("x-page-id")), fields.get("warc-target-uri"), kind,
+                   digest and digest.removeprefix("sha1:"), unquoted(fields.get("x-refers-to-page")),
+                   int(length) if length else None,
+                   int(segment or 1), fields.get("warc-segment-origin-id", record_id),
                    int(total) if total else None, data[start:start + n].tobytes())
         at = start + n + 4
 
