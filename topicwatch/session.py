@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,28 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return d
 
 
+_SCRATCH: dict[str, tuple] = {}
+
+
+def _drop_scratch() -> None:
+    for spark, root in _SCRATCH.values():
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session is gone; the folder is named after the application
+            pass
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for an application's own tables, under the shared checkpoint folder; deleted when the driver exits."""
+    if not _SCRATCH:
+        atexit.register(_drop_scratch)
+    app = spark.sparkContext.applicationId
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/topicwatch-tables-{app}"
+    _SCRATCH.setdefault(app, (spark, root))
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor
     loss, unlike a local checkpoint)."""
