@@ -56,7 +56,7 @@ class TextTokenizer:
     ``PIECE`` does (``splits_words``); otherwise each text is encoded whole.
     """
 
-    def __init__(self, model: str, limit: int = 48 << 20):
+    def __init__(self, model: str, limit: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
@@ -104,6 +104,11 @@ def loaded(model: str) -> TextTokenizer:
     return _LOADED[key]
 
 
+def forget() -> None:
+    """Give back the worker's tokenizer and its cache: tasks of later stages need neither."""
+    _LOADED.clear()
+
+
 def read_model(path: str) -> str:
     """The tokenizer file's text; it has a fixed size and travels with the task's code."""
     with open(path, encoding="utf-8") as f:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import ship_code
 from .common import free_name, materialize, release, scratch_path
 from .packing import token_pieces
-from .tokens import id_width, read_model
+from .tokens import forget, id_width, read_model
 
 
 class Feistel:
@@ -74,6 +74,7 @@ def slotted(sequences: DataFrame, key: int) -> DataFrame:
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
+        forget()
         return pd.Series(order(index.to_numpy()))
 
     return (numbered.join(F.broadcast(before), task)  # one row per writing task
@@ -150,6 +151,7 @@ def shard_digests(spark: SparkSession, path: str, length: int, shard_rows: int,
     def digest(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        forget()
         for batch in batches:
             for shard, data in zip(batch.column(0), batch.column(1)):
                 ids = np.frombuffer(data.as_buffer(), f"<u{width}").reshape(-1, length)
