@@ -96,7 +96,7 @@ def as_array(config: DataFrame) -> Column:
 def _rule_hits(rule: Column, low_text: Column, text: Column, source: Column) -> Column:
     source_ok = (F.size(rule["source_ids"]) == 0) | F.array_contains(rule["source_ids"], source)
     kw = F.exists(rule["keywords"], lambda k: (k != "") & (F.instr(low_text, F.lower(k)) > 0))
-    rx = F.exists(rule["regex_patterns"], lambda p: F.regexp_like(text, F.concat(F.lit("(?i)"), p)))
+    rx = F.exists(rule["regex_patterns"], lambda p: F.regexp_like(text, F.concat(F.lit("(?iu)"), p)))
     return F.coalesce(rule["enabled"], F.lit(False)) & source_ok & (kw | rx)
 
 
