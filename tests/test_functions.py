@@ -36,7 +36,8 @@ def test_dead_letter_id(spark):
 def test_urljoin(spark):
     from urllib.parse import urljoin
     base = "https://example.com/news/article?id=3#top"
-    for href in ["/page1", "https://other.com/page", "//cdn.example.com/x.png", "rel/path", "?q=2", "#frag"]:
+    for href in ["/page1", "https://other.com/page", "//cdn.example.com/x.png", "rel/path", "?q=2", "#frag", "../up", "./here", "../../../far",
+                 "a/./b/../c?x=../y", "..", ".", "/a/../b/", "a..b/.hidden", "../#f"]:
         assert one(spark, ids.urljoin(F.col("b"), F.col("h")), b=base, h=href) == urljoin(base, href), href
 
 

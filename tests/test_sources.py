@@ -83,7 +83,9 @@ def test_partitioned_writes(spark, tmpdir_path):
     arch = os.path.join(tmpdir_path, "archive")
     K.archive(d, arch, "2024-02-01")
     sizes = K.archive_sizes(spark, arch).first()
-    assert sizes["documents"] == d.count() and sizes["original_bytes"] > 0
+    files = [os.path.join(at, f) for at, _, names in os.walk(arch) for f in names if f.endswith(".parquet")]
+    assert sizes["documents"] == d.count() and sizes["original_bytes"] > 0 and sizes["files"] == len(files)
+    assert sizes["compressed_bytes"] == sum(map(os.path.getsize, files))
 
 
 def test_dead_letters_sink(spark, tmpdir_path):

@@ -47,9 +47,21 @@ def normalize_url(url: Column) -> Column:
     return F.regexp_replace(joined, "/+$", "")
 
 
+def without_dot_segments(url: Column) -> Column:
+    """An absolute url whose path has no ``.`` and ``..`` segments: each ``..`` takes the segment before it with it."""
+    parts = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)$"
+    segments = F.split(F.substr(F.regexp_extract(url, parts, 2), F.lit(2)), "/")
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda out, s: F.when(s == ".", out)
+                       .when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(s))))
+    path = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(F.regexp_extract(url, parts, 2).rlike(r"/\.\.?(/|$)"),
+                  F.concat(F.regexp_extract(url, parts, 1), path, F.regexp_extract(url, parts, 3))).otherwise(url)
+
+
 def urljoin(base: Column, href: Column) -> Column:
     """S-6: resolve ``href`` against ``base`` (absolute, scheme-relative,
-    root-relative, query, fragment and path-relative references)."""
+    root-relative, query, fragment and path-relative references, ``.`` and ``..`` segments)."""
     h = strip_ws(href)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
@@ -60,11 +72,11 @@ def urljoin(base: Column, href: Column) -> Column:
     directory = F.when(path == "", F.concat(origin, F.lit("/"))).otherwise(directory)
     return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
+            .when(h.startswith("/"), without_dot_segments(F.concat(origin, h)))
             .when(h.startswith("?"), F.concat(no_query, h))
             .when(h.startswith("#"), F.concat(no_frag, h))
             .when(h == "", base)
-            .otherwise(F.concat(directory, h)))
+            .otherwise(without_dot_segments(F.concat(directory, h))))
 
 
 def credibility(url: Column, paywalled: Column) -> tuple[Column, Column]:

@@ -11,6 +11,8 @@ from .. import views as V
 from ..functions import severity as SEV
 from ..operators import metrics as M
 from ..operators import quality as Q
+from ..session import scratch_folder
+from ..sources import sinks as K
 from . import register
 
 NOW = V.NOW
@@ -34,6 +36,19 @@ def fk_orphans(spark, sf):
     return Q.orphan_counts([(n, t(c), ck, t(p), pk) for n, c, ck, p, pk in RELATIONS])
 
 
+def daily_rows(spark, daily: DataFrame) -> list[DataFrame]:
+    """DQ-4 on the daily table as it is written: loaded twice (a load that was repeated), then read back, so that a load
+    that appends instead of replacing its days shows as repeated keys and as rows too many."""
+    path = scratch_folder(spark, "daily-docs")
+    for _ in range(2):
+        K.overwrite_partitions(daily, path, ["day"])
+    written = spark.read.schema(daily.schema).parquet(path)
+    signed = written.select(F.lit(1).alias("n")).unionByName(daily.select(F.lit(-1).alias("n")))
+    return [Q.duplicate_keys(written, ["situation_id", "day"], "daily_docs"),
+            signed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
+                F.lit("daily_docs").alias("table_name"), F.lit("rows").alias("check"), "violations")]
+
+
 @register("dq_violations", wv("""
 SELECT 'alerts' AS table_name, 'severity_enum' AS "check",
        count(*) FILTER (WHERE severity IS NULL OR severity NOT IN ('info', 'warning', 'error', 'critical')) AS violations
@@ -49,12 +64,22 @@ UNION ALL SELECT 'docs', 'unique(id)', count(*) FROM (SELECT id FROM docs GROUP
 UNION ALL SELECT 'labels', 'unique(doc_id)', count(*) FROM (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1)
 UNION ALL SELECT 'daily_docs', 'unique(situation_id,day)', count(*) FROM (
   SELECT situation_id, day FROM (SELECT situation_id, CAST(ts AS DATE) AS day FROM docs GROUP BY ALL)
-  GROUP BY ALL HAVING count(*) > 1)""", "alerts_v", "situations", "sent", "docs"))
+  GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'daily_docs', 'rows', (SELECT count(*) FROM (SELECT DISTINCT situation_id, CAST(ts AS DATE) FROM docs)) - (
+  SELECT count(*) FROM (SELECT situation_id, CAST(ts AS DATE) FROM docs GROUP BY ALL))
+UNION ALL SELECT 'labels', 'quality_enum', count(*) FILTER (WHERE quality IS NULL OR quality NOT IN (0, 1)) FROM labels
+UNION ALL SELECT 'labels', 'toxic_enum', count(*) FILTER (WHERE toxic IS NULL OR toxic NOT IN (0, 1)) FROM labels
+UNION ALL SELECT 'conversations', 'role_enum', count(*) FILTER (WHERE role IS NULL OR role NOT IN ('user', 'assistant')) FROM conversations
+UNION ALL SELECT 'conversations', 'unique(conv_id,turn)', count(*) FROM (SELECT conv_id, turn FROM conversations GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'pages', 'url_not_null', count(*) FILTER (WHERE url IS NULL) FROM pages
+UNION ALL SELECT 'pages', 'unique(url)', count(*) FROM (SELECT url FROM pages GROUP BY url HAVING count(*) > 1)
+UNION ALL SELECT 'documents', 'n_chars', count(*) FILTER (WHERE n_chars IS NULL OR n_chars < 0 OR n_chars > length(text)) FROM documents""", "alerts_v", "situations", "sent", "docs"))
 def dq_violations(spark, sf):
     a = V.alerts(spark, sf)
     s = V.situations(spark, sf)
     se = V.sent(spark, sf)
     d = V.docs(spark, sf)
+    t = lambda n: V.table(spark, sf, n)
     parts = [
         Q.violations(a, {"severity_enum": F.col("severity").isin(*SEV.SEVERITIES)}, "alerts"),
         Q.violations(s, {"status_enum": F.col("status").isin(*V.SITUATION_STATUS)}, "situations"),
@@ -63,7 +88,13 @@ def dq_violations(spark, sf):
                          "source_id_pattern": F.col("source_id").rlike("^[A-Za-z0-9_-]+$")}, "docs"),
         Q.duplicate_keys(d, ["id"], "docs"),
         Q.duplicate_keys(V.table(spark, sf, "labels"), ["doc_id"], "labels"),
-        Q.duplicate_keys(M.docs_by_day(d, newest=None), ["situation_id", "day"], "daily_docs"),
+        *daily_rows(spark, M.docs_by_day(d, newest=None)),
+        Q.violations(t("labels"), {"quality_enum": F.col("quality").isin(0, 1), "toxic_enum": F.col("toxic").isin(0, 1)}, "labels"),
+        Q.violations(t("conversations"), {"role_enum": F.col("role").isin("user", "assistant")}, "conversations"),
+        Q.duplicate_keys(t("conversations"), ["conv_id", "turn"], "conversations"),
+        Q.violations(t("pages"), {"url_not_null": F.col("url").isNotNull()}, "pages"),
+        Q.duplicate_keys(t("pages"), ["url"], "pages"),
+        Q.violations(t("documents"), {"n_chars": F.col("n_chars").between(0, F.length("text"))}, "documents"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

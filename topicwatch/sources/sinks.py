@@ -82,9 +82,11 @@ def archive(docs: DataFrame, path: str, archived_on: str, text_col: str = "conte
 
 
 def archive_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """MT-2 bookkeeping: rows, original bytes and compressed bytes per
-    archive date (file sizes from the written files)."""
-    a = spark.read.parquet(path).withColumn("_file", F.input_file_name())
-    return a.groupBy("archived_date").agg(F.count(F.lit(1)).alias("documents"),
-                                          F.sum("original_size").alias("original_bytes"),
-                                          F.countDistinct("_file").alias("files"))
+    """MT-2 bookkeeping: rows, original bytes, compressed bytes (the sizes of the written files)
+    and files per archive date."""
+    a = spark.read.parquet(path).select("archived_date", "original_size", "_metadata.file_path", "_metadata.file_size")
+    per_file = a.groupBy("archived_date", "file_path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("original_size").alias("bytes"), F.first("file_size").alias("size"))
+    return per_file.groupBy("archived_date").agg(
+        F.sum("n").alias("documents"), F.sum("bytes").alias("original_bytes"), F.sum("size").alias("compressed_bytes"),
+        F.count(F.lit(1)).alias("files"))
