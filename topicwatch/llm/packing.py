@@ -17,7 +17,8 @@ GROUP_PIECES, BATCH_TEXTS = 50_000, 1_000
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str = "doc_id",
-                 text_col: str = "text", end_id: int | None = 0, id_bytes: int = 0) -> DataFrame:
+                 text_col: str = "text", end_id: int | None = 0, id_bytes: int = 0,
+                 cache_bytes: int = 256 << 20) -> DataFrame:
     """Token ids of every row, cut into pieces of at most ``length``.
 
     Returns the id column, ``piece`` (from 0), ``start``, ``length`` and
@@ -26,7 +27,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, length: int = 2048, id_col:
     also ``ids``, the ids as unsigned numbers of that many bytes. ``end_id`` (if any) is appended to
     each document. Null text is empty: one piece of the end id alone, or
     none without an end id. Rows that repeat an id each give their pieces. The
-    tokenizer file is read on the driver and travels with the task.
+    tokenizer file is read on the driver and travels with the task. A worker caches words
+    and their ids in ``cache_bytes`` at most.
     """
     ship_code(df.sparkSession)
     model, size = read_model(tokenizer_path), 4 * length
@@ -40,7 +42,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, length: int = 2048, id_col:
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        tokenizer = loaded(model)
+        tokenizer = loaded(model, cache_bytes)
         for batch in (b.slice(at, BATCH_TEXTS) for b in batches for at in range(0, b.num_rows, BATCH_TEXTS)):
             ids, pieces, starts, lengths, crcs, bodies = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -56,7 +56,7 @@ class TextTokenizer:
     ``PIECE`` does (``splits_words``); otherwise each text is encoded whole.
     """
 
-    def __init__(self, model: str, limit: int = 128 << 20):
+    def __init__(self, model: str, limit: int = 256 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
@@ -95,12 +95,12 @@ def id_width(model: str) -> int:
 _LOADED: dict[tuple, TextTokenizer] = {}
 
 
-def loaded(model: str) -> TextTokenizer:
-    """The worker's tokenizer of this model: its tasks share the word cache. Another model's goes."""
-    key = (hash(model), len(model))
+def loaded(model: str, limit: int) -> TextTokenizer:
+    """The worker's tokenizer of this model: its tasks share the word cache. Another's goes."""
+    key = (hash(model), len(model), limit)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = TextTokenizer(model)
+        _LOADED[key] = TextTokenizer(model, limit)
     return _LOADED[key]
 
 

@@ -183,7 +183,7 @@ def training_order(docs: DataFrame, tokenizer_path: str, length: int = 256, key:
     spark = docs.sparkSession
     path = path or scratch_path(spark, "training-shards")
     width = id_width(read_model(tokenizer_path))
-    pieces = token_pieces(docs, tokenizer_path, length - 1, id_col, text_col, end_id=None, id_bytes=width)
+    pieces = token_pieces(docs, tokenizer_path, length - 1, id_col, text_col, end_id=None, id_bytes=width, cache_bytes=128 << 20)
     placed = write_training_shards(pieces.drop("ids_crc32"), path, length, shard_rows, key, width)
     if placed.isEmpty():
         return placed.withColumn("ids_crc32", F.lit(None).cast("long"))
