@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import severity as SEV
 from ..functions.text import explode_values
 from ..functions.timecols import hour_start, in_quiet_hours
+from .dense_folds import keep_spaced
 from .folds import greedy_fold
 
 RULE_SCHEMA = T.StructType([
@@ -165,6 +166,12 @@ def cooldown(alerts: DataFrame, keys: list[str], cooldown_s: float, **kw) -> Dat
     return greedy_fold(alerts, keys, cooldown_s=cooldown_s, **kw).where("kept").drop("kept")
 
 
+def cooldown_dense(alerts: DataFrame, keys: list[str], cooldown_s: float, **kw) -> DataFrame:
+    """ST-3 / ST-6 where a key may hold very many rows without a gap: the same rows as ``cooldown``, one key shared
+    by many tasks."""
+    return keep_spaced(alerts, keys, cooldown_s, **kw)
+
+
 def throttle(alerts: DataFrame, keys: list[str], cooldown_s: float = 0.0, max_per_hour: int | None = None,
              **kw) -> DataFrame:
     """ST-4: rule cooldown plus sliding one-hour cap; kept rows only."""

@@ -66,8 +66,8 @@ kept({k}, ts) AS (
   SELECT {", ".join("kk." + x for x in keys)}, min(c.ts) FROM kept kk JOIN cand c ON {on}
     AND c.ts >= kk.ts + INTERVAL {interval} GROUP BY {", ".join("kk." + x for x in keys)})
 SELECT c.id, {", ".join("c." + x for x in keys)}, c.ts FROM cand c JOIN kept ON {back} AND c.ts = kept.ts"""
-    ctes = ",\n".join(f"{n} AS ({V.SQL_VIEWS[n]})" for n in views)
-    return sql.replace("WITH RECURSIVE ", f"WITH RECURSIVE {ctes},\n", 1)
+    ctes = "".join(f"{n} AS ({V.SQL_VIEWS[n]}),\n" for n in views)
+    return sql.replace("WITH RECURSIVE ", f"WITH RECURSIVE {ctes}", 1)
 
 
 @register("cooldown_alerts", _recursive_cooldown_sql(
@@ -90,6 +90,21 @@ def alert_dedup(spark, sf):
     return AL.dedup_alerts(a, window_s=6 * 3600).select("id", *AL.DEDUP_KEY, "ts")
 
 
+@register("rule_cooldown", _recursive_cooldown_sql(
+    "SELECT event_id AS id, event_type AS rule_id, ts FROM events", ["rule_id"], "600 SECOND", ()))
+def rule_cooldown(spark, sf):
+    """ST-3 with five rules that share all events: no gaps, and each rule's rows go to many tasks."""
+    return AL.cooldown_dense(V.alerts(spark, sf).select("id", "rule_id", "ts"), ["rule_id"], 600)
+
+
+@register("global_cooldown", _recursive_cooldown_sql(
+    "SELECT event_id AS id, 'all' AS scope, ts FROM events", ["scope"], "900 SECOND", ()))
+def global_cooldown(spark, sf):
+    """ST-3 / ST-6 with one key for all events."""
+    a = V.alerts(spark, sf).select("id", F.lit("all").alias("scope"), "ts")
+    return AL.cooldown_dense(a, ["scope"], 900)
+
+
 @register("rule_throttle", """
 WITH RECURSIVE cand AS (SELECT event_id AS id, event_type AS rule_id, ts FROM events),
 kept(rule_id, ts, recent) AS (
