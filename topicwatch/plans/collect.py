@@ -8,6 +8,8 @@ from .. import views as V
 from ..functions.ids import content_hash, netloc
 from ..operators import dedup as D
 from ..operators import extract as X
+from ..operators.known import KnownContent
+from ..session import scratch_folder
 from . import register
 
 wv = V.with_views
@@ -58,6 +60,21 @@ def fresh_content(spark, sf):
     return D.unseen(batch, known, "content_hash").select("id", "content_hash")
 
 
+@register("known_content", wv(f"""
+WITH h AS (SELECT id, ts, {HASH_SQL.format(c='content')} AS content_hash FROM docs),
+r AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY ts, id) AS rn FROM h WHERE content_hash <> '')
+SELECT id, content_hash, CASE WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN 0 WHEN ts < TIMESTAMP '2024-01-25 00:00:00' THEN 1 ELSE 2 END AS loaded_in
+FROM r WHERE rn = 1""", "docs"))
+def known_content(spark, sf):
+    """J-8 / X-2 / W-1: three loads of documents against a store of known hashes; the documents that each brought."""
+    h = V.docs(spark, sf).select("id", "ts", content_hash(F.col("content")).alias("content_hash"))
+    first, second = V.ntz("2024-01-10 00:00:00"), V.ntz("2024-01-25 00:00:00")
+    store, ts = KnownContent(spark, scratch_folder(spark, "known-content")), F.col("ts")
+    loads = [h.where(ts < first), h.where((ts >= first) & (ts < second)), h.where(ts >= second)]
+    new = [store.load(b, ["ts", "id"]).select("id", "content_hash", F.lit(n).alias("loaded_in")) for n, b in enumerate(loads)]
+    return new[0].unionByName(new[1]).unionByName(new[2])
+
+
 @register("basic_extract", wv("""
 SELECT id, url,
        CASE WHEN regexp_matches(raw_html, '(?is)<title>(.*?)</title>')
