@@ -173,6 +173,29 @@ def daily_metrics(docs: DataFrame, sent: DataFrame, alerts: DataFrame, digits: i
     return out.fillna(0, ["documents", "sources", "alerts", "positive", "negative", "neutral"])
 
 
+def hourly_values(docs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Counts of each value per (situation, hour, kind) in one pass over the documents; ``kinds`` names the array column
+    of each kind. Counts of disjoint loads and of hours add up, so days and months need no second scan."""
+    def tagged(kind: str, c: str) -> Column:
+        return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    lists = [tagged(kind, c) for kind, c in kinds.items()]
+    ex = docs.select("situation_id", hour_start(F.col("ts")).alias("hour"), explode_values(F.concat(*lists)).alias("v"))
+    ex = ex.select("situation_id", "hour", "v.kind", "v.value").where(F.col("value").isNotNull())
+    return ex.groupBy("situation_id", "hour", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def daily_tops(hourly: DataFrame, kinds: list[str], n: int = 5) -> DataFrame:
+    """Exact ``top_<kind>`` texts per (situation, day) from ``hourly_values``: the ``n`` most frequent values, ties by
+    value, joined by ", "; a group holds at most ``n`` rows of a kind when it is gathered."""
+    day = hourly.groupBy("situation_id", F.to_date("hour").alias("day"), "kind", "value").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("situation_id", "day", "kind").orderBy(F.col("n").desc(), F.col("value"))
+    top = day.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "value"))))
+    return top.groupBy("situation_id", "day").agg(
+        *[F.array_join(F.transform(listed(k), lambda x: x["value"]), ", ").alias(f"top_{k}") for k in kinds])
+
+
 def hourly_metrics(docs: DataFrame, alerts: DataFrame, now, keep_days: float = 30) -> DataFrame:
     """A-16: documents, sources and alerts per (situation, hour), hours
     within the retention window only."""

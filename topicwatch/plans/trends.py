@@ -179,6 +179,31 @@ def daily_metrics(spark, sf):
     return T.daily_metrics(V.docs(spark, sf), V.sent(spark, sf), V.alerts(spark, sf))
 
 
+@register("daily_digest", wv(_KW_SQL + f"""
+, v AS (SELECT situation_id, CAST(ts AS DATE) AS day, 'keywords' AS kind, tok AS value FROM doc_kw
+        UNION ALL SELECT situation_id, CAST(ts AS DATE), 'entities', unnest({ENTITY_SQL.format(c='content')}) FROM docs),
+top AS (SELECT *, row_number() OVER (PARTITION BY situation_id, day, kind ORDER BY n DESC, value) AS r
+        FROM (SELECT situation_id, day, kind, value, count(*) AS n FROM v GROUP BY ALL)),
+tops AS (SELECT situation_id, day, coalesce(string_agg(value, ', ' ORDER BY r) FILTER (WHERE kind = 'keywords'), '') AS top_keywords,
+                coalesce(string_agg(value, ', ' ORDER BY r) FILTER (WHERE kind = 'entities'), '') AS top_entities
+         FROM top WHERE r <= 5 GROUP BY situation_id, day),
+d AS (SELECT situation_id, CAST(ts AS DATE) AS day, count(*) AS documents, count(DISTINCT source_id) AS sources FROM docs GROUP BY ALL),
+a AS (SELECT situation_id, CAST(ts AS DATE) AS day, count(*) AS alerts FROM alerts_v GROUP BY ALL),
+da AS (SELECT coalesce(d.situation_id, a.situation_id) AS situation_id, coalesce(d.day, a.day) AS day, coalesce(documents, 0) AS documents,
+              coalesce(sources, 0) AS sources, coalesce(alerts, 0) AS alerts
+       FROM d FULL OUTER JOIN a ON d.situation_id = a.situation_id AND d.day = a.day)
+SELECT da.*, coalesce(top_keywords, '') AS top_keywords, coalesce(top_entities, '') AS top_entities
+FROM da LEFT JOIN tops ON tops.situation_id = da.situation_id AND tops.day = da.day""", "docs", "alerts_v"))
+def daily_digest(spark, sf):
+    """A-15: daily counters with the day's five top keywords and entities, those from hourly counts."""
+    docs = V.docs(spark, sf)
+    values = docs.select("situation_id", "ts", simple_keywords(F.col("content"), 10).alias("k"), capitalised_phrases(F.col("content")).alias("e"))
+    tops = T.daily_tops(T.hourly_values(values, {"keywords": "k", "entities": "e"}), ["keywords", "entities"], n=5)
+    days = T.daily_metrics(docs, V.sent(spark, sf), V.alerts(spark, sf)).where((F.col("documents") > 0) | (F.col("alerts") > 0))
+    out = days.select("situation_id", "day", "documents", "sources", "alerts").join(tops, ["situation_id", "day"], "left")
+    return out.fillna("", ["top_keywords", "top_entities"])
+
+
 @register("hourly_metrics", wv(f"""
 WITH d AS (SELECT situation_id, date_trunc('hour', ts) AS hour, count(*) AS documents,
                   count(DISTINCT source_id) AS sources
