@@ -5,12 +5,14 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from topicwatch import views as V
 from topicwatch.operators import alerts as AL
 from topicwatch.operators import dedup as D
+from topicwatch.streaming import monitor as M
 from topicwatch.streaming import streams as ST
 
 
@@ -102,17 +104,53 @@ def test_hourly_metrics_stream(spark):
     assert out.count() > 0
 
 
-def test_end_to_end_stream(spark):
-    pages = V.raw_pages(spark, SF_SMALL).select(F.col("id").cast("string").alias("id"), "url", "raw_html",
-                                                F.lit("src").alias("source_id"),
+MONITOR_RULES = [dict(rule_id="a", name="A", enabled=True, severity="info", keywords=["the"], cooldown_seconds=7200, max_alerts_per_hour=3),
+                 dict(rule_id="b", name="B", enabled=True, severity="warning", keywords=["ment"], quiet_hours_start=22, quiet_hours_end=6),
+                 dict(rule_id="none", name="None", enabled=True, severity="info", keywords=["a"], max_alerts_per_hour=0)]
+
+
+def monitor_outbox(spark, raw, loads, rules, channels, **how):
+    """The outbox of a stream that is started anew for each load."""
+    root = tempfile.mkdtemp(prefix="tw-monitor-")
+    for n, load in enumerate(loads):
+        load.write.parquet(f"{root}/in/load={n}")
+        st = spark.readStream.schema(raw.schema).parquet(f"{root}/in/load=*")
+        M.start_monitor(M.monitor_stream(st, rules, channels, **how), f"{root}/out", f"{root}/ck").awaitTermination()
+    return spark.read.schema(M.outbox_schema()).json(f"{root}/out")
+
+
+def test_monitor_stream_equals_batch_over_restarts(spark):
+    raw = V.docs(spark, SF_SMALL).select("id", F.lit("u").alias("url"), "source_id", F.col("content").alias("raw_html"),
+                                         F.col("ts").alias("fetched_at"))
+    odd = spark.createDataFrame([(900001, "u", None, "the null source", dt.datetime(2024, 1, 20, 12)), (900002, "u", "s", None, dt.datetime(2024, 1, 20)),
+                                 (900003, "u", "s", "", dt.datetime(2024, 1, 20)), (900004, "u", "s", "the untimed", None),
+                                 (None, "u", "s", "the unnamed", dt.datetime(2024, 1, 20))],
+                                "id long, url string, source_id string, raw_html string, fetched_at timestamp_ntz")
+    again = raw.where("id % 7 = 0").withColumn("fetched_at", F.expr("fetched_at + interval 3 days"))  # copies seen later
+    raw = raw.unionByName(odd).unionByName(raw.where("id % 5 = 0")).unionByName(again)
+    rules = AL.rules_frame(spark, MONITOR_RULES)
+    channels = [dict(channel="console", kind="console", enabled=True),
+                dict(channel="hook", kind="webhook", enabled=True, min_severity="warning")]
+    cut = F.lit(dt.datetime(2024, 1, 15)).cast("timestamp_ntz")
+    loads = [raw.where(F.col("fetched_at") < cut), raw.where(~F.coalesce(F.col("fetched_at") < cut, F.lit(False)))]
+    got = monitor_outbox(spark, raw, loads, rules, channels, extract=M.basic_pages)
+    want = M.monitor(raw, rules, channels, extract=M.basic_pages)
+    order = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert order(got) == order(want) and got.count() > 20
+    assert got.where("alert_id in (900002, 900003, 900004) or rule_id = 'none'").count() == 0
+    assert got.where("source_id is null").count() >= 1
+
+
+def test_monitor_extracts_articles(spark):
+    pages = V.raw_pages(spark, SF_SMALL).select("id", "url", "raw_html", F.lit("src").alias("source_id"),
                                                 F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("fetched_at"))
-    root = tempfile.mkdtemp(prefix="tw-e2e-")
-    pages.write.parquet(os.path.join(root, "in"))
-    st = spark.readStream.schema(pages.schema).parquet(os.path.join(root, "in"))
-    rules = AL.rules_frame(spark, [dict(rule_id="any", name="Any", enabled=True, severity="info",
-                                        keywords=["the"])])
-    ST.end_to_end(st, rules, os.path.join(root, "outbox"), os.path.join(root, "ck")).awaitTermination()
-    assert spark.read.json(os.path.join(root, "outbox")).count() > 0
+    rules = AL.rules_frame(spark, [dict(rule_id="any", name="Any", enabled=True, severity="info", keywords=["the"])])
+    got = monitor_outbox(spark, pages, [pages], rules, M.CONSOLE)
+    assert {r.alert_id for r in got.collect()} == {r.alert_id for r in M.monitor(pages, rules).collect()} and got.count() > 0
+    empty = monitor_outbox(spark, pages, [pages.limit(0)], rules, M.CONSOLE)
+    assert empty.count() == 0
+    with pytest.raises(ValueError):
+        M.monitor(pages, rules, [dict(channel="c", kind="console", enabled=True, rate_limit_seconds=60)])
 
 
 def test_throttle_and_dedup_streams_equal_batch(spark):

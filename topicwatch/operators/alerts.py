@@ -65,9 +65,8 @@ EXAMPLE_RULES = [
 ]
 
 
-def config_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
-    """A configuration table from plain dicts (missing fields NULL, missing
-    lists empty), built as JVM literals (no Python worker, no RDD)."""
+def config_array(rows: list[dict], schema: T.StructType) -> Column:
+    """Configuration rows from plain dicts (missing fields NULL, missing lists empty) as one literal array."""
     structs = []
     for r in rows:
         fields = []
@@ -81,7 +80,12 @@ def config_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) ->
                 lit = F.lit(v).cast(f.dataType)
             fields.append(lit.alias(f.name))
         structs.append(F.struct(*fields))
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return F.array(*structs)
+
+
+def config_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """A configuration table from plain dicts, built as JVM literals (no Python worker, no RDD)."""
+    return spark.range(1).select(F.inline(config_array(rows, schema)))
 
 
 def rules_frame(spark: SparkSession, rules: list[dict] | None = None) -> DataFrame:
@@ -131,16 +135,18 @@ def _alert_columns(df: DataFrame, low: Column, source_col: str, rule: str = "_r"
     ).drop(rule)
 
 
-def keyword_gate(alerts: DataFrame, rules: DataFrame) -> DataFrame:
+def keyword_gate(alerts: DataFrame, rules: DataFrame, keywords: bool = True) -> DataFrame:
     """J-14 + F-17 + J-4 + S-17 as one gate: every alert meets its rule (by
     rule_id, a left join that Spark broadcasts by size); adds ``gate`` = 'pass'
     or the first failing reason, in the order enabled, source, severity,
-    keywords, quiet hours. Of rules that share an id the smallest row counts."""
+    keywords, quiet hours. Of rules that share an id the smallest row counts.
+    ``keywords=False`` leaves the keywords out, for alerts that a rule's match has made."""
     one = rules.groupBy(F.col("rule_id").alias("_rule_id")).agg(F.min(F.struct(*rules.columns)).alias("_rule"))
     a = alerts.join(one, F.col("rule_id") == F.col("_rule_id"), "left").drop("_rule_id")
     r = F.col("_rule")
     text = F.lower(F.concat_ws(" ", F.col("title"), F.col("message")))
     kw_ok = (F.size(r["keywords"]) == 0) | F.exists(r["keywords"], lambda k: F.instr(text, F.lower(k)) > 0)
+    kw_ok = kw_ok if keywords else F.lit(True)
     src_ok = (F.size(r["source_ids"]) == 0) | F.array_contains(r["source_ids"], F.col("source_id"))
     band_ok = SEV.in_band(F.col("severity"), r["min_severity"], r["max_severity"])
     quiet = in_quiet_hours(F.col("ts"), r["quiet_hours_start"], r["quiet_hours_end"]) & ~F.coalesce(
@@ -201,22 +207,27 @@ def digests(alerts: DataFrame, interval_minutes: int, keys: list[str] | None = N
                     F.concat(F.col("alert_count").cast("string"), F.lit(" alerts")).alias("title"))
 
 
-def channel_fanout(alerts: DataFrame, channels: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """J-11 + ST-7: one row per (alert, enabled channel) with ``status``:
-    'filtered' (below the channel's minimum severity), 'quiet hours',
-    'rate limited' (an identical alert passed the channel less than
-    rate_limit_seconds before) or 'sent'."""
-    arr = as_array(channels)
-    a = alerts.select("*", arr.alias("_ch"))
+def channel_rows(alerts: DataFrame, channels: Column, only: list[str] | None = None) -> DataFrame:
+    """One row per (alert, enabled channel) of the array ``channels``; ``pre`` is 'filtered' (below the channel's minimum
+    severity), 'quiet hours' or NULL."""
+    a = alerts.select("*", channels.alias("_ch"))
     chosen = F.filter(F.col("_ch"), lambda c: F.coalesce(c["enabled"], F.lit(False))
                       & (F.lit(True) if not only else c["channel"].isin(*only)))
     x = a.select("*", explode_values(chosen).alias("_c")).drop("_ch").where(F.col("_c").isNotNull())
     filtered = ~F.coalesce(SEV.rank(F.col("severity")) >= SEV.rank(F.col("_c.min_severity")), F.lit(True))
     quiet = in_quiet_hours(F.col("ts"), F.col("_c.quiet_hours_start"), F.col("_c.quiet_hours_end"))
-    x = x.withColumn("channel", F.col("_c.channel")).withColumn("kind", F.col("_c.kind")).withColumn(
+    return x.withColumn("channel", F.col("_c.channel")).withColumn("kind", F.col("_c.kind")).withColumn(
         "template", F.col("_c.template")).withColumn(
         "rate_limit_seconds", F.coalesce(F.col("_c.rate_limit_seconds"), F.lit(0))).withColumn(
         "pre", F.when(filtered, "filtered").when(quiet, "quiet hours")).drop("_c")
+
+
+def channel_fanout(alerts: DataFrame, channels: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """J-11 + ST-7: one row per (alert, enabled channel) with ``status``:
+    'filtered' (below the channel's minimum severity), 'quiet hours',
+    'rate limited' (an identical alert passed the channel less than
+    rate_limit_seconds before) or 'sent'."""
+    x = channel_rows(alerts, as_array(channels), only)
     passing = x.where(F.col("pre").isNull())
     limits = [r[0] for r in channels.select(F.coalesce("rate_limit_seconds", F.lit(0))).distinct().collect()]
     parts = []
@@ -285,12 +296,12 @@ def payload(alert_id: Column, title: Column, message: Column, severity: Column,
             .when(kind == "webhook", webhook).otherwise(console))
 
 
-def outbox(deliveries: DataFrame) -> DataFrame:
-    """SNK-11: payload rows for the 'sent' deliveries."""
+def outbox(deliveries: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """SNK-11: payload rows for the 'sent' deliveries; ``keep`` names further columns to carry."""
     s = deliveries.where(F.col("status") == "sent")
     return s.select(F.col("id").alias("alert_id"), "channel", "kind",
                     payload(F.col("id"), F.col("title"), F.coalesce(F.col("message"), F.lit("")), F.col("severity"),
-                            F.col("ts"), F.col("kind"), F.col("template")).alias("payload"))
+                            F.col("ts"), F.col("kind"), F.col("template")).alias("payload"), *(keep or []))
 
 
 def should_alert_simple(sentiment: Column, entity_count: Column) -> Column:

@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import dashboard, collect, trends, text, search, alerting, health, quality, discovery, more, matching  # noqa: F401
+    from . import dashboard, collect, trends, text, search, alerting, health, quality, discovery, more, matching, monitoring  # noqa: F401

@@ -1,5 +1,5 @@
 """Structured Streaming versions of the incremental and stateful steps
-(ST-1..ST-16, UF-3, UF-4).
+(ST-1..ST-15, UF-3, UF-4; the whole flow, ST-16, is in ``monitor``).
 
 Every stateful operator is bounded: de-duplication and windows by a
 watermark, keyed state by an event-time timeout that drops a key's state
@@ -19,8 +19,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.ids import content_hash
 from ..session import ship_code
-from ..operators import extract as X
-from ..operators import alerts as AL
 
 DEFAULT_LATENESS = "5 minutes"  # ST-15: a job's misfire grace of 300 s
 
@@ -243,24 +241,3 @@ def on_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint
     """ST-13 / UF-3: document, error and alert callbacks per micro-batch."""
     w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
-
-
-def end_to_end(raw: DataFrame, rules: DataFrame, outbox_path: str, checkpoint: str,
-               lateness: str = "24 hours"):
-    """ST-16: land -> dedup -> extract -> rules -> outbox. The stateful
-    de-dup runs in the stream; extraction and rule matching are stateless
-    and run per micro-batch inside ``foreachBatch`` (rule arrays are scalar
-    subqueries, which streaming plans do not allow)."""
-    d = dedup_stream(raw, "raw_html", "fetched_at", lateness)
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        kept = batch.where(F.col("status") == "kept")
-        # the page's own id and source stay with it: rules select by source
-        pages = X.extract_pages(kept.select("id", "url", "raw_html", "source_id"), keep=["source_id"])
-        docs = pages.select(F.col("doc_id").alias("id"), "source_id", F.col("article_text").alias("content"))
-        alerts = AL.match_rules(docs, rules)
-        (alerts.select("id", "source_id", "rule_id", "severity", "alert_title", "alert_message")
-         .write.mode("overwrite").json(f"{outbox_path}/epoch={epoch}"))
-
-    return (d.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
