@@ -14,7 +14,7 @@ QUERIES = plans.QUERIES
 ORACLES = plans.ORACLES
 # Order-dependent folds run in Python (mapInPandas), vector search multiplies
 # matrices (mapInArrow); everything else must stay JVM-side.
-PYTHON_ALLOWED = {"monitored_outbox", "cosine_topk", "many_rule_matches", "cooldown_alerts", "rule_cooldown", "global_cooldown", "alert_dedup", "rule_throttle", "channel_delivery", "delivery_stats",
+PYTHON_ALLOWED = {"monitored_outbox", "vector_neighbours", "vector_index_topk", "cosine_topk", "many_rule_matches", "cooldown_alerts", "rule_cooldown", "global_cooldown", "alert_dedup", "rule_throttle", "channel_delivery", "delivery_stats",
                   "notification_outbox", "breaker_states", "source_status"}
 
 
