@@ -83,3 +83,23 @@ def test_empty_tables(spark, tmpdir_path):
     assert index.search(asked(v, "false")).count() == 0
     VectorIndex(spark, f"{tmpdir_path}/b").build(v.where("false"))
     assert VectorIndex(spark, f"{tmpdir_path}/b").open().search(asked(v)).count() == 0
+
+
+def test_exact_search_holds_small_matrices(spark, monkeypatch):
+    """A task's memory follows its queries and k, not the rows times the queries: matrices are small, and a task emits k rows a query at most."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(round(x, 1)) for x in rnd.normal(size=3)]) for i in range(900)] + [(901, [0.0, 0.0, 0.0]), (902, None), (5, [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    want = sorted(map(tuple, S.cosine_topk(v, q, k=7).collect()))
+    monkeypatch.setattr(S, "QUERIES_AT_ONCE", 5)
+    monkeypatch.setattr(S, "ROWS_AT_ONCE", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert sorted(map(tuple, S.cosine_topk(v, q, k=7).collect())) == want and len(want) == 18 * 7
+        for r in q.collect():
+            unit = [(round(float(np.dot(r.qvec, x) / np.linalg.norm(r.qvec) / np.linalg.norm(x)), 6), i) for i, x in rows if x and any(x)]
+            best = sorted(unit, key=lambda t: (-t[0], t[1]))[:7]
+            assert [(round(x[2], 5), x[1]) for x in sorted(want, key=lambda t: t[3]) if x[0] == r.qid] == [(round(s, 5), i) for s, i in best]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
