@@ -437,3 +437,17 @@ def test_classifier_edges(spark):
     assert classify(frame(spark, rows), none).where("kept").count() == len(rows)
     assert classify(frame(spark, []), labels).count() == 0
     assert keep_good(frame(spark, []), none).count() == 0
+
+
+def test_word_cache_of_the_classifier_is_small():
+    """A task's cache of words stays below 12 MB, however many words its texts have."""
+    import tracemalloc
+
+    from topicwatch.llm.quality import STATS, Model
+    score = Model({"a": (0.1, 0.1)}, [(0.0, 0.0)] * len(STATS), [0.0] * len(STATS), [1.0] * len(STATS), (0.0, 0.0), ("low",)).scorer()
+    tracemalloc.start()
+    for at in range(0, 150_000, 1000):
+        score(" ".join(f"word{i}" for i in range(at, at + 1000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 12e6, held

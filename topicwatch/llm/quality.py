@@ -14,7 +14,7 @@ from ..session import ship_code
 from .common import materialize, packed, row_key, text_or_empty
 
 #: Bounds of the fit: labelled rows, word features, cached words in a task and rows that the driver expands at a time.
-FIT_ROWS, FIT_FEATURES, CACHED_WORDS, FIT_BLOCK = 20_000, 400, 300_000, 2_048
+FIT_ROWS, FIT_FEATURES, CACHED_WORDS, FIT_BLOCK = 20_000, 400, 60_000, 2_048
 #: Ways of being bad, each with its own model and cut.
 KINDS = ("low", "toxic")
 #: Folds of the fit that set the cuts, and the share of clean rows that these may reject together.
