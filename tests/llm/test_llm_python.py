@@ -12,6 +12,7 @@ import sys
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -451,3 +452,29 @@ def test_word_cache_of_the_classifier_is_small():
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert held < 12e6, held
+
+
+def test_classifier_uses_every_label(spark):
+    """Toxic documents whose ids have the largest hashes, past the 20,000 that a fit once saw, are learnt from."""
+    from topicwatch.llm.quality import classify
+    n = 20_400
+    ids = spark.range(n).selectExpr("id", "row_number() over (order by xxhash64(id) desc) <= 200 as bad")
+    docs = ids.selectExpr("id as doc_id", "concat('plain text number ', id % 50, if(bad, ' vile scum', ' kind words')) as text", "'en' as lang", "'a' as source")
+    labels = ids.selectExpr("id as doc_id", "1 as quality", "int(bad) as toxic")
+    out = classify(docs, labels).join(ids, F.col("doc_id") == F.col("id"))
+    assert {(r.bad, r.kept): r["count"] for r in out.groupBy("bad", "kept").count().collect()} == {(True, False): 200, (False, True): n - 200}
+
+
+@pytest.mark.parametrize("ranked,digits", [(50, 9), (20, 1)])
+def test_cuts_of_a_table(spark, monkeypatch, ranked, digits):
+    """The cuts of a table equal those of the rows in memory, equal scores too."""
+    from topicwatch.llm import quality
+    monkeypatch.setattr(quality, "RANKED_ROWS", ranked)
+    rnd = random.Random(5)
+    rows = [(0, 0, rnd.gauss(-4, 1.5), rnd.gauss(-4, 1.5)) for _ in range(900)]
+    rows += [(1, 0, rnd.gauss(2, 2), rnd.gauss(-4, 1)) for _ in range(80)] + [(None, 1, rnd.gauss(-4, 1), rnd.gauss(1, 2)) for _ in range(80)]
+    rows = [(a, b, round(x, digits), round(y, digits)) for a, b, x, y in rows]
+    schema = "_low int, _toxic int, low double, toxic double"
+    for some, lost in ((rows, 0.4), (rows[:900], 0.01), (rows[900:], 0.01), ([], 0.01), ([*rows, (0, 0, None, 0.0)], 0.01)):
+        got = quality.spread_cuts(spark.createDataFrame(some, schema), quality.KINDS, lost)
+        assert got == pytest.approx(quality.held_out_cuts(some, quality.KINDS, lost)), (len(some), lost)

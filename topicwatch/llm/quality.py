@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import materialize, packed, row_key, text_or_empty
+from .common import materialize, packed, release, row_key, text_or_empty
 
-#: Bounds of the fit: labelled rows, word features, cached words in a task and rows that the driver expands at a time.
-FIT_ROWS, FIT_FEATURES, CACHED_WORDS, FIT_BLOCK = 20_000, 400, 60_000, 2_048
+#: Bounds of the fit: word features, cached words in a task, rows that a task expands at a time, and numbers that a row of the fit's sums holds.
+FIT_FEATURES, CACHED_WORDS, FIT_BLOCK, SUM_PIECE = 400, 60_000, 2_048, 16_384
+#: Scores of the labelled rows that the driver may hold to pick one by its rank.
+RANKED_ROWS = 4_096
 #: Ways of being bad, each with its own model and cut.
 KINDS = ("low", "toxic")
 #: Folds of the fit that set the cuts, and the share of clean rows that these may reject together.
@@ -88,49 +90,121 @@ class Model:
         return score
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """``text``, ``low`` and ``toxic`` (1, 0 or null), ``fold`` and the row's key of at most
-    ``rows`` labelled documents, drawn by a hash of the id. Equal texts share a fold.
-    Rows whose labels are both null are left out."""
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text``, ``low`` and ``toxic`` (1, 0 or null), ``fold`` and the row's key of every
+    labelled document. Equal texts share a fold. Rows whose labels are both null are left out."""
     picked = (labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic"))
               .where("doc_id is not null and coalesce(low, toxic) is not null")
-              .groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+              .groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int").alias("fold")
     return (docs.select("doc_id", text_or_empty("text").alias("text"), *row_key(F.col("doc_id"), text_or_empty("text")))
             .join(picked, "doc_id").select("text", "low", "toxic", fold, "_k1", "_k2"))
 
 
-def newton(block: Callable, n: int, y, columns: int, ridge: float):
-    """Weights of the penalised logistic likelihood; ``block(i, j)`` gives rows i to j of the
-    ``n`` rows' numbers, the last of which is the base. Only one block of them exists at a time."""
+def numbers_of(batch, own: list[int], mean, scale):
+    """The rows of numbers that a fit sees: a bit per word feature of ``own``, the standardised statistics and a 1 for the base."""
     import numpy as np
-    weights, penalty = np.zeros(columns), np.full(columns, ridge)
-    penalty[-1] = 1e-6
+    n, own = batch.num_rows, np.array(own, np.int64)
+    bits = np.frombuffer(b"".join(batch.column("hits").to_pylist()), np.uint8).reshape(n, -1)
+    stats = np.frombuffer(b"".join(batch.column("stats").to_pylist()), "<f8").reshape(n, len(STATS))
+    hits = (bits[:, own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1
+    stats = np.clip((stats - mean) / scale, -4, 4)
+    return np.concatenate([hits.astype(np.float32), stats.astype(np.float32), np.ones((n, 1), np.float32)], 1)
+
+
+def blocks(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield from (batch.slice(at, FIT_BLOCK) for at in range(0, batch.num_rows, FIT_BLOCK))
+
+
+def newton(rows: DataFrame, fits: list[tuple], columns: list[list[int]], mean, scale, ridge: float) -> list:
+    """Weights of the penalised logistic likelihood of each of ``fits`` (kind and the fold left out, or None) over all
+    ``rows``. A step of all fits is one job: tasks add up curvature and slope of their own rows, Spark adds up the
+    tasks' sums, and the driver gets one sum per fit, whose size follows the features alone."""
+    import numpy as np
+    sizes = [len(own) + len(STATS) + 1 for own in columns]
+    weights = [np.zeros(n) for n in sizes]
+    moving = list(range(len(fits)))
     for _ in range(12):
-        h, slope = np.diag(penalty), -penalty * weights
-        for at in range(0, n, FIT_BLOCK):
-            x = block(at, at + FIT_BLOCK)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            h += x.T @ (x * (p * (1 - p)).astype(np.float32)[:, None])
-            slope += x.T @ (y[at:at + FIT_BLOCK] - p)
-        step = np.linalg.solve(h, slope)
-        weights += step
-        if abs(step).max() < 1e-3:
+        now = {i: (*fits[i], columns[i], weights[i]) for i in moving}
+
+        def sums(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+            total: dict = {}
+            for part in blocks(batches):
+                fold = part.column("fold").to_numpy(zero_copy_only=False)
+                for i, (kind, out, own, w) in now.items():
+                    y = part.column(kind).to_numpy(zero_copy_only=False).astype(float)
+                    seen = np.flatnonzero(~np.isnan(y) & (fold != (-1 if out is None else out)))
+                    if not len(seen):
+                        continue
+                    x = numbers_of(part.take(pa.array(seen)), own, mean, scale)
+                    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                    h, slope = total.setdefault(i, (np.zeros((len(w), len(w))), np.zeros(len(w))))
+                    h += x.T @ (x * (p * (1 - p)).astype(np.float32)[:, None])
+                    slope += x.T @ (y[seen] - p)
+            for i, (h, slope) in total.items():
+                flat = np.concatenate([h[np.triu_indices(len(slope))], slope])
+                at = range(0, len(flat), SUM_PIECE)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * len(at), pa.int32()), pa.array(at, pa.int32()),
+                     pa.array([flat[j:j + SUM_PIECE].tobytes() for j in at], pa.binary())], ["fit", "at", "sums"])
+
+        def added(table):
+            import numpy as np
+            import pyarrow as pa
+            whole = sum(np.frombuffer(x.as_buffer(), "<f8") for x in table.column("sums"))
+            return pa.table([table.column("fit").slice(0, 1), table.column("at").slice(0, 1), pa.array([whole.tobytes()], pa.binary())],
+                            ["fit", "at", "sums"])
+
+        schema = "fit int, at int, sums binary"
+        flat = {i: np.zeros(sizes[i] * (sizes[i] + 3) // 2) for i in moving}
+        parts = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)  # as many sums as cores, however many files
+        for r in parts.mapInArrow(sums, schema).groupBy("fit", "at").applyInArrow(added, schema).collect():
+            piece = np.frombuffer(r.sums, "<f8")
+            flat[r.fit][r["at"]:r["at"] + len(piece)] = piece
+        release(rows.sparkSession)
+        for i in list(moving):
+            n = sizes[i]
+            penalty = np.full(n, ridge)
+            penalty[-1] = 1e-6
+            h = np.zeros((n, n))
+            h[np.triu_indices(n)] = flat[i][:-n]
+            h = h + np.triu(h, 1).T + np.diag(penalty)
+            step = np.linalg.solve(h, flat[i][-n:] - penalty * weights[i])
+            weights[i] = weights[i] + step
+            if abs(step).max() < 1e-3:
+                moving.remove(i)
+        if not moving:
             break
     return weights
 
 
+def moments(rows: DataFrame) -> tuple:
+    """Mean and standard deviation of each of ``STATS`` over all ``rows``."""
+    import numpy as np
+
+    def unpack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            stats = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<f8").reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in stats.T.copy()], list(STATS))
+
+    flat = rows.select("stats").mapInArrow(unpack, ", ".join(f"{c} double" for c in STATS))
+    out = np.array(flat.agg(*[f(c) for f in (F.avg, F.stddev_pop) for c in STATS]).first(), float)
+    return out[:len(STATS)], out[len(STATS):] + 1e-6
+
+
 def fit(sample: DataFrame, features: int = FIT_FEATURES, ridge: float = 1.0) -> tuple:
-    """Fit each of ``KINDS`` on ``sample`` (``labelled_sample``), whose size the caller bounds,
-    and once more without each fold. Feature counts are aggregated by Spark; the driver gets
+    """Fit each of ``KINDS`` on all rows of ``sample`` (``labelled_rows``),
+    and once more without each fold. Feature counts and the fits' sums are aggregated by Spark; the driver gets
     the ``features`` words most associated with the label (log-likelihood ratio) in each
-    fit and one short row of numbers per labelled document. A kind without both classes
-    is not fitted; the model is None without any. Returns the model and an Arrow table with one row per labelled
+    fit and, a step, one sum per fit. A kind without both classes
+    is not fitted; the model is None without any. Returns the model and a written table with one row per labelled
     document: key, ``_low``, ``_toxic`` and for each kind the log odds from the fit that did not
     see its fold (null where some fold leaves one class only)."""
     import numpy as np
-    import pyarrow as pa
     sample = materialize(sample, "labelled")
     sums = [(k, v, j) for k in KINDS for v in (1, 0) for j in range(FOLDS)]
     sizes = sample.agg(*[F.count_if((F.col(k) == v) & (F.col("fold") == j)) for k, v, j in sums]).first()
@@ -188,34 +262,32 @@ def fit(sample: DataFrame, features: int = FIT_FEATURES, ridge: float = 1.0) ->
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.binary()), pa.array(stats, pa.binary()), *batch.columns[1:]],
                                              ["hits", "stats", *batch.schema.names[1:]])
 
-    # one bit per feature, as Arrow columns
-    rows = sample.select("text", "low", "toxic", "fold", "_k1", "_k2").mapInArrow(
-        numbers, "hits binary, stats binary, low int, toxic int, fold int, _k1 long, _k2 long").toArrow()
-    n_rows = rows.num_rows
-    bits = np.frombuffer(b"".join(rows.column("hits").to_pylist()), np.uint8).reshape(n_rows, width)
-    stats = np.frombuffer(b"".join(rows.column("stats").to_pylist()), "<f8").reshape(n_rows, len(STATS))
-    rows = rows.drop_columns(["hits", "stats"])
-    mean, scale = stats.mean(0), stats.std(0) + 1e-6
-    stats = np.clip((stats - mean) / scale, -4, 4).astype(np.float32)
-    fold = rows.column("fold").to_numpy()
-    label = {k: rows.column(k).to_numpy().astype(float) for k in KINDS}
-    final, held = {}, {k: np.full(n_rows, np.nan) for k in KINDS}
-
-    def numbers_of(at, own: list[int]):
-        own = np.array(own, np.int64)
-        hits = (bits[at][:, own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1
-        return np.concatenate([hits.astype(np.float32), stats[at], np.ones((len(at), 1), np.float32)], 1)
-
-    for (kind, out), own in zip(fits, columns):
-        seen = np.flatnonzero(~np.isnan(label[kind]) & (fold != (-1 if out is None else out)))
-        weights = newton(lambda i, j: numbers_of(seen[i:j], own), len(seen), label[kind][seen], len(own) + len(STATS) + 1, ridge)
-        if out is None:
-            final[kind] = (own, weights)
-        else:
-            unseen = np.flatnonzero(fold == out)
-            for at in range(0, len(unseen), FIT_BLOCK):
-                part = unseen[at:at + FIT_BLOCK]
-                held[kind][part] = numbers_of(part, own) @ weights
+    # one bit per feature
+    rows = materialize(sample.select("text", "low", "toxic", "fold", "_k1", "_k2").mapInArrow(
+        numbers, "hits binary, stats binary, low int, toxic int, fold int, _k1 long, _k2 long"), "labelled-numbers")
+    release(sample.sparkSession, sample)
+    mean, scale = moments(rows)
+    fitted = newton(rows, fits, columns, mean, scale, ridge)
+    final = {kind: (columns[i], fitted[i]) for i, (kind, out) in enumerate(fits) if out is None}
+    unseen_by = {(kind, out): (columns[i], fitted[i]) for i, (kind, out) in enumerate(fits) if out is not None}
+
+    def held_out(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for part in blocks(batches):
+            fold = part.column("fold").to_numpy(zero_copy_only=False)
+            held = {k: np.full(part.num_rows, np.nan) for k in KINDS}
+            for (kind, out), (own, weights) in unseen_by.items():
+                unseen = np.flatnonzero(fold == out)
+                if len(unseen):
+                    held[kind][unseen] = numbers_of(part.take(pa.array(unseen)), own, mean, scale) @ weights
+            yield pa.RecordBatch.from_arrays(
+                [part.column(c) for c in ("_k1", "_k2", *KINDS)] + [pa.array(held[k], from_pandas=True) for k in KINDS],  # nan: no such score
+                ["_k1", "_k2", *[f"_{k}" for k in KINDS], *[f"_{k}_held" for k in KINDS]])
+
+    scores = materialize(rows.mapInArrow(held_out, "_k1 long, _k2 long, " + ", ".join(
+        [f"_{k} int" for k in KINDS] + [f"_{k}_held double" for k in KINDS])), "held-out")
+    release(sample.sparkSession, rows)
     names = list(index)
     words: dict[str, list[float]] = {}
     tail = np.zeros((len(STATS) + 1, len(KINDS)))
@@ -226,9 +298,7 @@ def fit(sample: DataFrame, features: int = FIT_FEATURES, ridge: float = 1.0) ->
         tail[:, i] = weights[len(own):]
     model = Model({f: tuple(w) for f, w in words.items()}, [tuple(w) for w in tail[:-1].tolist()], mean.tolist(),
                   scale.tolist(), tuple(tail[-1].tolist()), tuple(final))
-    scores = [pa.array(held[k], from_pandas=True) for k in KINDS]  # nan: no such score
-    return model, pa.table([rows.column(c) for c in ("_k1", "_k2", *KINDS)] + scores,
-                           ["_k1", "_k2", *[f"_{k}" for k in KINDS], *[f"_{k}_held" for k in KINDS]])
+    return model, scores
 
 
 def held_out_cuts(scored: list[tuple], fitted: tuple[str, ...], lost: float = LOST_CLEAN) -> dict[str, float]:
@@ -263,6 +333,50 @@ def held_out_cuts(scored: list[tuple], fitted: tuple[str, ...], lost: float = LO
     return cuts
 
 
+def nth_largest(rows: DataFrame, score: str, n: int) -> float:
+    """The value of rank ``n`` (from 0, largest first) among ``rows``, which are counted in ever narrower
+    ranges until the driver may hold what is left. There are more than ``n`` rows, none null."""
+    x = F.col(score)
+    low, high, size = rows.agg(F.min(x), F.max(x), F.count(x)).first()
+    while size > RANKED_ROWS and low < high:
+        width = (high - low) / 1024 or 5e-324
+        part = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(1023))
+        counts = rows.where(x.between(low, high)).groupBy(part.alias("at")).agg(
+            F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n")).orderBy(F.desc("at")).collect()
+        for r in counts:
+            if n < r.n:
+                low, high, size = r.low, r.high, r.n
+                break
+            n -= r.n
+    if low == high:
+        return low
+    return sorted((r[0] for r in rows.where(x.between(low, high)).select(x).collect()), reverse=True)[n]
+
+
+def spread_cuts(scored: DataFrame, fitted: tuple[str, ...], lost: float = LOST_CLEAN) -> dict[str, float]:
+    """``held_out_cuts`` of a table of any size: columns ``_low``, ``_toxic`` and the log odds ``low`` and ``toxic``.
+    The driver gets counts and single scores."""
+    cuts = {k: 0.0 if k in fitted else float("inf") for k in KINDS}
+    clean = scored.where(" and ".join(f"not _{k} <=> 1" for k in KINDS))
+    n = clean.count()
+    left = int(lost * n)
+    for i, kind in enumerate(KINDS):
+        score = F.col(kind)
+        if kind not in fitted or scored.isEmpty() or not scored.where(score.isNull() | F.isnan(score)).isEmpty():
+            continue
+        share = max(1, left // (len(KINDS) - i))
+        floor = nth_largest(clean, kind, share) if n > share else float("-inf")
+        last = scored.where((F.col(f"_{kind}") == 1) & (score > F.lit(floor))).agg(F.min(score)).first()[0]
+        if last is None:
+            cuts[kind] = float("inf")
+            continue
+        below = clean.where(score < F.lit(last)).agg(F.max(score)).first()[0]
+        cuts[kind] = last if below is None else (last + below) / 2
+        gone = clean.where(score >= F.lit(cuts[kind])).count()
+        clean, left, n = clean.where(score < F.lit(cuts[kind])), left - gone, n - gone
+    return cuts
+
+
 def evidence(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
     """Log odds that a document is ``low`` and ``toxic``, from its whole text; 0 without a model."""
     if model is None:
@@ -337,17 +451,16 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_col: str = "source", path_col: str = "lang",
-             text_col: str = "text", threshold: float | None = None, fit_rows: int = FIT_ROWS,
-             lost: float = LOST_CLEAN) -> DataFrame:
+             text_col: str = "text", threshold: float | None = None, lost: float = LOST_CLEAN) -> DataFrame:
     """One row per document: the id, for low quality (``low_``) and toxicity (``toxic_``) each
     ``evidence``, ``host_rate``, ``path_rate`` and ``posterior``, the larger ``posterior``,
     ``kept`` and the row's key.
 
     A document goes if either posterior passes its own cut. Without a ``threshold`` for both the
     cuts are set on held-out folds of the labelled rows, their site priors included, so that
-    at most ``lost`` of the clean ones go (``held_out_cuts``).
+    at most ``lost`` of the clean ones go (``spread_cuts``).
 
-    The models are fitted on at most ``fit_rows`` labelled rows; all documents are
+    The models, statistics and cuts come from all labelled rows. All documents are
     scored over their whole text, once, and only ids, sites and scores move.
     The site table is written and joined as a plain table, so a host with a third of
     all rows is broadcast to or split. Null host or path is a site of its own; null
@@ -355,8 +468,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_co
     of both classes rejects nothing. An empty table gives an empty result.
     """
     ship_code(docs.sparkSession)
-    model, held = fit(labelled_sample(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")),
-                                      labels, fit_rows))
+    model, held = fit(labelled_rows(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), labels))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))
     scored = docs.select(F.col(f"`{id_col}`").alias("_id"), *row_key(F.col(f"`{id_col}`"), text_or_empty(text_col)),
                          name(host_col).alias("host"), name(path_col).alias("path"),
@@ -368,10 +480,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_co
         # the full fit's share of a labelled row is left out of its site, its held-out log odds are put in
         cuts = held_out_cuts([], fitted, lost)
         if held is not None:
-            unseen = docs.sparkSession.createDataFrame(held).dropDuplicates(["_k1", "_k2"])
-            rows = priors(scored.join(unseen, ["_k1", "_k2"])).select(
-                *[f"_{k}" for k in KINDS], *[(F.col(f"_{k}_held") + F.col(f"{k}_prior")).alias(k) for k in KINDS]).toArrow()
-            cuts = held_out_cuts(list(zip(*[rows.column(c).to_pylist() for c in rows.column_names])), fitted, lost)
+            unseen = held.dropDuplicates(["_k1", "_k2"])
+            rows = materialize(priors(scored.join(unseen, ["_k1", "_k2"])).select(
+                *[f"_{k}" for k in KINDS], *[(F.col(f"_{k}_held") + F.col(f"{k}_prior")).alias(k) for k in KINDS]), "held-out-scores")
+            cuts = spread_cuts(rows, fitted, lost)
+            release(docs.sparkSession, held, rows)
     else:
         cuts = {k: math.log(threshold / (1 - threshold)) if k in fitted else math.inf for k in KINDS}
     keep = F.lit(True)
