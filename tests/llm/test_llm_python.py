@@ -478,3 +478,19 @@ def test_cuts_of_a_table(spark, monkeypatch, ranked, digits):
     for some, lost in ((rows, 0.4), (rows[:900], 0.01), (rows[900:], 0.01), ([], 0.01), ([*rows, (0, 0, None, 0.0)], 0.01)):
         got = quality.spread_cuts(spark.createDataFrame(some, schema), quality.KINDS, lost)
         assert got == pytest.approx(quality.held_out_cuts(some, quality.KINDS, lost)), (len(some), lost)
+
+
+def test_sparse_groups_cost_their_size(spark, monkeypatch):
+    """800 texts, each with one word of 100 changed, link only if the words lie within two places: their pairs are not all compared."""
+    from topicwatch.llm import jaccard_join
+    compared = []
+    linked = jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda pairs, *a: compared.append(pairs.count()) or linked(pairs, *a))
+    rows = []
+    for i in range(800):
+        words = [f"word{j}" for j in range(100)]
+        words[i * 7 % 100] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), size=3, num=90)
+    assert {(r.n_shingles, r.component_id) for r in out.collect()} == {(98, 0)} and out.count() == 800
+    assert sum(compared) < 30_000, compared  # all links are over 50,000

@@ -17,7 +17,9 @@ from .components import components
 BITMAP_WORDS, CACHED_WORDS, LEADER_ORDERS = 8, 300_000, 4
 #: A tile hash with more rows than this (and than one row in RARE_SHARE) counts as frequent.
 FREQUENT_ROWS, RARE_SHARE = 256, 100_000
-LEADER_ROUNDS = 2
+#: Rounds that compare with a leader; rounds at most that compare the rows of a large tile in parts of about PART_ROWS, and the
+#: share (one in SETTLED) of its rows that must still find links for another such round.
+LEADER_ROUNDS, PART_ROUNDS, PART_ROWS, SETTLED = 1, 4, 64, 10
 #: Hashes that a signature holds beyond one and a half prefixes.
 SPARE = 8
 BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
@@ -221,12 +223,12 @@ def linked(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, num: i
     return found
 
 
-def tile_pairs(rows: DataFrame, num: int, den: int, among: Column) -> DataFrame:
+def tile_pairs(rows: DataFrame, num: int, den: int, among: Column, tile: tuple[str, ...] = ("h", "band")) -> DataFrame:
     """The pairs (``a`` < ``b``) of ids in one tile for which ``among`` holds and that
     pass the size and the bit-count bound."""
     x, y = rows.alias("x"), rows.alias("y")
     col = lambda s, c: F.col(f"{s}.{c}")
-    pairs = x.join(y, (col("x", "h") == col("y", "h")) & (col("x", "band") == col("y", "band"))
+    pairs = x.join(y, reduce(lambda c, d: c & d, [col("x", c) == col("y", c) for c in tile])
                    & (col("x", "id") < col("y", "id")) & among
                    & sizes_fit(col("x", "n"), col("y", "n"), num, den)
                    & bitmaps_fit(col("x", "n"), col("y", "n"), [col("x", b) for b in BITS],
@@ -288,12 +290,13 @@ def linked_rows(df: DataFrame, id_col: str, text_col: str, size: int, num: int,
     keys = classes.select("id", "_k1", "_k2")
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    for turn in range(LEADER_ROUNDS + 1):
+    turn, last, done = 0, LEADER_ROUNDS + PART_ROUNDS, 0
+    while turn <= last:
         open_tiles = tiles.groupBy("h", "band").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min(F.struct(F.col("id").bitwiseXOR(F.xxhash64(F.lit(turn), F.pmod("h", F.lit(LEADER_ORDERS)))).alias("o"),
-                           "id", "comp", "n")).alias("leader")).where("lo < hi")
-        open_tiles = materialize(open_tiles.select("h", "band", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"),
+                           "id", "comp", "n")).alias("leader")).where("lo < hi").where(F.col("k") > done)
+        open_tiles = materialize(open_tiles.select("h", "band", "k", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"),
                                                    F.col("leader.comp").alias("leader_comp")), "open-tiles")
         if turn < LEADER_ROUNDS:
             pairs = (tiles.join(open_tiles, ["h", "band"]).where("comp <> leader_comp")
@@ -305,24 +308,34 @@ def linked_rows(df: DataFrame, id_col: str, text_col: str, size: int, num: int,
             pairs = pairs.where(bitmaps_fit(
                 F.col("a_n"), F.col("b_n"), [F.col(f"a_{b}") for b in BITS], [F.col(f"b_{b}") for b in BITS], num, den))
         else:
-            rest = materialize(tiles.join(open_tiles.select("h", "band"), ["h", "band"], "left_semi")
+            if open_tiles.isEmpty():
+                break
+            # a tile of up to PART_ROWS rows is one part: all its pairs are compared, and it is done
+            parts = F.ceil(F.col("k") / PART_ROWS) if turn < last else F.lit(1)
+            part = F.pmod(F.xxhash64("id", F.lit(turn), F.pmod("h", F.lit(LEADER_ORDERS))), parts).alias("part")
+            rest = materialize(tiles.join(open_tiles.select("h", "band", "k"), ["h", "band"]).select("h", "band", "k", part, "id", "n", "comp")
                                .join(bitmaps.drop("n"), "id"), "open-rows")
-            pairs = tile_pairs(rest, num, den, F.col("x.comp") != F.col("y.comp"))
+            pairs = tile_pairs(rest, num, den, F.col("x.comp") != F.col("y.comp"), ("h", "band", "part"))
+            done = PART_ROWS
         pairs = materialize(wide_bitmaps_fit(pairs.select("a", "b"), wide, num, den), "pairs")
         release(spark, open_tiles)
         if pairs.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
+            if turn == last:
+                break
+            turn = turn + 1 if turn < LEADER_ROUNDS else last
+            continue
         found = linked(pairs, docs, keys, size, num, den)
         links = found if links is None else links.unionByName(found)
         labels = materialize(components(links), "labels")
         release(spark, pairs)
-        if turn < LEADER_ROUNDS:
-            before = tiles
-            tiles = materialize(tiles.drop("comp").join(labels.withColumnRenamed("component", "comp"), "id", "left")
-                                .withColumn("comp", F.coalesce("comp", "id")), "tiles")
-            release(spark, before)
+        if turn == last:
+            break
+        before = tiles
+        tiles = materialize(tiles.drop("comp").join(labels.withColumnRenamed("component", "comp"), "id", "left")
+                            .withColumn("comp", F.coalesce("comp", "id")), "tiles")
+        release(spark, before)
+        large = None if turn < LEADER_ROUNDS else rest.where(F.col("k") > PART_ROWS).agg(F.count_distinct("id")).first()[0]
+        turn = turn + 1 if large is None or found.count() * SETTLED >= large else last
     named = classes.select("c1", "c2", "id", "own")
     if labels is not None:
         # components are named by numbers of rows; a result names them by their smallest id
@@ -349,10 +362,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
        a band of set sizes (each band reaches to the next, so linked sets share a
        tile); the prefix filter loses no link. Hashes in many prefixes
        (at most 100,000 of them) come last in the order of the prefix.
-    3. Two rounds compare each member of a tile with a leader only; members of
+    3. A first round compares each member of a tile with a leader only. The next
+       compares all pairs of small tiles, and those within parts of about 64 rows of large
+       ones, dealt anew as long as that links many. Members of
        one component by then are not compared again, so a group of near copies
-       costs its size, not its square. The last round compares every pair left
-       in a tile. Each pair passes the size bound, the bit-count bound and the
+       costs its size, not its square, whether or not they all link to each other.
+       The last round compares every pair left in a large tile. Each pair passes the size bound, the bit-count bound and the
        exact intersection of the sorted arrays.
 
     Returns one row per input row: the id, ``n_shingles`` and ``component_id``
