@@ -153,19 +153,20 @@ def shard_digests(spark: SparkSession, path: str, length: int, shard_rows: int,
         import pyarrow as pa
         forget()
         for batch in batches:
-            for shard, data in zip(batch.column(0), batch.column(1)):
-                ids = np.frombuffer(data.as_buffer(), f"<u{width}").reshape(-1, length)
-                used = ids != 0
-                size = np.where(used.any(1), length - used[:, ::-1].argmax(1), 0)
-                wide = memoryview(ids.astype("<u4").tobytes())
-                stride = 4 * length
-                crcs = [zlib.crc32(wide[i * stride:i * stride + 4 * n]) for i, n in enumerate(size.tolist())]
-                first = shard.as_py() * shard_rows
-                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(ids)), pa.int64()),
-                                                  pa.array(size, pa.int64()), pa.array(crcs, pa.int64())], ["slot", "_size", "_crc"])
-
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("shard", "content").mapInArrow(digest, "slot long, _size long, _crc long")
+            ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), f"<u{width}").reshape(-1, length)
+            used = ids != 0
+            size = np.where(used.any(1), length - used[:, ::-1].argmax(1), 0)
+            wide = memoryview(ids.astype("<u4").tobytes())
+            crcs = [zlib.crc32(wide[4 * length * i:4 * length * i + 4 * n]) for i, n in enumerate(size.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(crcs, pa.int64())], ["slot", "_size", "_crc"])
+
+    # records, not whole shards, so that no batch grows with the shards of a task
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    stride = length * width
+    starts = F.sequence(F.lit(0), F.floor(F.octet_length("content") / stride).cast("int") - 1)
+    records = files.select("shard", F.posexplode(F.transform(starts, lambda i: F.substring("content", i * stride + 1, F.lit(stride)))).alias("at", "record"))
+    return records.select((F.col("shard").cast("long") * shard_rows + F.col("at")).alias("slot"), "record").mapInArrow(
+        digest, "slot long, _size long, _crc long")
 
 
 def training_order(docs: DataFrame, tokenizer_path: str, length: int = 256, key: int = 1, shard_rows: int = 8192,
@@ -191,6 +192,7 @@ def training_order(docs: DataFrame, tokenizer_path: str, length: int = 256, key:
     @F.pandas_udf("long")
     def with_zeros(crc: pd.Series, size: pd.Series, length: pd.Series) -> pd.Series:
         # ids of 0 at a sequence's end look like padding in the file: they are counted in again
+        forget()
         return pd.Series([zlib.crc32(b"\0" * (4 * (n - k)), c) for c, k, n in zip(crc, size, length)], dtype="int64")
 
     # digests move to the join, not records
