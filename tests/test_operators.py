@@ -409,3 +409,18 @@ def test_daily_rows_without_cap(spark):
     assert metrics.docs_by_day(rows).count() == 30
     plan = quality.dq_violations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
+
+
+def test_bm25_tasks_grow_with_the_documents(spark, monkeypatch):
+    """More bytes of documents make more tasks, not larger ones, and the same ranks."""
+    from topicwatch.operators import search
+    docs = spark.range(400).selectExpr("id", "concat_ws(' ', 'w' || id % 7, 'w' || id % 11, 'w' || id % 3, 'w' || id % 3) as content")
+    queries = spark.range(3).selectExpr("id as qid", "concat('w', id, ' w', id + 4) as text")
+    small = search.bm25(docs, queries)
+    monkeypatch.setattr(search, "TASK_BYTES", 512)
+    large = search.bm25(docs, queries)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan(small)
+    tasks = search.estimated_bytes(docs) // 512
+    assert tasks > 8 and f", {tasks}" in plan(large) and f", {tasks}" not in plan(small)
+    assert sorted(small.collect()) == sorted(large.collect()) and small.count() == 30
