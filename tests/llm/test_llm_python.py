@@ -454,6 +454,30 @@ def test_word_cache_of_the_classifier_is_small():
     assert held < 12e6, held
 
 
+def test_features_are_counted_in_blocks(monkeypatch):
+    """Features of a large batch are counted a block of rows at a time, with the rows' labels, and scored as by their names."""
+    import pyarrow as pa
+
+    from topicwatch.llm import quality
+    monkeypatch.setattr(quality, "FIT_BLOCK", 16)
+    rows = [(r[1] or "", (1, 0, None)[i % 3], i % 2, i % 5) for i, r in enumerate(corpus())]
+    names = lambda w: [w, *[f"{w[:n]}~" for n in quality.PREFIXES if len(w) > n]] if w else []
+    own = [{f for w in text.lower().split() for f in names(w.strip(quality.STRIPPED))} for text, *_ in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["text", "low", "toxic", "fold"])
+    out = list(quality.counted_features(iter([batch])))
+    assert len(out) >= len(rows) // 16 and max(b.num_rows for b in out) <= max(sum(map(len, own[i:i + 16])) for i in range(0, len(rows), 16))
+    found = collections.Counter()
+    for b in out:
+        found.update({tuple(r.values())[:4]: 0 for r in b.to_pylist()})
+        for r in b.to_pylist():
+            found[tuple(r.values())[:4]] += r["n"]
+    assert found == collections.Counter((f, *labels) for fs, (_, *labels) in zip(own, rows) for f in fs)
+    weights = {f: (1.0, 2.0) for f in sorted(set().union(*own))[::3]}
+    zeros = [0.0] * len(quality.STATS)
+    score = quality.Model(weights, [(0.0, 0.0)] * len(zeros), zeros, [1.0] * len(zeros), (0.0, 0.0), quality.KINDS).scorer()
+    assert [score(r[0]) for r in rows] == [(float(n), 2.0 * n) for n in (len(fs & weights.keys()) for fs in own)]
+
+
 def test_classifier_uses_every_label(spark):
     """Toxic documents whose ids have the largest hashes, past the 20,000 that a fit once saw, are learnt from."""
     from topicwatch.llm.quality import classify

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship_code
 from .common import materialize, packed, release, row_key, text_or_empty
+from .tokens import forget
 
-#: Bounds of the fit: word features, cached words in a task, rows that a task expands at a time, and numbers that a row of the fit's sums holds.
-FIT_FEATURES, CACHED_WORDS, FIT_BLOCK, SUM_PIECE = 400, 60_000, 2_048, 16_384
+#: Bounds of the fit: word features, rows that a task expands at a time, and numbers that a row of the fit's sums holds.
+FIT_FEATURES, FIT_BLOCK, SUM_PIECE = 400, 1_024, 16_384
 #: Scores of the labelled rows that the driver may hold to pick one by its rank.
 RANKED_ROWS = 4_096
 #: Ways of being bad, each with its own model and cut.
@@ -27,26 +29,38 @@ PROSE_MARKS, STRIPPED = b".,;:'\"-?!()", ".,;:'\"-?!()*#%$&|<>[]{}/=+~_^`@"
 PREFIXES = (4, 5, 6)
 
 
-def word_features(word: str) -> list[str]:
-    """A word's features: itself and its first letters (inflected forms share them)."""
-    word = word.strip(STRIPPED)
-    return [word, *[f"{word[:n]}~" for n in PREFIXES if len(word) > n]] if word else []
+def word_parts(words) -> list[set[str]]:
+    """The features of a text's words: the words themselves, and for each of ``PREFIXES`` the first
+    letters of longer ones (inflected forms share them), which are named with a ``~`` after them."""
+    whole = {w.strip(STRIPPED) for w in words}
+    whole.discard("")
+    return [whole, *[{w[:n] for w in whole if len(w) > n} for n in PREFIXES]]
 
 
-def text_stats(text: str, words: list[str]) -> list[float]:
-    """``STATS`` of a text: shares of byte classes and of repeated words."""
+def feature_names(words) -> list[str]:
+    whole, *starts = word_parts(words)
+    return [*whole, *[f"{x}~" for part in starts for x in part]]
+
+
+def named_parts(names) -> list[dict[str, str]]:
+    """Feature names by the place of their part in ``word_parts``; no stripped word ends with ``~``."""
+    parts: list[dict[str, str]] = [{} for _ in (0, *PREFIXES)]
+    for f in names:
+        parts[PREFIXES.index(len(f) - 1) + 1 if f.endswith("~") else 0][f.removesuffix("~")] = f
+    return parts
+
+
+def text_stats(text: str, seen: dict[str, int]) -> list[float]:
+    """``STATS`` of a text, given the counts of its words: shares of byte classes and of repeated words."""
     import numpy as np
-    raw = text.encode()
-    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, int)
-    n, w = max(1, len(raw)), max(1, len(words))
-    upper, digit = count[65:91].sum(), count[48:58].sum()
-    marks = sum(int(count[b]) for b in PROSE_MARKS)
-    symbols = int(count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()) - marks
-    seen: dict[str, int] = {}
-    for x in words:
-        seen[x] = seen.get(x, 0) + 1
+    raw, words = text.encode(), sum(seen.values())
+    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=128).tolist() if raw else [0] * 128
+    n, w = max(1, len(raw)), max(1, words)
+    upper, digit = sum(count[65:91]), sum(count[48:58])
+    marks = sum([count[b] for b in PROSE_MARKS])
+    symbols = sum(count[33:48]) + sum(count[58:65]) + sum(count[91:97]) + sum(count[123:127]) - marks
     return [upper / n, digit / n, marks / n, symbols / n, count[124] / n, count[10] / n, len(seen) / w,
-            max(seen.values(), default=0) / w, len(raw) / w / 10, float(np.log1p(len(words)) / 10)]
+            max(seen.values(), default=0) / w, len(raw) / w / 10, float(np.log1p(words) / 10)]
 
 
 @dataclass
@@ -62,28 +76,16 @@ class Model:
     fitted: tuple[str, ...]
 
     def scorer(self):
-        weights, cache = self.words, {}
-
-        def found(word: str) -> tuple:
-            if len(cache) >= CACHED_WORDS:
-                cache.clear()
-            out = cache[word] = tuple(f for f in word_features(word) if f in weights)
-            return out
+        weights = [{x: self.words[f] for x, f in part.items()} for part in named_parts(self.words)]
+        known = [frozenset(of) for of in weights]
 
         def score(text: str) -> tuple[float, ...]:
-            words = text.lower().split()
-            hits: set[str] = set()
-            for w in set(words):
-                f = cache.get(w)
-                if f is None:
-                    f = found(w)
-                if f:
-                    hits.update(f)
+            seen = Counter(text.lower().split())
+            hits = [of[x] for of, own, part in zip(weights, known, word_parts(seen)) for x in part & own]
             low, toxic = self.base
-            for f in hits:
-                a, b = weights[f]
+            for a, b in hits:
                 low, toxic = low + a, toxic + b
-            for x, (a, b), m, d in zip(text_stats(text, words), self.stats, self.mean, self.scale):
+            for x, (a, b), m, d in zip(text_stats(text, seen), self.stats, self.mean, self.scale):
                 z = min(4.0, max(-4.0, (x - m) / d))
                 low, toxic = low + a * z, toxic + b * z
             return low, toxic
@@ -117,6 +119,22 @@ def blocks(batches: Iterator) -> Iterator:
         yield from (batch.slice(at, FIT_BLOCK) for at in range(0, batch.num_rows, FIT_BLOCK))
 
 
+def counted_features(batches: Iterator) -> Iterator:
+    """Rows of ``text``, ``low``, ``toxic`` and ``fold`` as documents (``n``) by feature and these labels, a block of rows at a time."""
+    import pyarrow as pa
+    forget()
+    for batch in blocks(batches):
+        out, at = [], []
+        for i, text in enumerate(batch.column(0).to_pylist()):
+            own = feature_names(text.lower().split())
+            out += own
+            at += [i] * len(own)
+        rows = [batch.column(c).take(pa.array(at, pa.int32())) for c in (1, 2, 3)]
+        counted = pa.table([pa.array(out, pa.string()), *rows], ["f", "low", "toxic", "fold"]).group_by(
+            ["f", "low", "toxic", "fold"], use_threads=False).aggregate([([], "count_all")])
+        yield from counted.select(["f", "low", "toxic", "fold", "count_all"]).rename_columns(["f", "low", "toxic", "fold", "n"]).to_batches()
+
+
 def newton(rows: DataFrame, fits: list[tuple], columns: list[list[int]], mean, scale, ridge: float) -> list:
     """Weights of the penalised logistic likelihood of each of ``fits`` (kind and the fold left out, or None) over all
     ``rows``. A step of all fits is one job: tasks add up curvature and slope of their own rows, Spark adds up the
@@ -216,19 +234,9 @@ def fit(sample: DataFrame, features: int = FIT_FEATURES, ridge: float = 1.0) ->
     if not fits:
         return None, None
 
-    def present(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        for batch in batches:
-            out, at = [], []
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                own = {f for w in set(text.lower().split()) for f in word_features(w)}
-                out += own
-                at += [i] * len(own)
-            rest = [batch.column(c).take(pa.array(at, pa.int64())) for c in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *rest], ["f", "low", "toxic", "fold"])
-
-    counts = sample.select("text", "low", "toxic", "fold").mapInArrow(present, "f string, low int, toxic int, fold int").groupBy("f").agg(
-        *[F.count_if((F.col(k) == v) & (F.col("fold") == j)).alias(f"{k}{v}_{j}") for k, v, j in sums])
+    # a task counts the documents of a block by label and fold
+    counts = sample.select("text", "low", "toxic", "fold").mapInArrow(counted_features, "f string, low int, toxic int, fold int, n long").groupBy("f").agg(
+        *[F.coalesce(F.sum(F.when((F.col(k) == v) & (F.col("fold") == j), F.col("n"))), F.lit(0)).alias(f"{k}{v}_{j}") for k, v, j in sums])
 
     def ratio(kind: str, out: int | None) -> Column:
         n1, n0 = total(kind, 1, out), total(kind, 0, out)
@@ -251,14 +259,16 @@ def fit(sample: DataFrame, features: int = FIT_FEATURES, ridge: float = 1.0) ->
     def numbers(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        for batch in batches:
+        place = [{x: index[f] for x, f in part.items()} for part in named_parts(index)]
+        known = [frozenset(of) for of in place]
+        for batch in blocks(batches):
             hits, stats = [], []
             for text in batch.column(0).to_pylist():
-                words = text.lower().split()
+                seen = Counter(text.lower().split())
                 own = np.zeros(8 * width, bool)
-                own[[index[f] for w in set(words) for f in word_features(w) if f in index]] = True
+                own[[of[x] for of, names, part in zip(place, known, word_parts(seen)) for x in part & names]] = True
                 hits.append(np.packbits(own).tobytes())
-                stats.append(np.array(text_stats(text, words), "<f8").tobytes())
+                stats.append(np.array(text_stats(text, seen), "<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.binary()), pa.array(stats, pa.binary()), *batch.columns[1:]],
                                              ["hits", "stats", *batch.schema.names[1:]])
 
@@ -384,6 +394,7 @@ def evidence(docs: DataFrame, model: Model | None, text_col: str = "text") -> Co
 
     @F.pandas_udf(", ".join(f"{k} double" for k in KINDS))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         one = model.scorer()
         for batch in batches:
             yield pd.DataFrame([one(x) for x in batch], columns=list(KINDS), dtype="float64")
