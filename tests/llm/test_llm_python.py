@@ -478,6 +478,23 @@ def test_features_are_counted_in_blocks(monkeypatch):
     assert [score(r[0]) for r in rows] == [(float(n), 2.0 * n) for n in (len(fs & weights.keys()) for fs in own)]
 
 
+def test_forgotten_tokenizer_frees_memory():
+    """A worker that drops its tokenizer gives the memory of freed texts back to the system."""
+    import subprocess
+    import sys
+    code = """
+from topicwatch.llm import tokens
+rss = lambda: int([x for x in open("/proc/self/status") if x.startswith("VmRSS")][0].split()[1]) >> 10
+tokens._LOADED[1] = None
+texts = [chr(65 + i % 26) * 2000 for i in range(100_000)]
+held, last = rss(), texts[-1]
+del texts
+tokens.forget()
+assert not tokens._LOADED and rss() < held - 150, (held, rss())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
 def test_classifier_uses_every_label(spark):
     """Toxic documents whose ids have the largest hashes, past the 20,000 that a fit once saw, are learnt from."""
     from topicwatch.llm.quality import classify

@@ -37,9 +37,10 @@ class WordCache(dict):
         if self.used >= self.limit:
             self.clear()
             self.used = 0
-        pieces = PIECE.findall(word)
+        plain = word.isascii() and word.isalpha()  # one piece, whose bytes show as themselves
+        pieces = [word] if plain else PIECE.findall(word)
         if len(pieces) == 1 and pieces[0] == word:
-            found = self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
+            found = self.model.tokenize(word if plain else word.encode().decode("latin-1").translate(self.shown))
             out = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         else:
             out = b"".join([self[p] for p in pieces])
@@ -105,8 +106,23 @@ def loaded(model: str, limit: int) -> TextTokenizer:
 
 
 def forget() -> None:
-    """Give back the worker's tokenizer and its cache: tasks of later stages need neither."""
-    _LOADED.clear()
+    """Give back the worker's tokenizer and its cache to the system: tasks of later stages need neither."""
+    if _LOADED:
+        _LOADED.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise, in each of an executor's workers."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 def read_model(path: str) -> str:

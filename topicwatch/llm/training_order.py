@@ -191,6 +191,7 @@ def training_order(docs: DataFrame, tokenizer_path: str, length: int = 256, key:
     @F.pandas_udf("long")
     def with_zeros(crc: pd.Series, size: pd.Series, length: pd.Series) -> pd.Series:
         # ids of 0 at a sequence's end look like padding in the file: they are counted in again
+        forget()
         return pd.Series([zlib.crc32(b"\0" * (4 * (n - k)), c) for c, k, n in zip(crc, size, length)], dtype="int64")
 
     # digests move to the join, not records
