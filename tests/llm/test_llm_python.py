@@ -351,6 +351,25 @@ def test_interval_expansion_marks_every_shorter_prefix():
             assert len(set(groups.values())) == len(groups)
 
 
+@pytest.mark.parametrize("length", [3, 12, 50])
+def test_segments_of_many_texts(length, monkeypatch):
+    """Texts that are hashed together have the windows and keys they have alone."""
+    from topicwatch.llm import suffix_dedup as S
+    rnd = random.Random(length)
+    raws = [bytes(rnd.choice(b"abc") for _ in range(rnd.choice([0, 1, length - 1, length, rnd.randrange(300)]))) for _ in range(60)]
+    raws += [b"a" * 1000, b"", raws[0]]
+    for most in (1, 200, 1 << 17):
+        monkeypatch.setattr(S, "HASH_BYTES", most)
+        number, key, start, size = S.segments_of_all(raws, length)
+        keys = [S.window_keys(r, length) for r in raws]
+        covered = collections.Counter()
+        for i, k, a, n in zip(number.tolist(), key, start.tolist(), size.tolist()):
+            assert 0 < n <= S.SEGMENT_WINDOWS and (keys[i][a:a + n] == k).all()
+            covered.update((i, j) for j in range(a, a + n))
+        assert covered == collections.Counter((i, j) for i, k in enumerate(keys) for j in range(len(k)))
+        assert number.tolist() == sorted(number.tolist())
+
+
 @pytest.mark.parametrize("hosts", [1, 40])
 def test_site_posteriors(spark, hosts):
     """Against the formulas; a site of one document falls back to its host and the corpus."""

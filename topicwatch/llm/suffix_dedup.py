@@ -16,6 +16,8 @@ from .common import materialize, packed, parallelism, release, row_key, text_or_
 GRAM, SEGMENT_WINDOWS, BUCKET_BYTES, KEY_SEGMENTS = 16, 64, 2 << 20, 20_000
 #: Keys that one task compares at a time, on average; buckets that one task transforms one after the other.
 PART_KEYS, TASK_BUCKETS = 2_000_000, 8
+#: Bytes of texts whose windows are hashed at once.
+HASH_BYTES = 1 << 17
 #: A byte that UTF-8 never holds ends each segment in a transform.
 END = 0xFF
 LAST_ID = (1 << 63) - 1
@@ -51,18 +53,41 @@ def window_keys(raw: bytes, length: int):
 def segments_of(raw: bytes, length: int):
     """Runs of neighbouring windows with one key: (key, first window, windows) arrays.
     Long runs are cut every ``SEGMENT_WINDOWS``."""
+    return segments_of_all([raw], length)[1:]
+
+
+def segments_of_all(raws: list[bytes], length: int):
+    """The segments of several texts: (number of the text, key, first window, windows) arrays, in the texts' order. About
+    ``HASH_BYTES`` of texts are hashed at once; no segment goes from one text to the next."""
     import numpy as np
-    keys = window_keys(raw, length)
-    if not len(keys):
-        return keys, np.empty(0, np.int64), np.empty(0, np.int64)
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(start, len(keys)))
-    if size.max() > SEGMENT_WINDOWS:
-        cuts = -(-size // SEGMENT_WINDOWS)
-        first = np.repeat(np.cumsum(cuts) - cuts, cuts)
-        start = np.repeat(start, cuts) + (np.arange(cuts.sum()) - first) * SEGMENT_WINDOWS
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    found = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    block = (np.cumsum(sizes) - sizes) // HASH_BYTES
+    edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(raws)]
+    for x, y in zip(edges, edges[1:]):
+        keys = window_keys(b"".join(raws[x:y]), length)
+        if not len(keys):
+            continue
+        begin = np.cumsum(sizes[x:y]) - sizes[x:y]
+        windows = np.maximum(sizes[x:y] - length + 1, 0)
+        of = np.flatnonzero(windows)  # texts with a window; what lies between the windows of two texts belongs to none
+        new = np.empty(len(keys) + 1, bool)
+        new[0] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:-1])
+        new[begin[of]] = True
+        new[begin[of] + windows[of]] = True
+        start = np.flatnonzero(new[:-1])
         size = np.diff(np.append(start, len(keys)))
-    return keys[start], start, size
+        text = of[np.maximum(np.searchsorted(begin[of], start, "right") - 1, 0)] if len(of) else start
+        own = (start >= begin[text]) & (start < begin[text] + windows[text]) if len(of) else np.zeros(len(start), bool)
+        start, size, text = start[own], size[own], text[own]
+        if len(size) and size.max() > SEGMENT_WINDOWS:
+            cuts = -(-size // SEGMENT_WINDOWS)
+            first, end = np.repeat(np.cumsum(cuts) - cuts, cuts), np.repeat(start + size, cuts)
+            start = np.repeat(start, cuts) + (np.arange(cuts.sum()) - first) * SEGMENT_WINDOWS
+            size, text = np.minimum(end - start, SEGMENT_WINDOWS), np.repeat(text, cuts)
+        found.append((text + x, keys[start], start - begin[text], size))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
 def repeats(text, length: int):
@@ -70,11 +95,12 @@ def repeats(text, length: int):
 
     Returns (order, first): positions ordered by their next ``length`` bytes, and
     for each place in the order whether its string differs from the one before.
-    The Burrows-Wheeler transform is taken from that order. Starting with the
-    intervals of all strings of 8 bytes (the words that began the sort; their ends
-    are the common prefixes under 8), each round extends the strings of all open
+    The Burrows-Wheeler transform is taken from that order, which tells strings apart up to their segment's end; each
+    round of the sort only moves strings that are still equal to another. Starting with the
+    intervals of all strings of 10 bytes (told apart by the sort's first rounds; their ends
+    are the common prefixes under 10), each round extends the strings of all open
     intervals by one byte to the left (by the last-to-first mapping) and so
-    meets the common prefixes of length 8, 9, ... of neighbours in
+    meets the common prefixes of length 10, 11, ... of neighbours in
     increasing order: the end of an interval that no shorter string has marked
     gets the round's value and the interval stays open, any other closes. At ``length`` it stops: exactly
     the neighbours with a common prefix of ``length`` or more are unmarked.
@@ -83,62 +109,83 @@ def repeats(text, length: int):
     n = len(text)
     data = np.concatenate([text, np.full(length + 8, END, np.uint8)])
 
-    def ranks(key):
-        order = np.argsort(key)  # places of equal keys may come in any order
-        new = np.empty(n, bool)
-        new[0] = False
-        sorted_key = key[order]
-        np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
-        out = np.empty(n + length, np.uint64)
-        out[n:] = n
-        out[order] = np.cumsum(new).astype(np.uint64)
-        return order, out
-
-    covered = min(8, length)
-    word = np.ndarray((n,), ">u8", data.tobytes(), strides=(1,)).astype(np.uint64)
-    word >>= np.uint64(8 * (8 - covered))
-    order, rank = ranks(word)
-    start = covered
-    while covered < length:  # prefix doubling up to `length` bytes
+    bits = np.uint64(n.bit_length())
+
+    def in_order(key, width, at):
+        """``key`` (of ``width`` bits) sorted, and the places ``at`` in that order."""
+        if width + int(bits) > 64:
+            by_key = np.argsort(key)
+            return key[by_key], at[by_key]
+        both = np.sort((key << bits) | at.astype(np.uint64))
+        return both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+    covered = min(5, length)
+    word = np.ndarray((n,), ">u8", data.tobytes(), strides=(1,)).astype(np.uint64) >> np.uint64(8 * (8 - covered))
+    key, order = in_order(word, 8 * covered, np.arange(n))  # places of equal strings may come in any order
+    new = np.empty(n + 1, bool)
+    new[[0, n]] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:n])
+    # the rank of a string is the first place of those equal to it, so it stays when other strings are told apart
+    rank = np.full(n + length, n, np.uint32)
+    rank[order] = np.maximum.accumulate(np.where(new[:n], np.arange(n, dtype=np.uint32), np.uint32(0)))
+    ends = np.append(np.flatnonzero(text == END), n)
+    left = np.repeat(ends, np.diff(ends, prepend=-1))[:n] - np.arange(n)  # bytes before the segment's end
+    rows = np.flatnonzero(~(new[:n] & new[1:]))
+    at, start = order[rows], 0
+    while covered < length:  # prefix doubling up to `length` bytes, of strings that are not yet told apart and have not ended
+        going = left[at] >= covered
+        rows, at = rows[going], at[going]
+        if not len(rows):
+            break
         step = min(covered, length - covered)
-        order, rank = ranks((rank[:n] << np.uint64(32)) | rank[step:n + step])
+        key, at = in_order((rank[at].astype(np.uint64) << bits) | rank[at + step], 2 * int(bits), at)
+        order[rows] = at
+        first = np.empty(len(rows) + 1, bool)
+        first[[0, -1]] = True
+        np.not_equal(key[1:], key[:-1], out=first[1:-1])
+        rank[at] = np.maximum.accumulate(np.where(first[:-1], rows, 0)).astype(np.uint32)
+        if not start:  # the expansion starts with the strings of the first round
+            new[rows[first[:-1]]] = True
+            start = covered + step
+        still = ~(first[:-1] & first[1:])
+        rows, at = rows[still], at[still]
         covered += step
+    start = start or covered
     transform = data[order - 1]
     transform[order == 0] = END
     by_byte = np.argsort(transform, kind="stable")
-    last_to_first = np.empty(n, np.int64)
-    last_to_first[by_byte] = np.arange(n)
+    last_to_first = np.empty(n, np.int32)
+    last_to_first[by_byte] = np.arange(n, dtype=np.int32)
     byte_start = np.zeros(n + 1, bool)
     byte_start[np.cumsum(np.bincount(transform, minlength=256))[:-1]] = True
 
     marked = np.zeros(n + 1, bool)
     marked[[0, n]] = True
-    word = word[order]
-    marked[1:n] = word[1:] != word[:-1]
-    bounds = np.flatnonzero(marked)
+    marked[1:n] = new[1:n]
+    bounds = np.flatnonzero(marked).astype(np.int32)
     low, high = bounds[:-1], bounds[1:]
-    owner = np.empty(n, np.int64)
+    owner = np.empty(n, np.int32)
     for _ in range(start, length):
         if not len(low):
             break
         size = high - low
         total = int(size.sum())
-        before = np.cumsum(size) - size
-        at = np.arange(total) + np.repeat(low - before, size)
+        before = np.cumsum(size, dtype=np.int32) - size
+        at = np.arange(total, dtype=np.int32) + np.repeat(low - before, size)
         keep = transform[at] != END
         target = last_to_first[at[keep]]
-        interval = np.repeat(np.arange(len(low)), size)[keep]
+        interval = np.repeat(np.arange(len(low), dtype=np.int32), size)[keep]
         if not len(target):
             break
         # rows of an interval with the same byte before them go to neighbouring places
         if total * 8 > n:
             owner.fill(-1)
             owner[target] = interval
-            target = np.flatnonzero(owner >= 0)
+            target = np.flatnonzero(owner >= 0).astype(np.int32)
             interval = owner[target]
         else:
-            by_target = np.argsort(target)
-            target, interval = target[by_target], interval[by_target]
+            both = np.sort((target.astype(np.int64) << 32) | interval)
+            target, interval = (both >> 32).astype(np.int32), both.astype(np.int32)
         cut = np.empty(len(target), bool)
         cut[0] = True
         cut[1:] = (target[1:] != target[:-1] + 1) | (interval[1:] != interval[:-1]) | byte_start[target[1:]]
@@ -186,20 +233,20 @@ def shared_keys(texts: DataFrame, length: int, parts: int) -> DataFrame:
     def send(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        for batch in batches:
-            keys, classes = [], []
-            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key = np.unique(segments_of(text.encode(), length)[0])
-                keys.append(key)
-                classes.append(np.full(len(key), c, np.int64))
-            key = np.concatenate([*keys, np.empty(0, np.uint64)])
-            c = np.concatenate([*classes, np.empty(0, np.int64)])
-            part, key = key % np.uint64(parts), (key >> np.uint64(32)).astype(np.uint64)
-            key |= part << np.uint64(32)
-            order = np.lexsort((c, key))
-            key, c = key[order], c[order]
+        # a key within its part, the part and the place of the class fit into 64 bits
+        most = 1 << (32 - int(parts).bit_length())
+        for batch in (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most)):
+            own = batch.column(0).to_numpy()
+            by_class = np.argsort(own, kind="stable")
+            raws = [x.encode() for x in batch.column(1).take(pa.array(by_class)).to_pylist()]
+            number, key, _, _ = segments_of_all(raws, length)
             if not len(key):
                 continue
+            own, place = np.unique(own[by_class], return_inverse=True)
+            bits = np.uint64(32 - int(parts).bit_length())
+            packed = np.sort(((((key % np.uint64(parts)) << np.uint64(32)) | (key >> np.uint64(32))) << bits) | place.astype(np.uint64)[number])
+            packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+            key, c = packed >> bits, own[(packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
             known = c[start] != c[start + size - 1]
@@ -255,28 +302,22 @@ def shared_segments(texts: DataFrame, length: int, parts: int) -> DataFrame:
 
         import numpy as np
         import pyarrow as pa
-        for batch in batches:
-            cs, ids, at, keys, out, h = [], [], [], [], [], []
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))
-            for c, doc, text, own in rows:
-                raw = text.encode()
-                key, start, size = segments_of(raw, length)
-                short = ((key >> np.uint64(32)) | ((key % np.uint64(parts)) << np.uint64(32))).astype(np.int64)
-                found = np.isin(short, own.values.to_numpy(zero_copy_only=False))
-                key, start, size = key[found], start[found], size[found]
-                own_parts = [raw[a:b] for a, b in zip(start.tolist(), (start + size + length - 1).tolist())]
-                out += own_parts
-                h += [hashlib.blake2b(p, digest_size=16).digest() for p in own_parts]
-                cs.append(np.full(len(start), c, np.int64))
-                ids.append(np.full(len(start), doc, np.int64))
-                at.append(start)
-                keys.append(key.astype(np.int64))
-            none = np.empty(0, np.int64)
-            h = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
+        most = 1 << (32 - int(parts).bit_length())  # as in shared_keys
+        for batch in (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most)):
+            raws = [x.encode() for x in batch.column(2).to_pylist()]
+            number, key, start, size = segments_of_all(raws, length)
+            bits = np.uint64(32 - int(parts).bit_length())
+            shared = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            has = np.repeat(np.arange(len(raws), dtype=np.uint64), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            short = (key >> np.uint64(32)) | ((key % np.uint64(parts)) << np.uint64(32))
+            found = np.isin((short << bits) | number.astype(np.uint64), (shared << bits) | has)
+            number, key, start, size = number[found], key[found], start[found], size[found]
+            out = [raws[i][x:y] for i, x, y in zip(number.tolist(), start.tolist(), (start + size + length - 1).tolist())]
+            h = np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in out]), np.int64).reshape(-1, 2)
+            at = pa.array(number)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*x, none])) for x in (cs, ids, at, keys)]
-                + [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(out, pa.binary())],
-                ["c", "id", "pos", "key", "h1", "h2", "s"])
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(key.astype(np.int64)), pa.array(h[:, 0]),
+                 pa.array(h[:, 1]), pa.array(out, pa.binary())], ["c", "id", "pos", "key", "h1", "h2", "s"])
     return texts.mapInArrow(cut, "c long, id long, pos long, key long, h1 long, h2 long, s binary")
 
 
